@@ -4,6 +4,25 @@ from __future__ import annotations
 
 import json
 
+# Message texts, with {} for the name concerned.
+MISSING_PARAM = "Missing {} parameter"
+INVALID_IDENTIFIER = "Invalid DDL identifier {}"
+NO_SCRIPT = "Either execute or file parameter required"
+MISSING_FILE = "File {} does not exist."
+MISSING_TABLE = "Table {} does not exist"
+MISSING_COLUMN = "unable to find column {}"
+PARTITION_EXISTS = "Partition already exists"
+INVALID_JOB_ID = "Invalid jobid: {}"
+MISSING_JOB = "Could not find job {}"
+NOT_COMPLETE = "Job not yet complete"
+CALLBACK_RUN = "Callback already run"
+NO_CALLBACK = "No callback registered"
+# Texts of this package.
+TABLE_EXISTS = "Table {} already exists"
+COLUMN_EXISTS = "Column {} already exists"
+MISSING_PARTITION = "Partition {} does not exist"
+NOT_PARTITIONED = "Table {} is not a partitioned table"
+
 
 class JobError(Exception):
     """Base of every error raised by this package."""

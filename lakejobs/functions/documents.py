@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lakejobs.errors import MISSING_TABLE
+
 # Status codes of a response document.
 OK = 200
 SERVER_ERROR = 500
@@ -86,7 +88,7 @@ def first_entry(doc: Column | str, field: str, name: Column | str) -> Column:
     keys = F.json_object_keys(F.when(doc == "", "{}").otherwise(F.coalesce(doc, F.lit("{}"))))
     absent = F.to_json(
         F.struct(
-            F.concat(F.lit("Table "), name, F.lit(" does not exist")).alias("error"),
+            F.replace(F.lit(MISSING_TABLE), F.lit("{}"), name).alias("error"),
             F.lit(MISSING).alias("errorCode"),
         )
     )

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakejobs.errors import BadParam, NotFound
+from lakejobs.errors import MISSING_FILE, BadParam, NotFound
 from lakejobs.sources.spec import ddl_type
 
 
@@ -38,7 +38,7 @@ def register_udfs(spark: SparkSession, module_path: str, namespace: str) -> dict
     try:
         members = runpy.run_path(module_path, init_globals={"outputSchema": outputSchema})
     except FileNotFoundError as error:
-        raise NotFound(f"File {module_path} does not exist.") from error
+        raise NotFound(MISSING_FILE.format(module_path)) from error
     registered = {}
     for name, member in members.items():
         kind = getattr(member, "output_type", None)

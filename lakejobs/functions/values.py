@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Why a value is no identifier.
+MISSING = "Missing"
+INVALID = "Invalid DDL identifier"
+
 
 def is_set(col: Column | str, kind: T.DataType) -> Column:
     """True where a value is neither null nor empty; strings, arrays and maps can be empty."""
@@ -20,8 +24,8 @@ def is_set(col: Column | str, kind: T.DataType) -> Column:
 def identifier_problem(col: Column | str) -> Column:
     """Null for a simple DDL identifier (a letter, then ASCII word characters), else the reason."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.when(col.isNull(), "Missing").when(
-        ~col.rlike(r"\A[a-zA-Z][a-zA-Z0-9_]*\z"), "Invalid DDL identifier"
+    return F.when(col.isNull(), MISSING).when(
+        ~col.rlike(r"\A[a-zA-Z][a-zA-Z0-9_]*\z"), INVALID
     )
 
 

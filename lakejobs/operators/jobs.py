@@ -8,6 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakejobs.errors import (
+    CALLBACK_RUN,
+    INVALID_JOB_ID,
+    MISSING_JOB,
+    NO_CALLBACK,
+    NOT_COMPLETE,
+)
 from lakejobs.functions.joblog import parse_child_id, parse_progress
 from lakejobs.operators.lists import pack_lists
 
@@ -106,22 +113,26 @@ def job_status(jobs: DataFrame, tracker: DataFrame) -> DataFrame:
         answer.alias("statusId"),
         F.when(answer != F.col("id"), F.col("id")).alias("parentId"),
         *[status[c].alias(c) for c in state.columns],
-        F.when(~known, F.concat(F.lit("Could not find job "), F.col("id").cast("string"))).alias("problem"),
+        F.when(~known, _message(MISSING_JOB, "id")).alias("problem"),
     )
 
 
 def with_id_problem(jobs: DataFrame, col: str = "id") -> DataFrame:
     """Add ``id_problem`` for ids that are not of the form ``job_<cluster>_<number>``."""
-    bad = F.concat(F.lit("Invalid jobid: "), F.col(col))
-    return jobs.withColumn("id_problem", F.when(~F.col(col).rlike(JOB_ID), bad))
+    bad = ~F.col(col).rlike(JOB_ID)
+    return jobs.withColumn("id_problem", F.when(bad, _message(INVALID_JOB_ID, col)))
+
+
+def _message(text: str, col: str) -> Column:
+    return F.replace(F.lit(text), F.lit("{}"), F.col(col).cast("string"))
 
 
 def callback_state(jobs: DataFrame) -> DataFrame:
     """(id, state, url): whether a job's callback is due, and the URL to call with the id filled in."""
     state = (
-        F.when(F.col("completed").isNull(), "Job not yet complete")
-        .when(F.col("notified").isNotNull(), "Callback already run")
-        .when(F.col("callback").isNull(), "No callback registered")
+        F.when(F.col("completed").isNull(), NOT_COMPLETE)
+        .when(F.col("notified").isNotNull(), CALLBACK_RUN)
+        .when(F.col("callback").isNull(), NO_CALLBACK)
         .otherwise("ready")
     )
     url = F.replace(F.col("callback"), F.lit("$jobId"), F.col("id").cast("string"))

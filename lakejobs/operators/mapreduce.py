@@ -13,7 +13,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.errors import BadParam
+from lakejobs.errors import MISSING_PARAM, BadParam
 from lakejobs.sources.files import read_inputs
 
 # Fixed value: the characters that separate words.
@@ -111,7 +111,7 @@ def stream_map_reduce(
     """
     for name, value in (("input", inputs), ("mapper", mapper), ("reducer", reducer)):
         if value is None or (isinstance(value, (str, list)) and not value):
-            raise BadParam(f"Missing {name} parameter")
+            raise BadParam(MISSING_PARAM.format(name))
     for path in files:
         spark.sparkContext.addFile(path)
     env = dict(env or {})

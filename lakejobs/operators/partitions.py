@@ -6,7 +6,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.errors import AlreadyExists, NotFound
+from lakejobs.errors import (
+    MISSING_PARTITION,
+    MISSING_TABLE,
+    NOT_PARTITIONED,
+    PARTITION_EXISTS,
+    AlreadyExists,
+    NotFound,
+)
 from lakejobs.operators.stats import column_array, file_totals
 from lakejobs.sources.files import file_inventory
 from lakejobs.sources.spec import (
@@ -20,12 +27,14 @@ from lakejobs.sources.tables import conform, describe, partition_clause, qualifi
 
 # Fixed value: the directory name of a null partition value.
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+# Partitions named in one catalog statement.
+DROP_AT_ONCE = 500
 
 
 def partition_columns(spark: SparkSession, table: str) -> list[str]:
     """Partition column names of a table, in declared order."""
     if not table_exists(spark, table):
-        raise NotFound(f"Table {table} does not exist")
+        raise NotFound(MISSING_TABLE.format(table))
     return describe(spark, table).get("partition_columns", [])
 
 
@@ -65,20 +74,28 @@ def partition_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def _values(col: str):
+    """The (columnName, columnValue) pairs of a catalog partition name such as ``dt=1/country=I%2FN``."""
+
+    def decode(text):
+        return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+    return F.transform(
+        F.split(col, "/"),
+        lambda p: F.struct(
+            decode(F.substring_index(p, "=", 1)).alias("columnName"),
+            decode(F.split(p, "=", 2)[1]).alias("columnValue"),
+        ),
+    )
+
+
 def partitions(spark: SparkSession, table: str) -> DataFrame:
     """One row per partition, also where it has no rows: name, values, rows, files, bytes."""
     columns = partition_columns(spark, table)
     if not columns:
-        raise NotFound(f"Table {table} is not a partitioned table")
-    decode = lambda text: F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+        raise NotFound(NOT_PARTITIONED.format(table))
     declared = spark.sql(f"SHOW PARTITIONS {qualified(table)}").select(
-        F.transform(
-            F.split("partition", "/"),
-            lambda p: F.struct(
-                decode(F.substring_index(p, "=", 1)).alias("columnName"),
-                decode(F.split(p, "=", 2)[1]).alias("columnValue"),
-            ),
-        ).alias("values")
+        _values("partition").alias("values")
     )
     named = declared.withColumn(
         "name",
@@ -114,7 +131,7 @@ def describe_partition(spark: SparkSession, table: str, spec: str) -> DataFrame:
     values = parse_partition(spec)
     location = _partition_location(spark, table, values)
     if location is None:
-        raise NotFound(f"Partition {spec} does not exist")
+        raise NotFound(MISSING_PARTITION.format(spec))
     full = spark.table(table)
     wanted = full
     for name, value in values.items():
@@ -151,7 +168,7 @@ def add_partition(
     if _partition_location(spark, table, values) is not None:
         if if_not_exists:
             return False
-        raise AlreadyExists("Partition already exists", table=table, partition=spec)
+        raise AlreadyExists(PARTITION_EXISTS, table=table, partition=spec)
     at = f" LOCATION {quote_text(location)}" if location else ""
     clause = f"PARTITION ({partition_clause(values)})"
     spark.sql(f"ALTER TABLE {qualified(table)} ADD {clause}{at}")
@@ -169,11 +186,12 @@ def add_partition(
 def drop_partition(spark: SparkSession, table: str, spec: str, if_exists: bool = False) -> None:
     """Drop every partition that matches; a partial spec may match several, none is an error."""
     partition_columns(spark, table)
-    exists = "IF EXISTS " if if_exists else ""
     clause = partition_clause(parse_partition(spec))
-    try:
-        spark.sql(f"ALTER TABLE {qualified(table)} DROP {exists}PARTITION ({clause})")
-    except AnalysisException as error:
-        if (error.getCondition() or "").startswith("PARTITION"):
-            raise NotFound(f"Partition {spec} does not exist") from error
-        raise
+    matching = spark.sql(f"SHOW PARTITIONS {qualified(table)} PARTITION ({clause})")
+    named = matching.select(_values("partition").alias("values")).collect()  # names, not rows
+    if not named and not if_exists:
+        raise NotFound(MISSING_PARTITION.format(spec))
+    specs = [f"PARTITION ({partition_clause({v[0]: v[1] for v in row[0]})})" for row in named]
+    for start in range(0, len(specs), DROP_AT_ONCE):
+        several = ", ".join(specs[start : start + DROP_AT_ONCE])
+        spark.sql(f"ALTER TABLE {qualified(table)} DROP IF EXISTS {several}")

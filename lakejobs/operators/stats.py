@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakejobs.errors import JobError, NotFound
+from lakejobs.errors import MISSING_COLUMN, MISSING_TABLE, JobError, NotFound
 from lakejobs.sources.files import file_inventory
 from lakejobs.sources.spec import quote_name, table_exists
 from lakejobs.sources.tables import describe
@@ -39,7 +39,7 @@ def describe_columns(spark: SparkSession, target: str | DataFrame) -> DataFrame:
     names: list[str] = []
     if isinstance(target, str):
         if not table_exists(spark, target):
-            raise NotFound(f"Table {target} does not exist")
+            raise NotFound(MISSING_TABLE.format(target))
         df = spark.table(target)
         names = describe(spark, target).get("partition_columns", [])
     return spark.createDataFrame(_column_facts(df, names), COLUMN_SCHEMA)
@@ -49,7 +49,7 @@ def describe_column(spark: SparkSession, target: str | DataFrame, name: str) ->
     """The row of :func:`describe_columns` for one column, by its exact name."""
     df = spark.table(target) if isinstance(target, str) else target
     if name not in df.columns:
-        raise JobError(f"unable to find column {name}")
+        raise JobError(MISSING_COLUMN.format(name))
     return describe_columns(spark, target).where(F.col("name") == name)
 
 
@@ -104,7 +104,7 @@ def profile_columns(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
 def profile_column(df: DataFrame, name: str, exact_distinct: bool = False) -> DataFrame:
     """:func:`profile_columns` of one column; the scan reads that column only."""
     if name not in df.columns:
-        raise JobError(f"unable to find column {name}")
+        raise JobError(MISSING_COLUMN.format(name))
     return profile_columns(df.select(quote_name(name)), exact_distinct).drop("position")
 
 
@@ -138,7 +138,7 @@ def table_stats(spark: SparkSession, target: str, fmt: str = "parquet") -> DataF
         files = file_inventory(spark, location)
     else:
         if not table_exists(spark, target):
-            raise NotFound(f"Table {target} does not exist")
+            raise NotFound(MISSING_TABLE.format(target))
         facts = describe(spark, target)
         df, location = spark.table(target), facts["location"]
         names = facts.get("partition_columns", [])

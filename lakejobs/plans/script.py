@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakejobs.errors import BadParam, StatementFailed
+from lakejobs.errors import NO_SCRIPT, BadParam, StatementFailed
 from lakejobs.sources.files import check_inputs
 
 # Parts of a text in which a semicolon does not end a statement: quoted text, names, comments.
@@ -53,7 +53,7 @@ def run_sql(
     its statement.
     """
     if not execute and not file:
-        raise BadParam("Either execute or file parameter required")
+        raise BadParam(NO_SCRIPT)
     text = execute or _file_text(spark, file)
     for define in defines:
         name, separator, value = define.partition("=")
@@ -64,7 +64,7 @@ def run_sql(
         text = fill_params(text, params)
     statements = split_statements(text)
     if not statements:
-        raise BadParam("Either execute or file parameter required")
+        raise BadParam(NO_SCRIPT)
     result = None
     for statement in statements:
         result = _run_one(spark, statement, check)
@@ -86,4 +86,4 @@ def _run_one(spark: SparkSession, statement: str, check: bool) -> DataFrame:
 def _file_text(spark: SparkSession, file: str) -> str:
     """A script is small by nature: it is read as one row."""
     path = check_inputs(spark, [file])[0]
-    return spark.read.option("wholetext", "true").text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]

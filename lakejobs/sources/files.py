@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.errors import NotFound
+from lakejobs.errors import MISSING_FILE, NotFound
 
 
 def file_inventory(spark: SparkSession, directory: str, pattern: str | None = None) -> DataFrame:
@@ -40,7 +40,7 @@ def check_inputs(spark: SparkSession, inputs: str | list[str]) -> list[str]:
         path = gateway.org.apache.hadoop.fs.Path(name)
         fs = path.getFileSystem(conf)
         if not fs.globStatus(path):
-            raise NotFound(f"File {name} does not exist.")
+            raise NotFound(MISSING_FILE.format(name))
         qualified.append(path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString())
     return qualified
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
-from lakejobs.errors import BadParam
+from lakejobs.errors import INVALID_IDENTIFIER, MISSING_PARAM, BadParam
 
 # Type words of the dataflow language beside Spark's own DDL words.
 TYPE_ALIASES = {"chararray": "string", "bytearray": "binary"}
@@ -24,9 +24,9 @@ IDENTIFIER = re.compile(r"[a-zA-Z]\w*", re.ASCII)
 def check_identifier(value: str | None, what: str) -> str:
     """The value, if it is a simple DDL identifier; databases, tables and properties must be."""
     if value is None:
-        raise BadParam(f"Missing {what} parameter")
+        raise BadParam(MISSING_PARAM.format(what))
     if not IDENTIFIER.fullmatch(value):
-        raise BadParam(f"Invalid DDL identifier {what}")
+        raise BadParam(INVALID_IDENTIFIER.format(what))
     return value
 
 

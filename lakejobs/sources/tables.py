@@ -8,7 +8,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.errors import AlreadyExists, BadParam, NotFound
+from lakejobs.errors import (
+    COLUMN_EXISTS,
+    MISSING_COLUMN,
+    MISSING_PARAM,
+    MISSING_TABLE,
+    TABLE_EXISTS,
+    AlreadyExists,
+    BadParam,
+    NotFound,
+)
 from lakejobs.sources.files import check_inputs
 from lakejobs.sources.formats import STORED_AS, format_of
 from lakejobs.sources.spec import (
@@ -32,7 +41,7 @@ def conform(df: DataFrame, columns) -> DataFrame:
     declared = columns_of(columns).fields
     unknown = [name for name in df.columns if name not in {f.name for f in declared}]
     if unknown:
-        raise BadParam(f"unable to find column {unknown[0]}")
+        raise BadParam(MISSING_COLUMN.format(unknown[0]))
     have = set(df.columns)
     return df.select(
         *[
@@ -53,9 +62,9 @@ def create_table(spark: SparkSession, spec: TableSpec, df: DataFrame | None = No
     if table_exists(spark, spec.table):
         if spec.if_not_exists:
             return spark.table(spec.table)
-        raise AlreadyExists(f"Table {spec.table} already exists")
+        raise AlreadyExists(TABLE_EXISTS.format(spec.table))
     if spec.external and not spec.location:
-        raise BadParam("Missing location parameter")
+        raise BadParam(MISSING_PARAM.format("location"))
     spark.sql(_create_statement(spec))
     if df is not None:
         try:
@@ -147,11 +156,11 @@ def create_like(
 ) -> DataFrame:
     """An empty table with the columns, comments, partitioning and format of another."""
     if not table_exists(spark, existing):
-        raise NotFound(f"Table {existing} does not exist")
+        raise NotFound(MISSING_TABLE.format(existing))
     if table_exists(spark, new):
         if if_not_exists:
             return spark.table(new)
-        raise AlreadyExists(f"Table {new} already exists")
+        raise AlreadyExists(TABLE_EXISTS.format(new))
     clause = f" LOCATION {quote_text(location)}" if location else ""
     spark.sql(f"CREATE TABLE {qualified(new)} LIKE {qualified(existing)}{clause}")
     return spark.table(new)
@@ -176,7 +185,7 @@ def load_overwrite(
     Paths are read in the table's own format. An empty source leaves the target empty.
     """
     if not table_exists(spark, table):
-        raise NotFound(f"Table {table} does not exist")
+        raise NotFound(MISSING_TABLE.format(table))
     target = spark.table(table)
     values = parse_partition(partition) if partition else {}
     columns = [f for f in target.schema.fields if f.name not in values]
@@ -224,13 +233,13 @@ def read_evolved(
 def add_column(spark: SparkSession, table: str, column: Column) -> DataFrame:
     """Append a data column; rows written before read null. A duplicate name is an error."""
     if not table_exists(spark, table):
-        raise NotFound(f"Table {table} does not exist")
+        raise NotFound(MISSING_TABLE.format(table))
     if not column.type:
-        raise BadParam("Missing column type parameter")
+        raise BadParam(MISSING_PARAM.format("column type"))
     try:
         spark.sql(f"ALTER TABLE {qualified(table)} ADD COLUMNS ({column_clause(column)})")
     except AnalysisException as error:
         if (error.getCondition() or "") in ("COLUMN_ALREADY_EXISTS", "FIELD_ALREADY_EXISTS"):
-            raise AlreadyExists(f"Column {column.name} already exists") from error
+            raise AlreadyExists(COLUMN_EXISTS.format(column.name)) from error
         raise
     return spark.table(table)
