@@ -139,13 +139,21 @@ def callback_state(jobs: DataFrame) -> DataFrame:
     return jobs.select("id", state.alias("state"), F.when(state == "ready", url).alias("url"))
 
 
-def _is_expired(now_ms: int, max_age_ms: int) -> Column:
-    return F.lit(now_ms) - F.coalesce(F.col("created"), F.lit(0)) > max_age_ms
+def expired(jobs: DataFrame, now_ms: int, max_age_ms: int = MAX_AGE_MS) -> DataFrame:
+    """Jobs created more than ``max_age_ms`` before ``now_ms``; an unknown creation time counts as 0.
+
+    The test is a plain comparison on ``created``, so it reaches the scan.
+    """
+    oldest = now_ms - max_age_ms
+    old = F.col("created") < oldest
+    return jobs.where(old | F.col("created").isNull() if oldest > 0 else old)
 
 
-def expired(jobs: DataFrame, now_ms: int, max_age_ms: int = MAX_AGE_MS) -> DataFrame:
-    """Jobs created more than ``max_age_ms`` before ``now_ms``; an unknown creation time is old."""
-    return jobs.where(_is_expired(now_ms, max_age_ms))
+def unexpired(jobs: DataFrame, now_ms: int, max_age_ms: int = MAX_AGE_MS) -> DataFrame:
+    """The jobs :func:`expired` leaves out."""
+    oldest = now_ms - max_age_ms
+    young = F.col("created") >= oldest
+    return jobs.where(young if oldest > 0 else young | F.col("created").isNull())
 
 
 def purge(
@@ -153,5 +161,5 @@ def purge(
 ) -> tuple[DataFrame, ...]:
     """The jobs that stay, and of every further table keyed by ``id`` the rows of jobs not expired."""
     gone = expired(jobs, now_ms, max_age_ms).select("id")
-    stay = jobs.where(~_is_expired(now_ms, max_age_ms))
+    stay = unexpired(jobs, now_ms, max_age_ms)
     return (stay, *[other.join(gone, "id", "left_anti") for other in others])

@@ -41,24 +41,31 @@ def range_pieces(
     return ranged.withColumn("_piece", F.spark_partition_id())
 
 
+def bounded_broadcast(df: DataFrame) -> DataFrame:
+    """A checkpointed ``df``, marked for broadcast if its measured size allows it.
+
+    Beyond :data:`BROADCAST_BYTES` the planner joins by shuffle, where AQE splits hot keys.
+    """
+    row_bytes = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    return F.broadcast(df) if (df.agg(row_bytes).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def split_heavy(
     df: DataFrame, keys: list[str], weight: Column, limit: int
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of groups up to ``limit`` in summed weight, and rows of the heavier groups (or None).
 
-    The sums are aggregated per task before their shuffle. Heavy keys are few - at most the total
-    weight over ``limit`` - and their bytes are checked before they are broadcast.
+    The sums are aggregated per task before their shuffle. Heavy keys are few: at most the total
+    weight over ``limit``.
     """
     ensure_checkpoints(df.sparkSession)
     names = [quote_name(k) for k in keys]
     sums = df.groupBy(*names).agg(F.sum(weight).alias("_weight"))
     heavy = sums.where(F.col("_weight") > limit).select(*names).checkpoint()
-    size = F.sum(F.octet_length(F.to_json(F.struct(*names))))
-    count, key_bytes = heavy.agg(F.count("*"), size).first()
-    if count == 0:
+    if heavy.isEmpty():
         return df, None
     side, match = beside(heavy, keys)
-    side = F.broadcast(side) if key_bytes <= BROADCAST_BYTES else side
+    side = bounded_broadcast(side)
     return df.join(side, match, "left_anti"), df.join(side, match, "left_semi")
 
 
@@ -72,17 +79,18 @@ def limit_bytes(
     """The rows whose text, each with its newline, is within the first ``max_bytes`` bytes.
 
     Rows count in the order of ``order``, which must be unique (within a group of ``per``), and are
-    kept or left out whole. Text itself is never moved: only (group, order, size) is
-    range-partitioned and summed, first per piece and then inside the one piece of each group where
-    the limit falls. The outcome is the last order value to keep - one row per group.
+    kept or left out whole. Only (group, order, size) is range-partitioned and summed, first per
+    piece and then inside the one piece of each group where the limit falls. The outcome is the last
+    order value to keep - one row per group - and text is filtered by it where it is read, unless
+    there are too many groups to broadcast.
     """
     order = [order] if isinstance(order, str) else list(order)
     keys = [] if per is None else [per] if isinstance(per, str) else list(per)
     ensure_checkpoints(df.sparkSession)
-    at = F.struct(*[quote_name(c) for c in order])
+    at = _place(order)
     size = F.coalesce(F.octet_length(quote_name(text_col)), F.lit(0)).cast("long") + 1
     narrow = df.select(*map(quote_name, dict.fromkeys(keys + order)), size.alias("_bytes"))
-    # Both passes below must see the same pieces, so their numbering is fixed first.
+    # All later steps must see the same pieces, so their numbering is fixed first.
     rows = range_pieces(narrow, keys + order, F.lit(32)).checkpoint()
 
     names = [quote_name(k) for k in keys]
@@ -91,21 +99,18 @@ def limit_bytes(
         rows.groupBy(*names, "_piece")
         .agg(F.sum("_bytes").alias("_sum"), F.max(at).alias("_at"))
         .withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+        .where(F.col("_before") < max_bytes)
+        .checkpoint()
     )
-    whole = pieces.where(F.col("_before") + F.col("_sum") <= max_bytes)
-    cut = pieces.where(
-        (F.col("_before") < max_bytes) & (F.col("_before") + F.col("_sum") > max_bytes)
-    )
-    cut_side, same_piece = beside(cut.select(*names, "_piece", "_before"), [*keys, "_piece"])
-    inside = rows.join(cut_side, same_piece).select(
-        *names, "_piece", at.alias("_at"), "_bytes", "_before"
-    )
+    fits = F.col("_before") + F.col("_sum") <= max_bytes
+    cut, same_piece = beside(pieces.where(~fits).drop("_sum", "_at"), [*keys, "_piece"])
+    inside = rows.join(cut, same_piece).select(*names, "_piece", at.alias("_at"), "_bytes", "_before")
     running = W.partitionBy(*names, "_piece").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
-    fitting = inside.withColumn("_end", F.col("_before") + F.sum("_bytes").over(running)).where(
-        F.col("_end") <= max_bytes
-    )
+    upto = F.col("_before") + F.sum("_bytes").over(running)
+    fitting = inside.withColumn("_upto", upto).where(F.col("_upto") <= max_bytes)
     last = (
-        whole.select(*names, "_at")
+        pieces.where(fits)
+        .select(*names, "_at")
         .unionByName(fitting.select(*names, "_at"))
         .groupBy(*names)
         .agg(F.max("_at").alias("_last"))
@@ -115,8 +120,14 @@ def limit_bytes(
         if value is None:
             return df.where(F.lit(False))
         if len(order) == 1:
-            return df.where(F.col(quote_name(order[0])) <= F.lit(value[0]))
+            return df.where(at <= F.lit(value))
         return df.where(at <= F.struct(*[F.lit(v) for v in value]))
-    last_side, same_group = beside(last, keys)
-    kept = df.join(last_side, same_group & (at <= F.col("_last")))
+    side, same_group = beside(last.checkpoint(), keys)
+    kept = df.join(bounded_broadcast(side), same_group & (at <= F.col("_last")))
     return kept.select(*map(quote_name, df.columns))
+
+
+def _place(order: list[str]) -> Column:
+    """The order as one comparable value."""
+    columns = [F.col(quote_name(c)) for c in order]
+    return columns[0] if len(columns) == 1 else F.struct(*columns)

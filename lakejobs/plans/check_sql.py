@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from lakejobs.plans.registry import QUERIES, TABLES, check, table
 from lakejobs.plans.script import run_sql
 from lakejobs.session import scratch_path
 
 
-def use_tables(spark, sf_dir):
+def use_tables(spark, sf_dir, text):
+    """Make the tables a text names visible to it."""
     for name in TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        if re.search(rf"\b{name}\b", text):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
 def sql_check(name: str, text: str, oracle: str | None = None) -> None:
@@ -17,7 +21,7 @@ def sql_check(name: str, text: str, oracle: str | None = None) -> None:
 
     @check(name, oracle or text)
     def run(spark, sf_dir):
-        use_tables(spark, sf_dir)
+        use_tables(spark, sf_dir, text)
         return run_sql(spark, text)
 
     QUERIES[name].__name__ = name
@@ -31,7 +35,6 @@ def sql_check(name: str, text: str, oracle: str | None = None) -> None:
        WHERE spent > 500000 GROUP BY c_mktsegment""",
 )
 def q1_script(spark, sf_dir):
-    use_tables(spark, sf_dir)
     path = scratch_path(spark, "q1_script")
     script = """
         -- what each customer spent; in two statements
@@ -41,6 +44,7 @@ def q1_script(spark, sf_dir):
         FROM customer JOIN q1_spent ON c_custkey = o_custkey
         WHERE spent > ${q1.low} AND c_mktsegment <> ';' GROUP BY c_mktsegment;
     """
+    use_tables(spark, sf_dir, script)
     spark.createDataFrame([(script,)], "value string").coalesce(1).write.text(path)
     return run_sql(spark, file=f"{path}/*.txt", defines=["q1.low=500000"])
 

@@ -6,7 +6,7 @@ by Spark in the query's checkpoint.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -45,10 +45,38 @@ def write_progress(progress: DataFrame, path: str, checkpoint: str) -> DataStrea
     )
 
 
-def read_progress(spark, path: str) -> DataFrame:
-    """The newest row of each job written by :func:`write_progress`."""
+def read_progress(spark: SparkSession, path: str, snapshot: str | None = None) -> DataFrame:
+    """The newest row of each job written by :func:`write_progress`.
+
+    With a ``snapshot`` of :func:`snapshot_progress`, only batches after it are read beside it.
+    """
     batches = spark.read.parquet(path)
-    newest = F.max_by(F.struct(*PROGRESS_FIELDS), "batch").alias("_row")
+    if snapshot:
+        kept = spark.read.parquet(snapshot)
+        upto = kept.agg(F.max("upto")).first()[0]
+        if upto is not None:
+            since = batches.where(F.col("batch") > upto)
+            batches = since.unionByName(kept.drop("upto"))
+    return _newest(batches).drop("batch")
+
+
+def snapshot_progress(spark: SparkSession, path: str, snapshot: str, before: str | None = None) -> None:
+    """Write the current state to ``snapshot``, starting from an earlier snapshot if there is one.
+
+    Long-running streams take one now and then: batches up to it need not be read again.
+    """
+    batches = spark.read.parquet(path)
+    upto = batches.agg(F.max("batch")).first()[0]
+    batches = batches.where(F.col("batch") <= upto)
+    if before:
+        kept = spark.read.parquet(before)
+        since = kept.agg(F.max("upto")).first()[0]
+        batches = batches.where(F.col("batch") > since).unionByName(kept.drop("upto"))
+    _newest(batches).withColumn("upto", F.lit(upto)).write.parquet(snapshot)
+
+
+def _newest(batches: DataFrame) -> DataFrame:
+    newest = F.max_by(F.struct(*PROGRESS_FIELDS, "batch"), "batch").alias("_row")
     return batches.groupBy("job_id").agg(newest).select("job_id", "_row.*")
 
 

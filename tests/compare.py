@@ -36,6 +36,9 @@ def rows_of(columns, rows):
 def difference(spark, sf_dir, query, sql, connection):
     """None if both give the same rows, else a short description."""
     df = query(spark, sf_dir)
+    joins = df._jdf.queryExecution().executedPlan().toString()
+    if "NestedLoopJoin" in joins or "CartesianProduct" in joins:
+        return "the plan joins every row with every row"
     names, ours = rows_of(df.columns, df.collect())
     cursor = connection.execute(sql)
     expected_names, expected = rows_of([d[0] for d in cursor.description], cursor.fetchall())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakejobs.errors import BadParam
 from lakejobs.operators import jobs as J
 from lakejobs.operators.mapreduce import stream_map_reduce, text_wc, word_count
-from lakejobs.streaming.progress import outcome_stream, progress_stream, read_progress, write_progress
+from lakejobs.streaming.progress import outcome_stream, progress_stream, read_progress, snapshot_progress, write_progress
 
 EVENTS = [
     ("JOB", "job_1_1", "user", "ann", 1), ("JOB", "job_1_1", "user", "bob", 3), ("JOB", "job_1_1", "user", None, 4),
@@ -73,6 +73,8 @@ def test_callbacks_and_retention(spark):
         "c": ("No callback registered", None), "d": ("ready", "h/d/d"),
     }
     assert {r.id for r in J.expired(jobs, 15, 10).collect()} == {"c", "d"}
+    assert {r.id for r in J.expired(jobs, 10, 10).collect()} == set()
+    assert {r.id for r in J.unexpired(jobs, 10, 10).collect()} == {"a", "b", "c", "d"}
     stay, tracking = J.purge(jobs, 15, 10, jobs.select("id"))
     assert {r.id for r in stay.collect()} == {r.id for r in tracking.collect()} == {"a", "b"}
 
@@ -99,7 +101,13 @@ def test_progress_stream_resumes(spark, tmp_path):
     assert catch_up() == {(1, "50% complete", "job_1_1")}
     more = [(1, 5, " map 1% reduce 0%"), (2, 2, " HadoopJobId: job_1_2")]
     spark.createDataFrame(more, schema).write.mode("append").parquet(source)
-    assert catch_up() == {(1, "map 1% reduce 0%", "job_1_1"), (2, None, "job_1_2")}
+    snapshots = [str(tmp_path / n) for n in ("s1", "s2")]
+    snapshot_progress(spark, out, snapshots[0])
+    now = {(1, "map 1% reduce 0%", "job_1_1"), (2, None, "job_1_2")}
+    assert catch_up() == now
+    assert {tuple(r) for r in read_progress(spark, out, snapshots[0]).collect()} == now
+    snapshot_progress(spark, out, snapshots[1], before=snapshots[0])
+    assert {tuple(r) for r in read_progress(spark, out, snapshots[1]).collect()} == now
 
 
 def test_outcomes_come_once(spark, tmp_path):
