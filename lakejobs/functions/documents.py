@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +22,11 @@ def _opened(doc: Column) -> Column:
     return F.from_json(F.when(doc == "", "{}").otherwise(F.coalesce(doc, F.lit("{}"))), _TOP_LEVEL)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def annotate_json(
     doc: Column | str, put: dict[str, Column] | None = None, remove: Sequence[str] = ()
 ) -> Column:
@@ -34,6 +39,10 @@ def annotate_json(
     doc = F.col(doc) if isinstance(doc, str) else doc
     put = put or {}
     entries = F.map_entries(_opened(doc))
+    return F.to_json(_once(entries, lambda e: F.map_from_entries(_changed(e, put, remove))))
+
+
+def _changed(entries: Column, put: dict[str, Column], remove: Sequence[str]) -> Column:
     # Of a key that occurs twice the last one counts.
     keys = F.transform(entries, lambda e: e["key"])
     repeated = F.size(F.array_distinct(keys)) < F.size(keys)
@@ -43,8 +52,9 @@ def annotate_json(
             F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]
         ),
     )
-    entries = F.when(repeated, last).otherwise(entries)
-    kept = F.filter(entries, lambda e: ~_replaced(e["key"], put, remove))
+    kept = F.when(repeated, last).otherwise(entries)
+    if put or remove:
+        kept = F.filter(kept, lambda e: ~_replaced(e["key"], put, remove))
     for name, value in put.items():
         as_variant = F.to_variant_object(F.array(value))
         entry = F.struct(
@@ -52,7 +62,7 @@ def annotate_json(
         )
         none = F.array().cast("array<struct<key:string,value:variant>>")
         kept = F.concat(kept, F.when(value.isNotNull(), F.array(entry)).otherwise(none))
-    return F.to_json(F.map_from_entries(kept))
+    return kept
 
 
 def _replaced(key: Column, put: dict[str, Column], remove: Sequence[str]) -> Column:
@@ -69,12 +79,17 @@ def response_status(doc: Column | str) -> Column:
     a number or as text, overrides both. Text that is not a JSON object is a 500.
     """
     doc = F.col(doc) if isinstance(doc, str) else doc
-    opened = _opened(doc)
-    raw = F.to_json(F.map_filter(opened, lambda k, _: k == "errorCode"))
-    code = F.regexp_extract(raw, r'"errorCode":"?([+-]?\d+)"?\}', 1).try_cast("int")
-    fraction = F.regexp_extract(raw, r'"errorCode":(-?\d+)\.\d+\}', 1).try_cast("int")
+    return _once(_opened(doc), _status)
+
+
+def _status(opened: Column) -> Column:
+    given = F.to_json(F.map_filter(opened, lambda k, _: k == "errorCode"))
+    # Whole numbers, also in quotes; of a number with a fraction the whole part.
+    whole = F.regexp_extract(given, r':(?:"?([+-]?\d+)"?|(?:-?\d+)\.\d+)\}\z', 1).try_cast("int")
+    part = F.regexp_extract(given, r":(-?\d+)\.\d+\}\z", 1).try_cast("int")
     plain = F.when(F.map_contains_key(opened, "error"), SERVER_ERROR).otherwise(OK)
-    return F.when(opened.isNull(), SERVER_ERROR).otherwise(F.coalesce(code, fraction, plain))
+    named = F.when(F.map_contains_key(opened, "errorCode"), F.coalesce(whole, part))
+    return F.when(opened.isNull(), SERVER_ERROR).otherwise(F.coalesce(named, plain))
 
 
 def first_entry(doc: Column | str, field: str, name: Column | str) -> Column:

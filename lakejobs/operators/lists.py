@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakejobs.functions.lists import decode_list, encode_list
+from lakejobs.functions.lists import decode_list, escape_item
 from lakejobs.operators.ordered import PIECE_BYTES, range_pieces, split_heavy
 from lakejobs.sources.spec import quote_name
 
@@ -24,13 +24,15 @@ def pack_lists(
     it comes in several rows that, joined by commas in the order of ``part``, are the whole list,
     and it is built from range partitions so that no task holds all of it.
     """
-    k, item = quote_name(key), F.col(quote_name(col)).cast("string")
     rows = df.select(
-        F.col(k).alias("_key"), F.col(quote_name(order)).alias("_order"), item.alias("_item")
+        F.col(quote_name(key)).alias("_key"),
+        F.col(quote_name(order)).alias("_order"),
+        escape_item(F.col(quote_name(col)).cast("string")).alias("_item"),
     )
-    weight = F.coalesce(F.octet_length("_item"), F.lit(0)).cast("long") + 16
+    weight = F.octet_length("_item").cast("long") + 16
     small, big = split_heavy(rows, ["_key"], weight, max_list_bytes)
-    packed = _collect(small.withColumn("_piece", F.lit(0)))
+    # Lists do not shrink when they are half built, so rows are shuffled as they are.
+    packed = _collect(small.repartition("_key").withColumn("_piece", F.lit(0)))
     if big is not None:
         pieces = range_pieces(big, ["_key", "_order"], weight, max_list_bytes)
         packed = packed.unionByName(_collect(pieces))
@@ -38,11 +40,11 @@ def pack_lists(
 
 
 def _collect(rows: DataFrame) -> DataFrame:
-    collected = F.array_sort(F.collect_list(F.struct("_order", "_item")))
+    collected = F.sort_array(F.collect_list(F.struct("_order", "_item")))
     return (
         rows.groupBy("_key", F.col("_piece").alias("part"))
         .agg(collected.alias("_rows"))
-        .select("_key", "part", encode_list(F.col("_rows")["_item"]).alias("list"))
+        .select("_key", "part", F.array_join(F.col("_rows")["_item"], ",").alias("list"))
     )
 
 

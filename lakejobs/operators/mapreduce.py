@@ -5,24 +5,34 @@ from __future__ import annotations
 import os
 import shlex
 import subprocess
+import sys
 import threading
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakejobs.errors import MISSING_PARAM, BadParam
 from lakejobs.sources.files import read_inputs
 
+# The pipe function travels inside the query: executors need not have this package installed.
+register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: the characters that separate words.
 WHITESPACE = "[ \t\n\r\f]+"
 _READ_BYTES = 1 << 20
 
 
 def _pipe(command: str, env: dict[str, str]) -> Callable[[Iterator], Iterator]:
-    """A ``mapInArrow`` function that sends one partition's lines through a program."""
+    """A ``mapInArrow`` function that sends one partition's lines through a program.
+
+    Lines arrive with their newline, so the bytes of a batch go to the program as they are; output
+    is cut into lines by offsets. No line becomes a Python object.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         process = subprocess.Popen(
@@ -39,7 +49,7 @@ def _pipe(command: str, env: dict[str, str]) -> Callable[[Iterator], Iterator]:
                 with process.stdin as sink:
                     for batch in batches:
                         if batch.num_rows:
-                            sink.write(b"\n".join(batch.column(0).to_pylist()) + b"\n")
+                            sink.write(_bytes_of(batch.column(0)))
             except BrokenPipeError:
                 pass  # the program stopped reading, as head does
             except BaseException as error:  # noqa: BLE001 - raised again in the reading thread
@@ -50,12 +60,15 @@ def _pipe(command: str, env: dict[str, str]) -> Callable[[Iterator], Iterator]:
         feeder.start()
         try:
             rest = b""
-            while block := process.stdout.read1(_READ_BYTES):
-                *lines, rest = (rest + block).split(b"\n")
-                if lines:
-                    yield _line_batch(lines)
+            while block := process.stdout.read(_READ_BYTES):
+                end = block.rfind(b"\n") + 1
+                if end:
+                    yield _lines_of(rest + block[:end])
+                    rest = block[end:]
+                else:
+                    rest += block
             if rest:
-                yield _line_batch([rest])
+                yield _lines_of(rest + b"\n")
             code = process.wait()
             feeder.join()
         finally:
@@ -69,22 +82,38 @@ def _pipe(command: str, env: dict[str, str]) -> Callable[[Iterator], Iterator]:
     return run
 
 
-def _line_batch(lines: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(lines, pa.binary())], names=["line"])
-
-
-def _through(df: DataFrame, command: str, env: dict[str, str]) -> DataFrame:
-    """Pipe the one column of ``df`` and split each output line at its first tab."""
-    out = df.mapInArrow(_pipe(command, env), "line binary")
-    line = out.select(F.col("line").cast("string").alias("line"))
-    key = F.substring_index("line", "\t", 1)
-    return line.select(
-        key.alias("key"), F.expr("substring(line, length(substring_index(line, '\t', 1)) + 2)").alias("value")
+def _bytes_of(lines: pa.Array) -> memoryview:
+    """The values of a binary array one after the other."""
+    width = np.int64 if pa.types.is_large_binary(lines.type) else np.int32
+    _, offsets, data = lines.buffers()
+    ends = np.frombuffer(offsets, width, len(lines) + 1 + lines.offset)
+    return memoryview(data)[ends[lines.offset] : ends[-1]] if data else memoryview(b"")
+
+
+def _lines_of(block: bytes) -> pa.RecordBatch:
+    """A block of whole lines as one row per line, without newlines."""
+    text = np.frombuffer(block, np.uint8)
+    newline = text == ord("\n")
+    ends = np.flatnonzero(newline)
+    offsets = np.zeros(len(ends) + 1, np.int32)
+    offsets[1:] = ends - np.arange(len(ends))
+    data = pa.py_buffer(text[~newline].tobytes())
+    lines = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), data])
+    return pa.RecordBatch.from_arrays([lines], names=["line"])
+
+
+def _through(lines: DataFrame, command: str, env: dict[str, str]) -> DataFrame:
+    """Pipe the text column ``line`` and split each output line at its first tab."""
+    ended = lines.select(F.concat("line", F.lit("\n")).cast("binary").alias("line"))
+    out = ended.mapInArrow(_pipe(command, env), "line binary")
+    return out.select(F.col("line").cast("string").alias("line")).selectExpr(
+        "substring_index(line, '\t', 1) AS key",
+        "substring(line, length(substring_index(line, '\t', 1)) + 2) AS value",
     )
 
 
 def _as_lines(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.concat_ws("\t", "key", "value").cast("binary").alias("line"))
+    return pairs.select(F.concat_ws("\t", "key", "value").alias("line"))
 
 
 def stream_map_reduce(
@@ -116,7 +145,7 @@ def stream_map_reduce(
         spark.sparkContext.addFile(path)
     env = dict(env or {})
     lines = inputs if isinstance(inputs, DataFrame) else read_inputs(spark, inputs)
-    mapped = _through(lines.select(F.col(lines.columns[0]).cast("binary").alias("line")), mapper, env)
+    mapped = _through(lines.select(F.col(lines.columns[0]).alias("line")), mapper, env)
     if combiner:
         mapped = _through(_as_lines(mapped.sortWithinPartitions("key")), combiner, env)
     count = n_reducers or int(spark.conf.get("spark.sql.shuffle.partitions"))
