@@ -101,7 +101,7 @@ def j7_with_children(spark, sf_dir):
 @check(
     "j7_children",
     """SELECT l_orderkey AS id, CAST(l_partkey AS VARCHAR) AS child,
-         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos
+         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INTEGER) AS pos
        FROM lineitem""",
 )
 def j7_children(spark, sf_dir):

@@ -161,7 +161,7 @@ def s8_multi_input(spark, sf_dir):
 
 @check(
     "s9_write_table",
-    """SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_partkey) AS part_sum,
+    """SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS part_sum,
               count(DISTINCT l_orderkey) AS orders
        FROM lineitem GROUP BY l_returnflag, l_linestatus""",
 )

@@ -85,7 +85,7 @@ sql_check(
 )
 sql_check(
     "q1_group_having",
-    """SELECT l_suppkey, count(*) AS n, sum(l_linenumber) AS lines FROM lineitem
+    """SELECT l_suppkey, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem
        GROUP BY l_suppkey HAVING count(*) > 590""",
 )
 sql_check(
@@ -99,7 +99,7 @@ sql_check("q1_cube", _FLAGS + "CUBE (l_returnflag, l_linestatus)")
 sql_check("q1_grouping_sets", _FLAGS + "GROUPING SETS ((l_returnflag), (l_linestatus), ())")
 sql_check(
     "q1_rank",
-    """SELECT o_custkey, o_orderkey, r FROM (
+    """SELECT o_custkey, o_orderkey, CAST(r AS INTEGER) AS r FROM (
          SELECT o_custkey, o_orderkey,
                 rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) ranked
        WHERE r <= 3""",
@@ -132,15 +132,17 @@ sql_check(
 )
 sql_check(
     "q1_string",
-    """SELECT p_partkey, upper(p_name) AS name, length(p_type) AS size, substring(p_brand, 7) AS brand,
+    """SELECT p_partkey, upper(p_name) AS name, CAST(length(p_type) AS INTEGER) AS size, substring(p_brand, 7) AS brand,
               replace(p_name, ' ', '_') AS snake, concat(p_brand, '/', p_type) AS kind FROM part""",
 )
 sql_check(
     "q1_date",
     """SELECT o_orderkey, year(o_orderdate) AS y, quarter(o_orderdate) AS q, dayofyear(o_orderdate) AS d,
               datediff(o_orderdate, DATE'1992-01-01') AS since FROM orders""",
-    """SELECT o_orderkey, year(o_orderdate) AS y, quarter(o_orderdate) AS q, dayofyear(o_orderdate) AS d,
-              date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS since FROM orders""",
+    """SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(quarter(o_orderdate) AS INTEGER) AS q,
+              CAST(dayofyear(o_orderdate) AS INTEGER) AS d,
+              CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS since
+       FROM orders""",
 )
 sql_check(
     "q1_math",
@@ -152,7 +154,7 @@ sql_check(
     """SELECT o_orderkey, size(split(o_orderpriority, '-')) AS parts,
               aggregate(sequence(1L, 1 + o_orderkey % 5), 0L, (a, x) -> a + x) AS total,
               map(o_orderstatus, o_custkey)['F'] AS f_customer FROM orders""",
-    """SELECT o_orderkey, len(string_split(o_orderpriority, '-')) AS parts,
+    """SELECT o_orderkey, CAST(len(string_split(o_orderpriority, '-')) AS INTEGER) AS parts,
               CAST(list_sum(range(1, 2 + o_orderkey % 5)) AS BIGINT) AS total,
               CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS f_customer FROM orders""",
 )

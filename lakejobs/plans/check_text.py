@@ -130,7 +130,7 @@ def f1_pack(spark, sf_dir):
 
 @check(
     "f2_pack_unpack",
-    f"""SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos,
+    f"""SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS pos,
           coalesce({ITEM_SQL}, '') AS item FROM events""",
 )
 def f2_pack_unpack(spark, sf_dir):
@@ -140,7 +140,7 @@ def f2_pack_unpack(spark, sf_dir):
 
 @check(
     "f3_drop_unset",
-    f"""SELECT event_id, item, event_id % 4 AS n_marks FROM (SELECT *, {ITEM_SQL} AS item FROM events)
+    f"""SELECT event_id, item, CAST(event_id % 4 AS INTEGER) AS n_marks FROM (SELECT *, {ITEM_SQL} AS item FROM events)
         WHERE item IS NOT NULL AND item <> '' AND event_id % 4 > 0""",
 )
 def f3_drop_unset(spark, sf_dir):

@@ -65,7 +65,7 @@ def create_table(spark: SparkSession, spec: TableSpec, df: DataFrame | None = No
         raise AlreadyExists(TABLE_EXISTS.format(spec.table))
     if spec.external and not spec.location:
         raise BadParam(MISSING_PARAM.format("location"))
-    spark.sql(_create_statement(spec))
+    spark.sql(_create_statement(spark, spec))
     if df is not None:
         try:
             arrange(conform(df, spec.schema()), spec).write.insertInto(spec.table)
@@ -123,8 +123,9 @@ def _properties(properties) -> str:
     return ", ".join(f"{quote_text(k)} = {quote_text(v)}" for k, v in properties.items())
 
 
-def _create_statement(spec: TableSpec) -> str:
-    provider, options = format_of(spec.storage, columns_of(spec.columns))
+def _create_statement(spark: SparkSession, spec: TableSpec) -> str:
+    hive = spark.conf.get("spark.sql.catalogImplementation", "in-memory") == "hive"
+    provider, options = format_of(spec.storage, columns_of(spec.columns), hive)
     columns = ", ".join(column_clause(c) for c in (*spec.columns, *spec.partitioned_by))
     clauses = [f"CREATE TABLE {qualified(spec.table)} ({columns}) USING {quote_name(provider)}"]
     if options:

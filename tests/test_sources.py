@@ -164,6 +164,12 @@ def test_formats():
     assert format_of(Storage(RowFormat(fields=";")))[1]["sep"] == ";"
     assert format_of(Storage(RowFormat(serde="my.source", serde_properties={"k": "v"}))) == ("my.source", {"k": "v"})
     assert format_of(Storage(stored_by="jdbc", properties={"url": "u"})) == ("jdbc", {"url": "u"})
+    full = RowFormat("\x01", "\x02", "\x03", "\n")
+    assert format_of(Storage(full, "rcfile"), hive=True) == ("hive", {"fileFormat": "rcfile"})
+    assert format_of(Storage(full), hive=True) == ("hive", {
+        "fileFormat": "textfile", "fieldDelim": "\x01", "collectionDelim": "\x02", "mapkeyDelim": "\x03", "lineDelim": "\n",
+    })
+    assert format_of(Storage(stored_as="orc"), hive=True) == ("orc", {})
     with pytest.raises(BadParam):
         format_of(Storage(stored_as="nothing"))
 
