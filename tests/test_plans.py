@@ -11,7 +11,7 @@ from __spark_entry__ import queries
 from lakejobs.operators import jobs as J
 from lakejobs.operators.lists import pack_lists, unpack_lists
 from lakejobs.operators.mapreduce import stream_map_reduce, word_count
-from lakejobs.operators.ordered import limit_bytes
+from lakejobs.operators.ordered import limit_bytes, range_pieces
 from lakejobs.operators.partitions import partition_stats
 from lakejobs.operators.stats import profile_columns
 from lakejobs.plans import derived
@@ -115,3 +115,75 @@ def test_map_reduce_shuffles_once_and_sorts_in_the_jvm(spark, sf_dir):
 def test_status_joins_are_equi_joins(spark, sf_dir):
     text = plan(J.job_status(derived.jobs(spark, sf_dir), derived.tracker(spark, sf_dir)))
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+@pytest.fixture
+def small_pieces(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16k")
+    yield
+    spark.conf.set(name, before)
+
+
+def _files_per(spark, table_name, column):
+    seen = spark.table(table_name).select(column, F.col("_metadata.file_path").alias("f")).distinct()
+    return {r[0]: r[1] for r in seen.groupBy(column).count().collect()}
+
+
+def test_a_hot_partition_is_written_by_several_tasks(spark, tmp_path, small_pieces):
+    rows = spark.range(40_000).select(
+        F.xxhash64("id").alias("v"), F.when(F.col("id") % 10 < 8, "hot").otherwise((F.col("id") % 10).cast("string")).alias("p")
+    )
+    spec = TableSpec("plan_hot_partition", (Column("v", "bigint"),), (Column("p", "string"),), location=str(tmp_path / "t"))
+    stored = write_table(rows.repartition(16), spec)
+    files = _files_per(spark, spec.table, "p")
+    assert files["hot"] > 1 and files["8"] <= files["hot"]
+    assert stored.where("p = 'hot'").count() == 32_000
+    spark.sql(f"DROP TABLE {spec.table}")
+
+
+def test_a_hot_bucket_is_written_by_several_tasks(spark, tmp_path, small_pieces):
+    rows = spark.range(40_000).select(
+        F.xxhash64("id").alias("v"), F.when(F.col("id") % 10 < 8, 1).otherwise(F.col("id")).cast("bigint").alias("k")
+    )
+    cluster = Clustering(("k",), 4, (SortKey("v"),))
+    spec = TableSpec("plan_hot_bucket", (Column("v", "bigint"), Column("k", "bigint")), clustered_by=cluster, location=str(tmp_path / "t"))
+    stored = write_table(rows.repartition(16), spec)
+    assert _files_per(spark, spec.table, "k")[1] > 1
+    assert stored.where("k = 1").count() >= 32_000
+    spark.sql(f"DROP TABLE {spec.table}")
+
+
+def test_a_hot_group_spreads_over_range_pieces(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).alias("g"), "id")
+    pieces = range_pieces(rows, ["g", "id"], F.lit(1), piece_bytes=1000)
+    per_piece = pieces.groupBy("_piece").agg(F.count("*").alias("n"), F.min("g"), F.max("g")).collect()
+    assert len(per_piece) > 10 and max(r.n for r in per_piece) < 5000
+    assert pieces.where("g = 0").select("_piece").distinct().count() > 10
+
+
+def test_hot_status_keys_are_split_by_aqe(spark):
+    jobs = spark.range(200_000).select(
+        "id", F.when(F.col("id") % 3 == 0, -1).cast("bigint").alias("childid"), F.sha2(F.col("id").cast("string"), 256).alias("note")
+    )
+    tracker = spark.range(0, 200_000, 2).select("id", F.lit(2).alias("runState"))
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        status = J.job_status(jobs.repartition(8), tracker)
+        assert status.where("note IS NOT NULL AND runState = 2").count() == 100_000
+        status.write.format("noop").mode("overwrite").save()
+        out = status.select("id", "runState", "note")
+        assert len(out.collect()) == 200_000
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
