@@ -1,4 +1,8 @@
-"""Run all (or the named) checks once and print time and outcome: python tests/run_checks.py [name...]"""
+"""Run all (or the named) checks once and print time and outcome: python tests/run_checks.py [name...]
+
+CHECK_SF_DIR names the tables, CHECK_CONF further settings such as
+``spark.sql.session.timeZone=America/New_York spark.sql.ansi.enabled=false``.
+"""
 
 from __future__ import annotations
 
@@ -16,9 +20,10 @@ from lakejobs.session import build_session  # noqa: E402
 
 def main(wanted):
     sf_dir = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
+    extra = dict(pair.split("=") for pair in os.environ.get("CHECK_CONF", "").split())
     spark = build_session(
         "checks", "local[8]", spark__ui__enabled="false", spark__driver__memory="8g",
-        spark__sql__shuffle__partitions=8, spark__ui__showConsoleProgress="false",
+        spark__sql__shuffle__partitions=8, spark__ui__showConsoleProgress="false", **extra,
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection, failed = oracle_connection(sf_dir), []
