@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import re
-import runpy
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakejobs.errors import MISSING_FILE, BadParam, NotFound
+from lakejobs.errors import BadParam
+from lakejobs.sources.files import file_text
 from lakejobs.sources.spec import ddl_type
 
 
@@ -31,14 +32,18 @@ def outputSchema(schema: str) -> Callable:  # noqa: N802 - the name user files c
 def register_udfs(spark: SparkSession, module_path: str, namespace: str) -> dict[str, T.DataType]:
     """Register the marked functions of a Python file as SQL functions ``<namespace>_<name>``.
 
-    The file need not import anything: ``outputSchema`` is defined for it. Functions may take any
-    number of arguments, none included, and travel to the executors inside the query; arguments
-    and results move in Arrow batches. Returns the registered names with their types.
+    The file may be on the driver or anywhere Spark reads. It need not import anything:
+    ``outputSchema`` is defined for it. Functions may take any number of arguments, none included,
+    and travel to the executors inside the query; arguments and results move in Arrow batches.
+    Returns the registered names with their types.
     """
-    try:
-        members = runpy.run_path(module_path, init_globals={"outputSchema": outputSchema})
-    except FileNotFoundError as error:
-        raise NotFound(MISSING_FILE.format(module_path)) from error
+    if os.path.exists(module_path):
+        with open(module_path, encoding="utf-8") as source:
+            text = source.read()
+    else:
+        text = file_text(spark, module_path)
+    members = {"outputSchema": outputSchema, "__name__": f"user_functions_{namespace}"}
+    exec(compile(text, module_path, "exec"), members)  # noqa: S102 - the caller's own program
     registered = {}
     for name, member in members.items():
         kind = getattr(member, "output_type", None)

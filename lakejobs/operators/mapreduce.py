@@ -153,6 +153,11 @@ def stream_map_reduce(
     return _through(_as_lines(grouped), reducer, env)
 
 
+def write_pairs(pairs: DataFrame, output: str) -> None:
+    """Keep the result of a job as text, ``key<tab>value`` per line; output that exists is an error."""
+    pairs.select(F.concat_ws("\t", "key", "value")).write.text(output)
+
+
 def word_count(df: DataFrame, col: str) -> DataFrame:
     """How often each whitespace-separated word occurs; case is kept."""
     words = df.select(F.explode(F.split(col, WHITESPACE)).alias("word"))
@@ -164,7 +169,7 @@ def text_wc(df: DataFrame, col: str, per: str | list[str] | None = None) -> Data
     keys = [] if per is None else [per] if isinstance(per, str) else per
     text = F.col(col)
     newlines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    words = F.size(F.filter(F.split(text, WHITESPACE), lambda w: w != ""))
+    words = F.size(F.array_remove(F.split(text, WHITESPACE), ""))
     return df.groupBy(*keys).agg(
         F.coalesce(F.sum(newlines), F.lit(0)).alias("lines"),
         F.coalesce(F.sum(F.when(text.isNotNull(), words)), F.lit(0)).alias("words"),

@@ -14,7 +14,7 @@ from lakejobs.operators.lists import pack_lists, unpack_lists
 from lakejobs.operators.mapreduce import stream_map_reduce, text_wc, word_count
 from lakejobs.operators.selection import drop_unset, status_summary, with_identifier_problem
 from lakejobs.plans import derived
-from lakejobs.plans.registry import check, table
+from lakejobs.plans.registry import check, spread, table
 from lakejobs.session import scratch_path
 from lakejobs.sources.delimited import field, scan_positional
 
@@ -66,7 +66,7 @@ def p3_row_count(spark, sf_dir):
 
 @check("m1_pipe_count", f'SELECT CAST(sum("count") AS BIGINT) AS words FROM ({WORD_COUNT_SQL})')
 def m1_pipe_count(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select("text")
+    texts = spread(table(spark, sf_dir, "documents").select("text"))
     counted = stream_map_reduce(
         spark, texts, "cat", "awk '{n += $1} END {print n + 0}'", combiner="wc -w"
     )
@@ -75,7 +75,7 @@ def m1_pipe_count(spark, sf_dir):
 
 @check("m1_pipe_words", WORD_COUNT_SQL)
 def m1_pipe_words(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select("text")
+    texts = spread(table(spark, sf_dir, "documents").select("text"))
     words = r"""awk -F '[ \t\r\f]+' '{for (i = 1; i <= NF; i++) if ($i != "") print $i "\t1"}'"""
     total = r"""awk -F '\t' '$1 != k {if (NR > 1) print k "\t" n; k = $1; n = 0} {n += $2}
                              END {if (NR > 0) print k "\t" n}'"""

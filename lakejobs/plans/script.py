@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from lakejobs.errors import NO_SCRIPT, BadParam, StatementFailed
-from lakejobs.sources.files import check_inputs
+from lakejobs.sources.files import file_text
 
 # Parts of a text in which a semicolon does not end a statement: quoted text, names, comments.
 _OPAQUE = re.compile(
@@ -54,7 +54,7 @@ def run_sql(
     """
     if not execute and not file:
         raise BadParam(NO_SCRIPT)
-    text = execute or _file_text(spark, file)
+    text = execute or file_text(spark, file)
     for define in defines:
         name, separator, value = define.partition("=")
         if not separator:
@@ -81,9 +81,3 @@ def _run_one(spark: SparkSession, statement: str, check: bool) -> DataFrame:
     if plan.startswith("Error occurred during query planning"):
         raise StatementFailed(plan, statement=statement)
     return result
-
-
-def _file_text(spark: SparkSession, file: str) -> str:
-    """A script is small by nature: it is read as one row."""
-    path = check_inputs(spark, [file])[0]
-    return spark.read.text(path, wholetext=True).first()[0]

@@ -58,6 +58,11 @@ def read_inputs(
     return spark.read.format(reader).options(**options).load(paths)
 
 
+def file_text(spark: SparkSession, name: str) -> str:
+    """The text of one small file, such as a script."""
+    return spark.read.text(check_inputs(spark, [name])[0], wholetext=True).first()[0]
+
+
 def modified_before(inventory: DataFrame, now_ms: int, max_age_ms: int) -> DataFrame:
     """Files of a :func:`file_inventory` whose age exceeds ``max_age_ms`` at ``now_ms``."""
     return inventory.where(F.unix_millis("modified") < F.lit(now_ms - max_age_ms))

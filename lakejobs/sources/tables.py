@@ -200,11 +200,13 @@ def load_overwrite(
             .schema(type(target.schema)(columns))
             .load(check_inputs(spark, source))
         )
-    clause = f" PARTITION ({partition_clause(values)})" if values else ""
-    if not values:
+    if values:
+        clause = f"PARTITION ({partition_clause(values)})"
+    else:  # the whole table, also where the session overwrites only partitions with new rows
+        clause = "WITH ('partitionOverwriteMode' = 'static')"
         parts = describe(spark, table).get("partition_columns", [])
         rows = rows.hint("rebalance", *parts) if parts else rows
-    spark.sql(f"INSERT OVERWRITE TABLE {qualified(table)}{clause} SELECT * FROM {{rows}}", rows=rows)
+    spark.sql(f"INSERT OVERWRITE TABLE {qualified(table)} {clause} SELECT * FROM {{rows}}", rows=rows)
 
 
 def describe(spark: SparkSession, table: str, partition: dict[str, str] | None = None) -> dict:

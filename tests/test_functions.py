@@ -27,8 +27,8 @@ def values(spark, texts, expression):
 
 def test_progress(spark):
     lines = [
-        "2011-12-15 18:12:21,758 [main] INFO  mapReduceLayer.MapReduceLauncher - 50% complete",
-        "11/12/15 18:12:21 INFO mapred.JobClient:  map 100% reduce 33%",
+        "12:00:01 INFO launcher - 50% complete",
+        "12:00:02 INFO client:  map 100% reduce 33%",
         "fred",
         " 50% complete\n",
         "at 50% complete now",
@@ -45,12 +45,12 @@ def test_child_id(spark):
 
 def test_list_vector(spark):
     rows = spark.createDataFrame(
-        [(["fred", None, "peter,lisa,, barney"],), (None,), ([],)], "items array<string>"
+        [(["one", None, "two,three,, four"],), (None,), ([],)], "items array<string>"
     )
     texts = [r[0] for r in rows.select(encode_list("items")).collect()]
-    assert texts == ["fred,,peter\\,lisa\\,\\, barney", None, ""]
+    assert texts == ["one,,two\\,three\\,\\, four", None, ""]
     back = values(spark, texts, decode_list("v"))
-    assert back == [["fred", "", "peter,lisa,, barney"], None, []]
+    assert back == [["one", "", "two,three,, four"], None, []]
 
 
 ITEM = st.one_of(st.none(), st.text(alphabet="a,\\ \né", max_size=5))
@@ -144,6 +144,8 @@ def test_user_functions(spark, tmp_path):
     assert set(register_udfs(spark, str(path), "u")) == {"u_helloworld", "u_add"}
     rows = spark.range(3).selectExpr("u_helloworld() AS w", "u_add(id, 2) AS n").collect()
     assert [(r.w, r.n) for r in rows] == [("Hello, World", i + 2) for i in range(3)]
+    register_udfs(spark, f"file:{path}", "far")
+    assert spark.sql("SELECT far_add(1, 2) AS n").first().n == 3
     with pytest.raises(NotFound):
         register_udfs(spark, str(tmp_path / "none.py"), "u")
     with pytest.raises(BadParam):

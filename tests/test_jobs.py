@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakejobs.errors import BadParam
 from lakejobs.operators import jobs as J
-from lakejobs.operators.mapreduce import stream_map_reduce, text_wc, word_count
+from lakejobs.operators.mapreduce import stream_map_reduce, text_wc, word_count, write_pairs
 from lakejobs.streaming.progress import outcome_stream, progress_stream, read_progress, snapshot_progress, write_progress
 
 EVENTS = [
@@ -130,6 +130,8 @@ def test_documented_streaming_job(spark, tmp_path):
     (tmp_path / "mydata" / "two").write_text("Hello Hadoop Goodbye Hadoop\n")
     out = stream_map_reduce(spark, str(tmp_path / "mydata"), "cat", "wc -w", n_reducers=1)
     assert [r.key.strip() for r in out.collect()] == ["8"]
+    write_pairs(out, str(tmp_path / "out"))
+    assert [r.value.strip() for r in spark.read.text(str(tmp_path / "out")).collect()] == ["8"]
     words = word_count(spark.read.text(str(tmp_path / "mydata")), "value")
     assert {tuple(r) for r in words.collect()} == {("Hello", 2), ("World", 2), ("Hadoop", 2), ("Bye", 1), ("Goodbye", 1)}
 

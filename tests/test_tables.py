@@ -178,6 +178,14 @@ def test_load_overwrite(spark, new_table, tmp_path):
     assert rows_of(spark.table(name).select("j", "country")) == [(10, "IN"), (99, "US")]
     load_overwrite(spark, df.limit(0), name, IN)
     assert rows_of(spark.table(name).select("j", "country")) == [(99, "US")]
+    both = spark.createDataFrame([(5, 50, "20120101", "US")], "i int, j bigint, dt string, country string")
+    for mode in ("dynamic", "static"):
+        add_partition(spark, name, IN, df, if_not_exists=True)
+        load_overwrite(spark, df, name, IN)
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+        load_overwrite(spark, both, name)
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+        assert rows_of(spark.table(name)) == [(5, 50, "20120101", "US")]
     text = TableSpec(new_table(), (Column("id", "INT"), Column("bar", "STRING")),
                      storage=Storage(RowFormat("\x01"), "textfile"), location=str(tmp_path / "pokes_table"))
     create_table(spark, text, spark.createDataFrame([(9, "old")], "id int, bar string"))
