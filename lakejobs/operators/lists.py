@@ -30,11 +30,11 @@ def pack_lists(
         escape_item(F.col(quote_name(col)).cast("string")).alias("_item"),
     )
     weight = F.octet_length("_item").cast("long") + 16
-    small, big = split_heavy(rows, ["_key"], weight, max_list_bytes)
+    small, big, size = split_heavy(rows, ["_key"], weight, max_list_bytes)
     # Lists do not shrink when they are half built, so rows are shuffled as they are.
     packed = _collect(small.repartition("_key").withColumn("_piece", F.lit(0)))
     if big is not None:
-        pieces = range_pieces(big, ["_key", "_order"], weight, max_list_bytes)
+        pieces = range_pieces(big, ["_key", "_order"], size, max_list_bytes)
         packed = packed.unionByName(_collect(pieces))
     return packed.select(F.col("_key").alias(key), "part", F.col("list").alias(out))
 

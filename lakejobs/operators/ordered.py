@@ -12,6 +12,8 @@ from lakejobs.session import ensure_checkpoints
 from lakejobs.sources.spec import quote_name
 
 PIECE_BYTES = 256 << 20
+# A rough size of a (group, order, size) row.
+ROW_BYTES = 32
 # Up to this many bytes of keys are broadcast; beyond it the planner joins by shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -26,17 +28,13 @@ def beside(right: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
     return right.withColumnsRenamed(names), reduce(lambda a, b: a & b, tests)
 
 
-def range_pieces(
-    df: DataFrame, order: list[str], weight: Column, piece_bytes: int = PIECE_BYTES
-) -> DataFrame:
+def range_pieces(df: DataFrame, order: list[str], weight: int, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Range-partition by ``order`` and number the partitions in column ``_piece``.
 
-    Pieces are contiguous in the order and about ``piece_bytes`` of ``weight`` each, so a group that
-    holds much of the data spreads over many of them.
+    Pieces are contiguous in the order; with ``weight`` bytes in all, they hold about ``piece_bytes``
+    each. A group that holds much of the data spreads over many of them.
     """
-    total = df.agg(F.sum(weight)).first()[0] or 0
-    spark = df.sparkSession
-    count = max(spark.sparkContext.defaultParallelism, -(-int(total) // piece_bytes))
+    count = max(df.sparkSession.sparkContext.defaultParallelism, -(-weight // piece_bytes))
     ranged = df.repartitionByRange(count, *[quote_name(c) for c in order])
     return ranged.withColumn("_piece", F.spark_partition_id())
 
@@ -52,8 +50,8 @@ def bounded_broadcast(df: DataFrame) -> DataFrame:
 
 def split_heavy(
     df: DataFrame, keys: list[str], weight: Column, limit: int
-) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups up to ``limit`` in summed weight, and rows of the heavier groups (or None).
+) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows of groups up to ``limit`` in summed weight, rows of the heavier groups (or None), their weight.
 
     The sums are aggregated per task before their shuffle. Heavy keys are few: at most the total
     weight over ``limit``.
@@ -61,12 +59,13 @@ def split_heavy(
     ensure_checkpoints(df.sparkSession)
     names = [quote_name(k) for k in keys]
     sums = df.groupBy(*names).agg(F.sum(weight).alias("_weight"))
-    heavy = sums.where(F.col("_weight") > limit).select(*names).checkpoint()
-    if heavy.isEmpty():
-        return df, None
-    side, match = beside(heavy, keys)
+    heavy = sums.where(F.col("_weight") > limit).checkpoint()
+    total = heavy.agg(F.sum("_weight")).first()[0]
+    if total is None:
+        return df, None, 0
+    side, match = beside(heavy.drop("_weight"), keys)
     side = bounded_broadcast(side)
-    return df.join(side, match, "left_anti"), df.join(side, match, "left_semi")
+    return df.join(side, match, "left_anti"), df.join(side, match, "left_semi"), total
 
 
 def limit_bytes(
@@ -91,7 +90,7 @@ def limit_bytes(
     size = F.coalesce(F.octet_length(quote_name(text_col)), F.lit(0)).cast("long") + 1
     narrow = df.select(*map(quote_name, dict.fromkeys(keys + order)), size.alias("_bytes"))
     # All later steps must see the same pieces, so their numbering is fixed first.
-    rows = range_pieces(narrow, keys + order, F.lit(32)).checkpoint()
+    rows = range_pieces(narrow, keys + order, df.count() * ROW_BYTES).checkpoint()
 
     names = [quote_name(k) for k in keys]
     earlier = W.partitionBy(*names).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)

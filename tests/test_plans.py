@@ -157,7 +157,7 @@ def test_a_hot_bucket_is_written_by_several_tasks(spark, tmp_path, small_pieces)
 
 def test_a_hot_group_spreads_over_range_pieces(spark):
     rows = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).alias("g"), "id")
-    pieces = range_pieces(rows, ["g", "id"], F.lit(1), piece_bytes=1000)
+    pieces = range_pieces(rows, ["g", "id"], 20_000, piece_bytes=1000)
     per_piece = pieces.groupBy("_piece").agg(F.count("*").alias("n"), F.min("g"), F.max("g")).collect()
     assert len(per_piece) > 10 and max(r.n for r in per_piece) < 5000
     assert pieces.where("g = 0").select("_piece").distinct().count() > 10
