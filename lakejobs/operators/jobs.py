@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lakejobs.errors import (
     CALLBACK_RUN,
@@ -35,9 +36,15 @@ def with_progress(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def latest_fields(events: DataFrame) -> DataFrame:
-    """The last value written per (type, id, key); null writes do not count."""
-    written = events.where(F.col("val").isNotNull())
-    return written.groupBy("type", "id", "key").agg(F.max_by("val", "seq").alias("val"))
+    """The last value written per (type, id, key); null writes do not count.
+
+    Ranking with a limit of one keeps a single row per key and task before the shuffle, and moves
+    the text values less often than an aggregate over them would.
+    """
+    written = events.where(F.col("val").isNotNull()).select("type", "id", "key", "val", "seq")
+    newest = F.row_number().over(W.partitionBy("type", "id", "key").orderBy(F.desc("seq")))
+    ranked = written.withColumn("_rank", newest)
+    return ranked.where(F.col("_rank") == 1).drop("_rank", "seq")
 
 
 def job_table(events: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lakejobs.session import ensure_checkpoints
+from lakejobs.session import ensure_checkpoints, scratch_path
 from lakejobs.sources.spec import quote_name
 
 PIECE_BYTES = 256 << 20
@@ -78,52 +78,81 @@ def limit_bytes(
     """The rows whose text, each with its newline, is within the first ``max_bytes`` bytes.
 
     Rows count in the order of ``order``, which must be unique (within a group of ``per``), and are
-    kept or left out whole. Only (group, order, size) is range-partitioned and summed, first per
-    piece and then inside the one piece of each group where the limit falls. The outcome is the last
-    order value to keep - one row per group - and text is filtered by it where it is read, unless
-    there are too many groups to broadcast.
+    kept or left out whole. The outcome is found as one cut-off per group - the last order value to
+    keep - from (group, order, size) alone; text is then filtered where it is read, unless there are
+    too many groups to broadcast. Groups that fit need one sum. Only the others are put in order,
+    by range partitions: sizes are summed per piece first, then inside the one piece of each group
+    where the limit falls.
     """
     order = [order] if isinstance(order, str) else list(order)
     keys = [] if per is None else [per] if isinstance(per, str) else list(per)
-    ensure_checkpoints(df.sparkSession)
+    spark, names = df.sparkSession, [quote_name(k) for k in keys]
+    ensure_checkpoints(spark)
     at = _place(order)
     size = F.coalesce(F.octet_length(quote_name(text_col)), F.lit(0)).cast("long") + 1
     narrow = df.select(*map(quote_name, dict.fromkeys(keys + order)), size.alias("_bytes"))
-    # All later steps must see the same pieces, so their numbering is fixed first.
-    rows = range_pieces(narrow, keys + order, df.count() * ROW_BYTES).checkpoint()
+    groups = narrow.groupBy(*names).agg(
+        F.sum("_bytes").alias("_sum"), F.count("*").alias("_rows"), F.max(at).alias("_last")
+    )
+    groups = groups.checkpoint()
+    fits = F.col("_sum") <= max_bytes
+    last = groups.where(fits).select(*names, "_last")
+    long = groups.where(~fits)
+    rows = long.agg(F.sum("_rows")).first()[0]
+    if rows is not None:
+        if keys:
+            side, match = beside(long.select(*names), keys)
+            narrow = narrow.join(bounded_broadcast(side), match, "left_semi")
+        cuts = _cut_offs(narrow, keys, order, max_bytes, rows)
+        last = last.unionByName(cuts)
+    if not keys:
+        row = last.first()  # there is one group
+        return df.where(F.lit(False)) if row is None else df.where(at <= _literal(row["_last"]))
+    side, same_group = beside(last.checkpoint(), keys)
+    kept = df.join(bounded_broadcast(side), same_group & (at <= F.col("_last")))
+    return kept.select(*map(quote_name, df.columns))
+
+
+def _cut_offs(
+    narrow: DataFrame, keys: list[str], order: list[str], max_bytes: int, count: int
+) -> DataFrame:
+    """The last order value within ``max_bytes`` per group, for groups that exceed it."""
+    spark, names, at = narrow.sparkSession, [quote_name(k) for k in keys], _place(order)
+    # All later steps must see the same pieces, so they are written, one directory each.
+    path = scratch_path(spark, "pieces")
+    range_pieces(narrow, keys + order, count * ROW_BYTES).write.partitionBy("_piece").parquet(path)
+    rows = spark.read.schema(f"{_ddl(narrow)}, _piece int").parquet(path)
 
-    names = [quote_name(k) for k in keys]
     earlier = W.partitionBy(*names).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
     pieces = (
         rows.groupBy(*names, "_piece")
-        .agg(F.sum("_bytes").alias("_sum"), F.max(at).alias("_at"))
+        .agg(F.sum("_bytes").alias("_sum"), F.max(at).alias("_last"))
         .withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
         .where(F.col("_before") < max_bytes)
         .checkpoint()
     )
     fits = F.col("_before") + F.col("_sum") <= max_bytes
-    cut, same_piece = beside(pieces.where(~fits).drop("_sum", "_at"), [*keys, "_piece"])
-    inside = rows.join(cut, same_piece).select(*names, "_piece", at.alias("_at"), "_bytes", "_before")
-    running = W.partitionBy(*names, "_piece").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    cut, same_piece = beside(pieces.where(~fits).select(*names, "_piece", "_before"), [*keys, "_piece"])
+    inside = rows.join(bounded_broadcast(cut), same_piece)
+    running = W.partitionBy(*names, "_piece").orderBy(at).rowsBetween(W.unboundedPreceding, 0)
     upto = F.col("_before") + F.sum("_bytes").over(running)
     fitting = inside.withColumn("_upto", upto).where(F.col("_upto") <= max_bytes)
-    last = (
+    return (
         pieces.where(fits)
-        .select(*names, "_at")
-        .unionByName(fitting.select(*names, "_at"))
+        .select(*names, "_last")
+        .unionByName(fitting.select(*names, at.alias("_last")))
         .groupBy(*names)
-        .agg(F.max("_at").alias("_last"))
+        .agg(F.max("_last").alias("_last"))
+        .where(F.col("_last").isNotNull())
     )
-    if not keys:
-        value = last.first()["_last"]  # a single row
-        if value is None:
-            return df.where(F.lit(False))
-        if len(order) == 1:
-            return df.where(at <= F.lit(value))
-        return df.where(at <= F.struct(*[F.lit(v) for v in value]))
-    side, same_group = beside(last.checkpoint(), keys)
-    kept = df.join(bounded_broadcast(side), same_group & (at <= F.col("_last")))
-    return kept.select(*map(quote_name, df.columns))
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{quote_name(f.name)} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _literal(value) -> Column:
+    return F.struct(*[F.lit(v) for v in value]) if isinstance(value, Row) else F.lit(value)
 
 
 def _place(order: list[str]) -> Column:

@@ -48,9 +48,13 @@ def test_one_shuffle_each(spark, sf_dir):
     assert exchanges(unpack_lists(pack_lists(small, "source", "lang", "doc_id").select("source", "list"), "list")) == 1
 
 
-def test_aggregates_are_partial_before_the_shuffle(spark, sf_dir):
-    for df in (J.latest_fields(derived.job_events(spark, sf_dir)), word_count(table(spark, sf_dir, "documents"), "text")):
-        assert re.search(r"Exchange hash.*partial_", plan(df), re.S)
+def test_groups_shrink_before_the_shuffle(spark, sf_dir):
+    words = plan(word_count(table(spark, sf_dir, "documents"), "text"))
+    assert re.search(r"Exchange hash.*partial_count", words, re.S)
+    jobs = plan(J.job_table(derived.field_events(spark, sf_dir)))
+    assert re.search(r"Exchange hash.*partial_max_by", jobs, re.S)
+    latest = plan(J.latest_fields(derived.job_events(spark, sf_dir)))
+    assert re.search(r"Exchange hash.*WindowGroupLimit [^\n]*Partial", latest, re.S)
 
 
 NARROW = ("f5_annotate_json", "f7_first_entries", "j1_progress", "j9_callbacks", "q2_row_rand", "t1_conform", "f3_drop_unset")
