@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
@@ -96,27 +97,37 @@ def limit_bytes(
     )
     groups = groups.checkpoint()
     fits = F.col("_sum") <= max_bytes
+    # One look at the groups tells how many rows need an order and whether their keys may be broadcast.
+    row_bytes = F.sum(F.octet_length(F.to_json(F.struct(*names, "_last"))))
+    count, group_bytes = groups.agg(F.sum(F.when(~fits, F.col("_rows"))), row_bytes).first()
+    side_of = F.broadcast if (group_bytes or 0) <= BROADCAST_BYTES else (lambda side: side)
+
     last = groups.where(fits).select(*names, "_last")
-    long = groups.where(~fits)
-    rows = long.agg(F.sum("_rows")).first()[0]
-    if rows is not None:
+    if count is not None:
         if keys:
-            side, match = beside(long.select(*names), keys)
-            narrow = narrow.join(bounded_broadcast(side), match, "left_semi")
-        cuts = _cut_offs(narrow, keys, order, max_bytes, rows)
-        last = last.unionByName(cuts)
+            side, match = beside(groups.where(~fits).select(*names), keys)
+            narrow = narrow.join(side_of(side), match, "left_semi")
+        last = last.unionByName(_cut_offs(narrow, keys, order, max_bytes, count, side_of))
     if not keys:
         row = last.first()  # there is one group
         return df.where(F.lit(False)) if row is None else df.where(at <= _literal(row["_last"]))
-    side, same_group = beside(last.checkpoint(), keys)
-    kept = df.join(bounded_broadcast(side), same_group & (at <= F.col("_last")))
+    side, same_group = beside(last, keys)
+    kept = df.join(side_of(side), same_group & (at <= F.col("_last")))
     return kept.select(*map(quote_name, df.columns))
 
 
 def _cut_offs(
-    narrow: DataFrame, keys: list[str], order: list[str], max_bytes: int, count: int
+    narrow: DataFrame,
+    keys: list[str],
+    order: list[str],
+    max_bytes: int,
+    count: int,
+    side_of: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """The last order value within ``max_bytes`` per group, for groups that exceed it."""
+    """The last order value within ``max_bytes`` per group, for groups that exceed it.
+
+    ``side_of`` marks a side with one row per group for broadcast if that is allowed.
+    """
     spark, names, at = narrow.sparkSession, [quote_name(k) for k in keys], _place(order)
     # All later steps must see the same pieces, so they are written, one directory each.
     path = scratch_path(spark, "pieces")
@@ -133,7 +144,7 @@ def _cut_offs(
     )
     fits = F.col("_before") + F.col("_sum") <= max_bytes
     cut, same_piece = beside(pieces.where(~fits).select(*names, "_piece", "_before"), [*keys, "_piece"])
-    inside = rows.join(bounded_broadcast(cut), same_piece)
+    inside = rows.join(side_of(cut), same_piece)
     running = W.partitionBy(*names, "_piece").orderBy(at).rowsBetween(W.unboundedPreceding, 0)
     upto = F.col("_before") + F.sum("_bytes").over(running)
     fitting = inside.withColumn("_upto", upto).where(F.col("_upto") <= max_bytes)
