@@ -335,7 +335,8 @@ def score_corpus(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", te
     )
     ids = with_row(docs.select(F.col(id_col).alias("_id")))
     whole = F.lit(int(round(math.log(max(total, 1)) * MICRO)))
-    # A text's first word has no context: it takes off the log of all words.
+    # A word without context takes off the log of all words: a text's first, or with order 1 each.
+    alone = F.col("n_words") if order == 1 else F.least("n_words", F.lit(1))
     return ids.join(sums, "_row").select(
-        "_row", F.col("_id").alias(id_col), "n_words", F.when(F.col("n_words") > 0, F.col("micros") - whole).otherwise(F.lit(0)).alias("micros")
+        "_row", F.col("_id").alias(id_col), "n_words", (F.col("micros") - whole * alone).cast("bigint").alias("micros")
     )

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakejobs.llm.tables import kept, small_side, stored, with_row
-from lakejobs.llm.textbytes import Spans, mix, slices, text_bytes, window_minima
+from lakejobs.llm.textbytes import SLICE_BYTES, Spans, mix, slices, text_bytes, window_minima
 
 LENGTH = 400
 KGRAM = 64
@@ -168,7 +168,7 @@ def _segments(length: int, kgram: int):
         for batch in batches:
             rows = batch.column("_row").to_numpy()
             data, offsets = text_bytes(batch.column("_text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, min(SLICE_BYTES, CHUNK_BYTES)):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 if len(part) <= CHUNK_BYTES:
                     pieces = [of_chunk(part, at, np.zeros(b - a, np.int64))]
