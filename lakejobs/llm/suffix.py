@@ -6,7 +6,8 @@ document with the same anchor form a segment. Segments that are alone in their b
 equal segments repeat wholly; only segments that share a bucket with different ones need their text.
 There a suffix array is built over several whole buckets at a time; previous and next smaller places in
 suffix order give each start its longest earlier match and the place of it. A bucket with very many
-segments is dealt into blocks, and what its blocks leave open is settled by the strings' own digests.
+segments is divided once more by anchors in another order; what is still as large is dealt into
+blocks, and what these leave open is settled by the strings' own digests.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakejobs.llm.tables import kept, small_side, stored, with_row
+from lakejobs.llm.tables import stored, with_row
 from lakejobs.llm.textbytes import SLICE_BYTES, Spans, mix, slices, text_bytes, window_minima
 
 LENGTH = 400
@@ -26,6 +27,7 @@ KGRAM = 64
 CHUNK_BYTES = 8 << 20  # a longer text is worked through in overlapping parts
 SORT_BYTES = 1 << 20  # text in one suffix array, about
 BLOCK_SEGMENTS = 2_000
+LEVELS = 1  # how often a bucket with more segments is divided by further anchors before it is dealt into blocks
 
 _PLACE_BITS = 25
 
@@ -132,37 +134,46 @@ def _equal_to(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray, length: int
     return same
 
 
-def _segments(length: int, kgram: int):
-    """Segments of each text: (_row, x, starts, h, one, two)."""
-    window = length - kgram + 1
-
-    def of_chunk(data: np.ndarray, offsets: np.ndarray, base: np.ndarray):
-        """Segments of the starts whose whole string lies in its row; ``base`` is the place of each row's first byte."""
-        if len(data) < length:
-            return None
-        spans = Spans(data)
-        at = np.arange(len(data) - kgram + 1)
-        hashes = spans.hash(at, at + kgram)
-        # Hash above, place below (the last of equal ones wins), so the minimum tells where it is.
-        low = np.uint64((1 << _PLACE_BITS) - 1)
-        packed = (hashes >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | (low - at.astype(np.uint64))
-        anchor = (low - (window_minima(packed, window) & low)).astype(np.int64)
-        last = offsets[1:] - length
-        row = np.repeat(np.arange(len(offsets) - 1), np.maximum(last - offsets[:-1] + 1, 0))
-        if not len(row):
-            return None
-        counts = np.maximum(last - offsets[:-1] + 1, 0)
-        start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(offsets[:-1], counts)
-        anchor = anchor[start]
-        cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])) + 1
-        first = np.concatenate([[0], cut])
-        size = np.diff(np.concatenate([first, [len(row)]]))
-        x, r = start[first], row[first]
-        end = x + size + length - 1
-        one = spans.hash(x, end)
-        two = Spans(data ^ np.uint8(0x5A)).hash(x, end) if len(x) else one
-        place = (anchor[first] - x).astype(np.uint64)
-        return r, x - offsets[r] + base[r], size, hashes[anchor[first]], one + mix(place), two
+def segments_of(data: np.ndarray, offsets: np.ndarray, base: np.ndarray, length: int, level: int = 0):
+    """Segments of the starts whose whole string lies in its row: (row, x, starts, h, one, two), or None.
+
+    ``base`` is the place of each row's first byte. Each ``level`` orders k-grams in its own way.
+    """
+    if len(data) < length:
+        return None
+    spans = Spans(data)
+    at = np.arange(len(data) - KGRAM + 1)
+    hashes = spans.hash(at, at + KGRAM)
+    if level:
+        hashes = mix(hashes ^ np.uint64(level * 0x9E3779B97F4A7C15 % (1 << 64)))
+    # Hash above, place below (the last of equal ones wins), so the minimum tells where it is.
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    packed = (hashes >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | (low - at.astype(np.uint64))
+    anchor = (low - (window_minima(packed, length - KGRAM + 1) & low)).astype(np.int64)
+    counts = np.maximum(np.diff(offsets) - length + 1, 0)
+    row = np.repeat(np.arange(len(counts)), counts)
+    if not len(row):
+        return None
+    start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(offsets[:-1], counts)
+    anchor = anchor[start]
+    cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])) + 1
+    first = np.concatenate([[0], cut])
+    size = np.diff(np.concatenate([first, [len(row)]]))
+    x, r = start[first], row[first]
+    end = x + size + length - 1
+    place = (anchor[first] - x).astype(np.uint64)
+    two = Spans(data ^ np.uint8(0x5A)).hash(x, end)
+    return r, x - offsets[r] + base[r], size, hashes[anchor[first]], spans.hash(x, end) + mix(place), two
+
+
+def _segment_batch(rows: np.ndarray, got: tuple) -> pa.RecordBatch:
+    r, x, size, *digests = got
+    columns = [pa.array(rows[r]), pa.array(x, pa.int64()), pa.array(size, pa.int32()), *[pa.array(d.view(np.int64)) for d in digests]]
+    return pa.RecordBatch.from_arrays(columns, ["_row", "x", "starts", "h", "one", "two"])
+
+
+def _segments(length: int):
+    """Segments of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,20 +181,33 @@ def _segments(length: int, kgram: int):
             data, offsets = text_bytes(batch.column("_text"))
             for a, b in slices(offsets, min(SLICE_BYTES, CHUNK_BYTES)):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                if len(part) <= CHUNK_BYTES:
-                    pieces = [of_chunk(part, at, np.zeros(b - a, np.int64))]
-                else:  # one long text, in parts that share the bytes a start needs
-                    pieces = [
-                        of_chunk(part[c : c + CHUNK_BYTES + length - 1], np.array([0, len(part[c : c + CHUNK_BYTES + length - 1])]), np.array([c]))
-                        for c in range(0, len(part), CHUNK_BYTES)
-                    ]
-                for got in pieces:
+                # A long text goes in parts that share the bytes a start needs.
+                for c in range(0, max(len(part), 1), CHUNK_BYTES):
+                    whole = len(part) <= CHUNK_BYTES
+                    piece = part if whole else part[c : c + CHUNK_BYTES + length - 1]
+                    bounds = at if whole else np.array([0, len(piece)])
+                    got = segments_of(piece, bounds, np.full(len(bounds) - 1, c), length)
                     if got is not None:
-                        r, x, size, h, one, two = got
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(rows[a:b][r]), pa.array(x, pa.int64()), pa.array(size, pa.int32()), *[pa.array(v.view(np.int64)) for v in (h, one, two)]],
-                            ["_row", "x", "starts", "h", "one", "two"],
-                        )
+                        yield _segment_batch(rows[a:b], got)
+
+    return run
+
+
+def _divided(length: int, level: int):
+    """Segments of the next level within a row's wanted segments; equal strings of a bucket stay together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("_text"))
+            rows = batch.column("_row").to_numpy()
+            for i, wanted in enumerate(batch.column("wanted").to_pylist()):
+                for w in wanted:
+                    start = offsets[i] + w["x"]
+                    piece = data[start : start + w["starts"] + length - 1]
+                    got = segments_of(piece, np.array([0, len(piece)]), np.array([w["x"]]), length, level)
+                    r, x, size, h, one, two = got
+                    h = mix(h + np.uint64(w["h"] % (1 << 64)) * np.uint64(31))
+                    yield _segment_batch(rows[i : i + 1], (r, x, size, h, one, two))
 
     return run
 
@@ -280,32 +304,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     if length < KGRAM:
         raise ValueError(f"length must be at least {KGRAM}")
     source = with_row(docs.select(F.col(text_col).alias("_text"))).select("_row", "_text")
-    segments = stored(
-        source.mapInArrow(_segments(length, KGRAM), "_row bigint, x bigint, starts int, h bigint, one bigint, two bigint"), "segments"
-    )
-    shared = segments.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    return _spans_of(source, stored(source.mapInArrow(_segments(length), _SEGMENT), "segments"), length, keep_first, 0)
+
+
+_SEGMENT = "_row bigint, x bigint, starts int, h bigint, one bigint, two bigint"
+
+
+def _spans_of(source: DataFrame, segments: DataFrame, length: int, keep_first: bool, level: int) -> DataFrame:
+    """The repeated ranges among ``segments``."""
+    shared = stored(segments.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
     met = stored(segments.join(shared, "h"), "met")
 
     place = F.struct("_row", "x")
-    groups = met.groupBy("h", "one", "two", "starts").agg(F.count("*").alias("copies"), F.min(place).alias("rep"))
-    buckets = groups.groupBy("h").agg(F.count("*").alias("kinds"))
-    groups = stored(groups.join(buckets, "h"), "groups")
+    groups = stored(met.groupBy("h", "one", "two", "starts").agg(F.count("*").alias("copies"), F.min(place).alias("rep")), "groups")
+    buckets = stored(groups.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "buckets")
     equal = met.join(groups.where("copies > 1").select("h", "one", "two", "starts", "rep"), ["h", "one", "two", "starts"])
     if keep_first:
         equal = equal.where((F.col("_row") != F.col("rep._row")) | (F.col("x") != F.col("rep.x")))
-    whole = equal.select("_row", F.col("x").alias("start"), (F.col("x") + F.col("starts") + (length - 1)).alias("end"))
-
-    blocks = F.ceil(F.col("kinds") / BLOCK_SEGMENTS).cast("int")
-    wanted = groups.where("kinds > 1").select(
-        F.col("rep._row").alias("_row"),
-        F.struct(
-            "h", F.pmod(F.xxhash64("one", "two"), blocks).cast("int").alias("block"), (blocks > 1).alias("split"),
-            (F.col("copies") > 1).alias("twice"), F.col("rep.x").alias("x"), "starts",
-        ).alias("w"),
-    )
-    per_row = stored(wanted.groupBy("_row").agg(F.collect_list("w").alias("wanted")), "wanted")  # bounded by the text
-    some = per_row.agg(F.sum(F.size("wanted"))).first()[0] or 0
-    texts = source.join(small_side(per_row, some), "_row").select("_row", "_text", "wanted").mapInArrow(
+    spans = equal.select("_row", F.col("x").alias("start"), (F.col("x") + F.col("starts") + (length - 1)).alias("end"))
+
+    mixed = groups.join(buckets, "h")
+    if level < LEVELS and not buckets.where(F.col("kinds") > BLOCK_SEGMENTS).isEmpty():
+        texts = _wanted(source, mixed.where(F.col("kinds") > BLOCK_SEGMENTS))
+        divided = stored(texts.mapInArrow(_divided(length, level + 1), _SEGMENT), "divided")
+        spans = spans.unionByName(_spans_of(source, divided, length, keep_first, level + 1))
+        mixed = mixed.where(F.col("kinds") <= BLOCK_SEGMENTS)
+    texts = _wanted(source, mixed).mapInArrow(
         _cut(length), "h bigint, block int, split boolean, twice boolean, x bigint, starts int, _row bigint, bytes binary"
     )
     solved = stored(
@@ -321,7 +345,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     across = asked.join(again, ["one", "two"])
     if keep_first:
         across = across.where((F.col("_row") != F.col("first._row")) | (F.col("start") != F.col("first.start")))
-    return whole.unionByName(within).unionByName(across.select("_row", "start", "end"))
+    return spans.unionByName(within).unionByName(across.select("_row", "start", "end"))
+
+
+def _wanted(source: DataFrame, groups: DataFrame) -> DataFrame:
+    """(_row, _text, wanted): the texts that hold the representatives of ``groups``, and where."""
+    blocks = F.ceil(F.col("kinds") / BLOCK_SEGMENTS).cast("int")
+    each = groups.select(
+        F.col("rep._row").alias("_row"),
+        F.struct(
+            "h", F.pmod(F.xxhash64("one", "two"), blocks).cast("int").alias("block"), (blocks > 1).alias("split"),
+            (F.col("copies") > 1).alias("twice"), F.col("rep.x").alias("x"), "starts",
+        ).alias("w"),
+    )
+    per_row = each.groupBy("_row").agg(F.collect_list("w").alias("wanted"))  # bounded by the text
+    return source.join(per_row, "_row").select("_row", "_text", "wanted")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +395,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     ranges = stored(repeated_spans(docs, length, keep_first, text_col), "ranges")
     found = ranges.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("found"))  # bounded by the text
     source = with_row(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
-    joined = source.join(small_side(found, ranges.count()), "_row", "left").select("_row", "_id", "_text", "found")
+    joined = source.join(found, "_row", "left").select("_row", "_id", "_text", "found")
     kind = docs.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(
         _without, f"_row bigint, _id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"

@@ -396,8 +396,9 @@ def repeats(docs, **options):
     return Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in out.collect())
 
 
-@pytest.mark.parametrize(("length", "block", "chunk"), [(400, 2000, 8 << 20), (100, 2, 8 << 20), (100, 2000, 700)])
-def test_repeats(make_docs, odd_rows, length, block, chunk, monkeypatch):
+@pytest.mark.parametrize(("length", "block", "chunk", "levels"), [(400, 2000, 8 << 20, 1), (100, 2, 8 << 20, 1), (100, 2, 8 << 20, 0), (100, 2000, 700, 1)])
+def test_repeats(make_docs, odd_rows, length, block, chunk, levels, monkeypatch):
+    monkeypatch.setattr(suffix, "LEVELS", levels)
     monkeypatch.setattr(suffix, "BLOCK_SEGMENTS", block)
     monkeypatch.setattr(suffix, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(suffix, "SORT_BYTES", 2_000)
