@@ -69,11 +69,15 @@ class Vocabulary:
         parts = [word[i : i + 1] for i in range(len(word))]
         if len(parts) > 64:
             return self._merge_long(parts)
-        while len(parts) > 1:
-            best, at = min((ranks.get(p, _NONE), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if best == _NONE:
-                break
+        order = [ranks.get(p, _NONE) for p in zip(parts, parts[1:])]
+        while order and (best := min(order)) != _NONE:
+            at = order.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del order[at]
+            if at:
+                order[at - 1] = ranks.get((parts[at - 1], parts[at]), _NONE)
+            if at < len(order):
+                order[at] = ranks.get((parts[at], parts[at + 1]), _NONE)
         return [self.ids[p] for p in parts]
 
     def _merge_long(self, parts: list[bytes]) -> list[int]:

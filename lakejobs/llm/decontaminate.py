@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakejobs.llm.tables import free_name, kept, small_side, with_row
+from lakejobs.llm.tables import kept, small_side, with_row, without_rows
 from lakejobs.llm.textbytes import grams, slices, text_bytes, window_minima, words
 
 WINDOW = 10
@@ -188,8 +188,6 @@ def hit_words(spans) -> F.Column:
 def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents in which no window of an item occurs, with all their columns.
 
-    The decision is joined by row number; only rows that have hits are on the other side.
+    Only the numbers of rows that have hits are shuffled, to where those rows are scanned.
     """
-    name = free_name(docs, "_row")
-    hits = kept(contamination(docs, items, **options).where(F.size("spans") > 0).select(F.col("_row").alias(name)))
-    return with_row(docs, name).join(small_side(hits), name, "left_anti").drop(name)
+    return without_rows(docs, contamination(docs, items, **options).where(F.size("spans") > 0))

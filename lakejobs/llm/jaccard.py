@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakejobs.llm.components import components
-from lakejobs.llm.tables import free_name, kept, small_side, stored, with_row
+from lakejobs.llm.tables import Beside, beside_scan, kept, stored, with_row, without_rows
 from lakejobs.llm.textbytes import grams, mix, slices, text_bytes, words
 
 GRAM = 5
@@ -176,6 +176,22 @@ def _links_of(rows: pa.Table, gram: int, threshold: float) -> tuple[list, list,
     return reps[linked].tolist(), links[linked].astype(int).tolist(), [int(reps[root(x)]) for x in linked.tolist()]
 
 
+def _with_texts(path: str):
+    """Candidates with their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beside = Beside(path)
+        for batch in batches:
+            rows = batch.column("_row").to_numpy()
+            found = beside.of(rows)
+            if found is not None:
+                texts = batch.column("_text").take(pa.array(np.searchsorted(rows, found.column("_row").to_numpy())))
+                columns = [found.column(c).combine_chunks() for c in ("_row", "members", "bands", "canon")]
+                yield pa.RecordBatch.from_arrays([*columns, texts, found.column("cells").combine_chunks()], ["rep", "members", "bands", "canon", "_text", "cells"])
+
+    return run
+
+
 def _verify(gram: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(parts: list[pa.Table]) -> pa.RecordBatch:
@@ -236,20 +252,22 @@ def similar_groups(
     canon = buckets.groupBy("n", "sum", "sum2").agg(F.min("bucket").alias("canon"))
     named = buckets.join(canon, ["n", "sum", "sum2"]).select("bucket", "canon", "n")
     hits = lone.select(F.col("_row").alias("rep"), "members", F.posexplode("bands").alias("band", "bucket")).join(named, "bucket")
-    candidates = stored(
+    candidates = (
         hits.groupBy("rep", "members")
-        .agg(F.array_sort(F.collect_list(F.struct("band", "bucket", "canon", "n"))).alias("hits"))  # <= bands
+        .agg(F.collect_list(F.struct("band", "bucket", "canon", "n")).alias("hits"))  # <= bands
         .select(
-            "rep", "members",
+            F.col("rep").alias("_row"), "members",
             F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.coalesce(F.get(F.filter("hits", lambda h: h["band"] == b), F.lit(0))["bucket"], F.col("rep") * 64 + b)).alias("bands"),
             F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.coalesce(F.get(F.filter("hits", lambda h: h["band"] == b), F.lit(0))["canon"], F.lit(0).cast("bigint"))).alias("canon"),
             F.array_distinct(F.transform("hits", lambda h: F.struct(h["canon"].alias("cell"), F.ceil(h["n"] / block).cast("int").alias("blocks")))).alias("cells"),
-        ),
-        "candidates",
+        )
     )
 
-    # Members of each pair of blocks, with their texts.
-    wide = source.select("_row", "_text").join(small_side(candidates, candidates.count() * 8), F.col("_row") == F.col("rep"))
+    # Members of each pair of blocks, with their texts, which are read where the documents are scanned.
+    wide = source.select("_row", "_text").mapInArrow(
+        _with_texts(beside_scan(candidates, "candidates")),
+        "rep bigint, members bigint, bands array<bigint>, canon array<bigint>, _text string, cells array<struct<cell:bigint,blocks:int>>",
+    )
     each = wide.select("rep", "members", "bands", "canon", "_text", F.explode("cells").alias("c")).withColumn("own", F.pmod(F.xxhash64("rep", "c.cell"), F.col("c.blocks")).cast("int"))
     others = F.transform(
         F.sequence(F.lit(0), F.col("c.blocks") - 1),
@@ -278,6 +296,4 @@ def similar_groups(
 
 def drop_similar(docs: DataFrame, **options) -> DataFrame:
     """The documents with one left of each group of similar ones, with all their columns."""
-    name = free_name(docs, "_row")
-    dropped = kept(similar_groups(docs, **options).where("_row != keep_row").select(F.col("_row").alias(name)))
-    return with_row(docs, name).join(small_side(dropped), name, "left_anti").drop(name)
+    return without_rows(docs, similar_groups(docs, **options).where("_row != keep_row"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakejobs.llm.tables import stored, with_row
+from lakejobs.llm.tables import Beside, beside_scan, stored, with_row
 from lakejobs.llm.textbytes import SLICE_BYTES, Spans, mix, slices, text_bytes, window_minima
 
 LENGTH = 400
@@ -193,40 +193,48 @@ def _segments(length: int):
     return run
 
 
-def _divided(length: int, level: int):
-    """Segments of the next level within a row's wanted segments; equal strings of a bucket stay together."""
+def _pieces(batch: pa.RecordBatch, beside: Beside, length: int):
+    """Row, place, starts and bytes of the wanted segments in a batch's texts, and what else is known of them."""
+    rows = batch.column("_row").to_numpy()
+    found = beside.of(rows)
+    if found is None:
+        return None
+    data, offsets = text_bytes(batch.column("_text"))
+    x, starts = found.column("x").to_numpy(), found.column("starts").to_numpy()
+    at = offsets[np.searchsorted(rows, found.column("_row").to_numpy())] + x
+    return found, [data[p:q] for p, q in zip(at.tolist(), (at + starts + length - 1).tolist())]
+
+
+def _divided(length: int, level: int, path: str):
+    """Segments of the next level within the wanted ones; equal strings of a bucket stay together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beside = Beside(path)
         for batch in batches:
-            data, offsets = text_bytes(batch.column("_text"))
-            rows = batch.column("_row").to_numpy()
-            for i, wanted in enumerate(batch.column("wanted").to_pylist()):
-                for w in wanted:
-                    start = offsets[i] + w["x"]
-                    piece = data[start : start + w["starts"] + length - 1]
-                    got = segments_of(piece, np.array([0, len(piece)]), np.array([w["x"]]), length, level)
-                    r, x, size, h, one, two = got
-                    h = mix(h + np.uint64(w["h"] % (1 << 64)) * np.uint64(31))
-                    yield _segment_batch(rows[i : i + 1], (r, x, size, h, one, two))
+            if (got := _pieces(batch, beside, length)) is None:
+                continue
+            found, pieces = got
+            rows, x, h = (found.column(c).to_numpy() for c in ("_row", "x", "h"))
+            offsets = np.cumsum([0, *map(len, pieces)])
+            for a, b in slices(offsets):
+                r, place, size, key, one, two = segments_of(np.concatenate(pieces[a:b]), offsets[a : b + 1] - offsets[a], x[a:b], length, level)
+                key = mix(key + h[a:b][r].view(np.uint64) * np.uint64(31))
+                yield _segment_batch(rows[a:b], (r, place, size, key, one, two))
 
     return run
 
 
-def _cut(length: int):
-    """The texts of a row's wanted segments."""
+def _cut(length: int, path: str):
+    """The texts of the wanted segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beside = Beside(path)
         for batch in batches:
-            data, offsets = text_bytes(batch.column("_text"))
-            for i, wanted in enumerate(batch.column("wanted").to_pylist()):
-                row = batch.column("_row")[i].as_py()
-                columns = [[w[k] for w in wanted] for k in ("h", "block", "split", "twice", "x", "starts")]
-                texts = [data[offsets[i] + w["x"] : offsets[i] + w["x"] + w["starts"] + length - 1].tobytes() for w in wanted]
-                types = [pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(c, t) for c, t in zip(columns, types, strict=True)], pa.array([row] * len(wanted), pa.int64()), pa.array(texts, pa.binary())],
-                    ["h", "block", "split", "twice", "x", "starts", "_row", "bytes"],
-                )
+            if (got := _pieces(batch, beside, length)) is not None:
+                found, pieces = got
+                names = ["h", "block", "split", "twice", "x", "starts", "_row"]
+                columns = [found.column(c).combine_chunks() for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([p.tobytes() for p in pieces], pa.binary())], [*names, "bytes"])
 
     return run
 
@@ -325,12 +333,12 @@ def _spans_of(source: DataFrame, segments: DataFrame, length: int, keep_first: b
 
     mixed = groups.join(buckets, "h")
     if level < LEVELS and not buckets.where(F.col("kinds") > BLOCK_SEGMENTS).isEmpty():
-        texts = _wanted(source, mixed.where(F.col("kinds") > BLOCK_SEGMENTS))
-        divided = stored(texts.mapInArrow(_divided(length, level + 1), _SEGMENT), "divided")
+        path = _wanted(mixed.where(F.col("kinds") > BLOCK_SEGMENTS))
+        divided = stored(source.mapInArrow(_divided(length, level + 1, path), _SEGMENT), "divided")
         spans = spans.unionByName(_spans_of(source, divided, length, keep_first, level + 1))
         mixed = mixed.where(F.col("kinds") <= BLOCK_SEGMENTS)
-    texts = _wanted(source, mixed).mapInArrow(
-        _cut(length), "h bigint, block int, split boolean, twice boolean, x bigint, starts int, _row bigint, bytes binary"
+    texts = source.mapInArrow(
+        _cut(length, _wanted(mixed)), "h bigint, block int, split boolean, twice boolean, x bigint, starts int, _row bigint, bytes binary"
     )
     solved = stored(
         texts.repartition("h", "block").sortWithinPartitions("h", "block")
@@ -348,42 +356,48 @@ def _spans_of(source: DataFrame, segments: DataFrame, length: int, keep_first: b
     return spans.unionByName(within).unionByName(across.select("_row", "start", "end"))
 
 
-def _wanted(source: DataFrame, groups: DataFrame) -> DataFrame:
-    """(_row, _text, wanted): the texts that hold the representatives of ``groups``, and where."""
+def _wanted(groups: DataFrame) -> str:
+    """Where the representatives of ``groups`` are written for the tasks that scan their texts."""
     blocks = F.ceil(F.col("kinds") / BLOCK_SEGMENTS).cast("int")
     each = groups.select(
-        F.col("rep._row").alias("_row"),
-        F.struct(
-            "h", F.pmod(F.xxhash64("one", "two"), blocks).cast("int").alias("block"), (blocks > 1).alias("split"),
-            (F.col("copies") > 1).alias("twice"), F.col("rep.x").alias("x"), "starts",
-        ).alias("w"),
+        F.col("rep._row").alias("_row"), "h", F.pmod(F.xxhash64("one", "two"), blocks).cast("int").alias("block"),
+        (blocks > 1).alias("split"), (F.col("copies") > 1).alias("twice"), F.col("rep.x").alias("x"), "starts",
     )
-    per_row = each.groupBy("_row").agg(F.collect_list("w").alias("wanted"))  # bounded by the text
-    return source.join(per_row, "_row").select("_row", "_text", "wanted")
-
-
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_bytes(batch.column("_text"))
-        spans, texts = [], []
-        for i, found in enumerate(batch.column("found").to_pylist()):
-            merged: list[list[int]] = []
-            for s in sorted(found or [], key=lambda s: s["start"]):
-                if merged and s["start"] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], s["end"])
-                else:
-                    merged.append([s["start"], s["end"]])
-            text, at, parts = data[offsets[i] : offsets[i + 1]].tobytes(), 0, []
-            for start, end in merged:
-                parts.append(text[at:start])
-                at = end
-            spans.append([{"start": a, "end": b} for a, b in merged])
-            texts.append(b"".join([*parts, text[at:]]))
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("_row"), batch.column("_id"), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(texts, pa.binary())],
-            ["_row", "_id", "n_bytes", "spans", "kept"],
-        )
+    return beside_scan(each, "wanted")
+
+
+def _without(path: str):
+    """Each text without its ranges."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beside = Beside(path)
+        for batch in batches:
+            rows = batch.column("_row").to_numpy()
+            data, offsets = text_bytes(batch.column("_text"))
+            merged: list[list] = [[] for _ in rows]
+            if (found := beside.of(rows)) is not None:
+                row, start, end = (found.column(c).to_numpy() for c in ("_row", "start", "end"))
+                order = np.lexsort((start, row))
+                for i, s, e in zip(np.searchsorted(rows, row[order]).tolist(), start[order].tolist(), end[order].tolist()):
+                    spans = merged[i]
+                    if spans and s <= spans[-1]["end"]:
+                        spans[-1]["end"] = max(spans[-1]["end"], e)
+                    else:
+                        spans.append({"start": s, "end": e})
+            texts = []
+            for i, spans in enumerate(merged):
+                text, at, parts = data[offsets[i] : offsets[i + 1]].tobytes(), 0, []
+                for span in spans:
+                    parts.append(text[at : span["start"]])
+                    at = span["end"]
+                texts.append(b"".join([*parts, text[at:]]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), batch.column("_id"), pa.array(np.diff(offsets)), pa.array(merged, kind), pa.array(texts, pa.binary())],
+                ["_row", "_id", "n_bytes", "spans", "kept"],
+            )
+
+    return run
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,11 +406,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     A null text is empty. Rows with equal ids stay apart; an empty table gives no rows; other columns
     are not read. ``kept`` is binary: a removed range may end inside a character.
     """
-    ranges = stored(repeated_spans(docs, length, keep_first, text_col), "ranges")
-    found = ranges.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("found"))  # bounded by the text
-    source = with_row(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
-    joined = source.join(found, "_row", "left").select("_row", "_id", "_text", "found")
+    path = beside_scan(repeated_spans(docs, length, keep_first, text_col), "ranges")
+    source = with_row(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).select("_row", "_id", "_text")
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(
-        _without, f"_row bigint, _id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    return source.mapInArrow(
+        _without(path), f"_row bigint, _id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
     ).withColumnRenamed("_id", id_col)

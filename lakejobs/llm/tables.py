@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -40,6 +46,61 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_PART_BITS = 33  # of a row number, below the number of its scan partition
+
+
+def beside_scan(side: DataFrame, label: str = "beside") -> str:
+    """Write ``side`` (with ``_row``) so that the task of a scan partition finds the rows of its own documents.
+
+    The texts then stay where they are scanned: only the narrow ``side`` is shuffled. :class:`Beside` reads it.
+    """
+    path = scratch_path(side.sparkSession, label)
+    dealt = side.withColumn("part", F.shiftright("_row", _PART_BITS)).repartition("part").sortWithinPartitions("part", "_row")
+    dealt.write.partitionBy("part").parquet(path)
+    return path
+
+
+class Beside:
+    """The rows that :func:`beside_scan` wrote for the scan partition a task works on, read once per task."""
+
+    def __init__(self, path: str):
+        self.path, self.part, self.table, self.rows = path, None, None, np.zeros(0, np.int64)
+
+    def of(self, rows: np.ndarray) -> pa.Table | None:
+        """The side rows of a batch's ``rows`` (ascending), by row; None if there are none."""
+        if not len(rows):
+            return None
+        part = int(rows[0]) >> _PART_BITS
+        if part != self.part:
+            self.part, self.table, self.rows = part, None, np.zeros(0, np.int64)
+            system, root = fs.FileSystem.from_uri(self.path)
+            found = system.get_file_info(fs.FileSelector(f"{root}/part={part}", allow_not_found=True))
+            tables = [pq.read_table(f.path, filesystem=system, partitioning=None) for f in found if f.base_name.endswith(".parquet")]
+            if tables:
+                table = pa.concat_tables(tables)
+                order = np.argsort(table.column("_row").to_numpy(), kind="stable")
+                self.table = table.take(pa.array(order)).combine_chunks()
+                self.rows = self.table.column("_row").to_numpy()
+        a, b = np.searchsorted(self.rows, [rows[0], rows[-1] + 1])
+        return self.table.slice(a, b - a) if b > a else None
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows numbered in ``rows`` (_row, as by :func:`with_row`); texts are not shuffled."""
+    path, name = beside_scan(rows.select("_row")), free_name(docs, "_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beside = Beside(path)
+        for batch in batches:
+            numbers = batch.column(batch.num_columns - 1).to_numpy()
+            gone = beside.of(numbers)
+            if gone is not None:
+                batch = batch.filter(pa.array(~np.isin(numbers, gone.column("_row").to_numpy())))
+            yield batch.select(list(range(batch.num_columns - 1))) if gone is None else pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+
+    return with_row(docs, name).mapInArrow(run, docs.schema)
+
+
 def with_field(df: DataFrame, name: str, kind: str) -> StructType:
     """The schema of ``df`` and one more column, for functions over Arrow batches."""
     return StructType(list(df.schema.fields)).add(name, kind)
