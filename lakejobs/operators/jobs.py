@@ -17,7 +17,7 @@ from lakejobs.errors import (
     NOT_COMPLETE,
 )
 from lakejobs.functions.joblog import parse_child_id, parse_progress
-from lakejobs.operators.lists import pack_lists
+from lakejobs.operators.lists import pack_lists, unpack_lists
 
 # The fields of a job record.
 TEXT_FIELDS = ("percentComplete", "childid", "children", "user", "callback", "completed")
@@ -82,14 +82,17 @@ def jobs_by_user(jobs: DataFrame, tracked: DataFrame, user: str | int) -> DataFr
 
 
 def children(jobs: DataFrame, col: str = "children") -> DataFrame:
-    """(id, pos, child) per entry of a job's child list; null and empty lists give no rows."""
-    listed = jobs.where(F.col(col).isNotNull() & (F.col(col) != ""))
-    return listed.select("id", F.posexplode(F.split(col, ",")).alias("pos", "child"))
+    """(id, pos, child) per entry of a job's child list; null and empty lists give no rows.
+
+    Inverse of :func:`with_children`, whose parts and escapes it knows.
+    """
+    extra = [c for c in ("part", "first_pos", "n_items") if c in jobs.columns]
+    return unpack_lists(jobs.select("id", *extra, col), col, "child", "pos")
 
 
-def with_children(edges: DataFrame, out: str = "children") -> DataFrame:
-    """The child list of each job from (id, pos, child), in list order; see ``pack_lists`` for ``part``."""
-    return pack_lists(edges, "id", "child", "pos", out)
+def with_children(edges: DataFrame, out: str = "children", **options) -> DataFrame:
+    """The child list of each job from (id, pos, child), in list order; see ``pack_lists`` for its parts."""
+    return pack_lists(edges, "id", "child", "pos", out, **options)
 
 
 def job_status(jobs: DataFrame, tracker: DataFrame) -> DataFrame:

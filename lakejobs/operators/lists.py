@@ -4,25 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lakejobs.functions.lists import decode_list, escape_item
-from lakejobs.operators.ordered import PIECE_BYTES, range_pieces, split_heavy
+from lakejobs.operators.ordered import range_pieces, split_heavy
 from lakejobs.sources.spec import quote_name
 
 
+PART_BYTES = 16 << 20
+
+
 def pack_lists(
     df: DataFrame,
     key: str,
     col: str,
     order: str,
     out: str = "list",
-    max_list_bytes: int = PIECE_BYTES,
+    max_list_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """One comma list per key, items in the order of ``order``: rows (key, part, list).
+    """Comma lists per key, items in the order of ``order``: rows (key, part, first_pos, n_items, list).
 
-    A list up to ``max_list_bytes`` is one row with part 0. A longer one could not be one value;
-    it comes in several rows that, joined by commas in the order of ``part``, are the whole list,
-    and it is built from range partitions so that no task holds all of it.
+    A key's list comes in parts of about ``max_list_bytes`` at most; joined by commas in the order of
+    ``part`` they are the whole list. ``first_pos`` is the position of a part's first item in the whole
+    list and ``n_items`` how many it holds (so a part that is one empty item is not taken for none).
+    Longer lists are built from range partitions, so no task holds all of one.
     """
     rows = df.select(
         F.col(quote_name(key)).alias("_key"),
@@ -32,11 +37,17 @@ def pack_lists(
     weight = F.octet_length("_item").cast("long") + 16
     small, big, size = split_heavy(rows, ["_key"], weight, max_list_bytes)
     # Lists do not shrink when they are half built, so rows are shuffled as they are.
-    packed = _collect(small.repartition("_key").withColumn("_piece", F.lit(0)))
+    packed = _collect(small.repartition("_key").withColumn("_piece", F.lit(0))).withColumn("first_pos", F.lit(0).cast("long"))
     if big is not None:
-        pieces = range_pieces(big, ["_key", "_order"], size, max_list_bytes)
-        packed = packed.unionByName(_collect(pieces))
-    return packed.select(F.col("_key").alias(key), "part", F.col("list").alias(out))
+        # Written once: positions must count the very parts that come out.
+        parts = _collect(range_pieces(big, ["_key", "_order"], size, max_list_bytes)).checkpoint()
+        before = W.partitionBy("_key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        places = parts.select("_key", "part", "n_items").select(
+            F.col("_key").alias("_k"), F.col("part").alias("_p"), F.coalesce(F.sum("n_items").over(before), F.lit(0)).alias("first_pos")
+        )
+        same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("part") == F.col("_p"))
+        packed = packed.unionByName(parts.join(places, same).drop("_k", "_p"))
+    return packed.select(F.col("_key").alias(key), "part", "first_pos", "n_items", F.col("list").alias(out))
 
 
 def _collect(rows: DataFrame) -> DataFrame:
@@ -44,11 +55,22 @@ def _collect(rows: DataFrame) -> DataFrame:
     return (
         rows.groupBy("_key", F.col("_piece").alias("part"))
         .agg(collected.alias("_rows"))
-        .select("_key", "part", F.array_join(F.col("_rows")["_item"], ",").alias("list"))
+        .select("_key", "part", F.size("_rows").alias("n_items"), F.array_join(F.col("_rows")["_item"], ",").alias("list"))
     )
 
 
 def unpack_lists(df: DataFrame, col: str, item: str = "item", pos: str = "pos") -> DataFrame:
-    """One row per list item with its position; null and empty lists give none."""
-    kept = [quote_name(c) for c in df.columns if c != col]
-    return df.select(*kept, F.posexplode(decode_list(quote_name(col))).alias(pos, item))
+    """One row per list item with its position; null and empty lists give none.
+
+    The columns ``first_pos`` and ``n_items`` of :func:`pack_lists`, where present, are used and left
+    out: positions then count over all parts of a list, and a part of one empty item gives that item.
+    """
+    taken = {col, "first_pos", "n_items", "part"} if {"first_pos", "n_items"} <= set(df.columns) else {col}
+    kept = [quote_name(c) for c in df.columns if c not in taken]
+    items = decode_list(quote_name(col))
+    if len(taken) == 1:
+        return df.select(*kept, F.posexplode(items).alias(pos, item))
+    lone = (F.col(quote_name(col)) == "") & (F.col("n_items") == 1)
+    items = F.when(lone, F.array(F.lit(""))).otherwise(items)
+    each = df.select(*kept, F.col("first_pos").alias("_first"), F.posexplode(items).alias("_pos", item))
+    return each.select(*kept, (F.col("_first") + F.col("_pos")).cast("int").alias(pos), quote_name(item))

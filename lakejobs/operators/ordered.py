@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import TimestampNTZType
 
 from lakejobs.session import ensure_checkpoints, scratch_path
 from lakejobs.sources.spec import quote_name
@@ -78,8 +79,8 @@ def limit_bytes(
 ) -> DataFrame:
     """The rows whose text, each with its newline, is within the first ``max_bytes`` bytes.
 
-    Rows count in the order of ``order``, which must be unique (within a group of ``per``), and are
-    kept or left out whole. The outcome is found as one cut-off per group - the last order value to
+    Rows count in the order of ``order``, which must be unique (within a group of ``per``; nulls come
+    first), and are kept or left out whole. The outcome is found as one cut-off per group - the last order value to
     keep - from (group, order, size) alone; text is then filtered where it is read, unless there are
     too many groups to broadcast. Groups that fit need one sum. Only the others are put in order,
     by range partitions: sizes are summed per piece first, then inside the one piece of each group
@@ -110,7 +111,7 @@ def limit_bytes(
         last = last.unionByName(_cut_offs(narrow, keys, order, max_bytes, count, side_of))
     if not keys:
         row = last.first()  # there is one group
-        return df.where(F.lit(False)) if row is None else df.where(at <= _literal(row["_last"]))
+        return df.where(F.lit(False)) if row is None else df.where(_up_to(df, order, row["_last"]))
     side, same_group = beside(last, keys)
     kept = df.join(side_of(side), same_group & (at <= F.col("_last")))
     return kept.select(*map(quote_name, df.columns))
@@ -162,11 +163,20 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"{quote_name(f.name)} {f.dataType.simpleString()}" for f in df.schema)
 
 
-def _literal(value) -> Column:
-    return F.struct(*[F.lit(v) for v in value]) if isinstance(value, Row) else F.lit(value)
+def _up_to(df: DataFrame, order: list[str], last: Row) -> Column:
+    """Rows at or before ``last``, as a filter that reaches the scan if there is one order column."""
+    kinds = [df.schema[c].dataType for c in order]
+    # A time without zone is given as text: a Python value would be read in the driver's own zone.
+    values = [
+        F.lit(str(v)).cast(k) if v is not None and isinstance(k, TimestampNTZType) else F.lit(v).cast(k)
+        for v, k in zip(last, kinds)
+    ]
+    if len(order) > 1:
+        return _place(order) <= F.struct(*[v.alias(c) for v, c in zip(values, order)])
+    column = F.col(quote_name(order[0]))
+    return column.isNull() if last[0] is None else column.isNull() | (column <= values[0])
 
 
 def _place(order: list[str]) -> Column:
-    """The order as one comparable value."""
-    columns = [F.col(quote_name(c)) for c in order]
-    return columns[0] if len(columns) == 1 else F.struct(*columns)
+    """The order as one comparable value; nulls come first."""
+    return F.struct(*[F.col(quote_name(c)) for c in order])

@@ -8,7 +8,7 @@ from lakejobs.operators import jobs as J
 from lakejobs.plans import derived
 from lakejobs.plans.registry import check, table
 from lakejobs.session import scratch_path
-from lakejobs.streaming.progress import outcome_stream, progress_stream, read_progress, write_progress
+from lakejobs.streaming.progress import outcome_stream, progress_stream, read_outcomes, read_progress, write_progress
 
 
 @check("j1_progress", f"SELECT job_id, seq, percent FROM ({derived.LINE_FACTS_SQL})")
@@ -95,7 +95,7 @@ def _edges(spark, sf_dir):
 
 @check("j7_with_children", CHILDREN_SQL)
 def j7_with_children(spark, sf_dir):
-    return J.with_children(_edges(spark, sf_dir))
+    return J.with_children(_edges(spark, sf_dir)).select("id", "part", "children")
 
 
 @check(
@@ -105,8 +105,7 @@ def j7_with_children(spark, sf_dir):
        FROM lineitem""",
 )
 def j7_children(spark, sf_dir):
-    lists = J.with_children(_edges(spark, sf_dir)).select("id", "children")
-    return J.children(lists)
+    return J.children(J.with_children(_edges(spark, sf_dir), max_list_bytes=60))
 
 
 @check(
@@ -185,17 +184,11 @@ def j11_progress_stream(spark, sf_dir):
 
 @check(
     "j12_outcomes",
-    """SELECT 'JOB' AS type, CAST(user_id AS VARCHAR) AS id, user_id % 4 AS "exitValue", 'done' AS completed
+    """SELECT 'JOB' AS type, CAST(user_id AS VARCHAR) AS id, arg_min(event_id, (ts, event_id)) AS "exitValue", 'done' AS completed
        FROM events WHERE event_type = 'purchase' AND event_id % 7 <> 0 GROUP BY user_id""",
 )
 def j12_outcomes(spark, sf_dir):
-    exit_code = (F.col("id").cast("bigint") % 4).cast("string")
-    writes = derived.field_events(spark, sf_dir).withColumn(
-        "val", F.when(F.col("val").isNotNull(), exit_code)
-    )
-    source = _as_stream(spark, writes, "j12_source")
+    source = _as_stream(spark, derived.field_events(spark, sf_dir), "j12_source")  # files in no order of time
     out, checkpoint = scratch_path(spark, "j12"), scratch_path(spark, "j12_checkpoint")
-    done = outcome_stream(source, "60 days")
-    writer = done.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-    writer.trigger(availableNow=True).format("parquet").start(out).awaitTermination()
-    return spark.read.parquet(out).select("type", "id", "exitValue", "completed")
+    write_progress(outcome_stream(source), out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return read_outcomes(spark, out).select("type", "id", "exitValue", "completed")

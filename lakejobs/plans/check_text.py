@@ -125,7 +125,7 @@ def _items(spark, sf_dir):
          FROM (SELECT *, {ITEM_SQL} AS item FROM events) GROUP BY user_id""",
 )
 def f1_pack(spark, sf_dir):
-    return pack_lists(_items(spark, sf_dir), "user_id", "item", "event_id", "items")
+    return pack_lists(_items(spark, sf_dir), "user_id", "item", "event_id", "items").select("user_id", "part", "items")
 
 
 @check(
@@ -134,8 +134,9 @@ def f1_pack(spark, sf_dir):
           coalesce({ITEM_SQL}, '') AS item FROM events""",
 )
 def f2_pack_unpack(spark, sf_dir):
-    packed = pack_lists(_items(spark, sf_dir), "user_id", "item", "event_id", "items")
-    return unpack_lists(packed.select("user_id", "items"), "items")
+    # Small parts, so that most lists come in several.
+    packed = pack_lists(_items(spark, sf_dir), "user_id", "item", "event_id", "items", max_list_bytes=1_000)
+    return unpack_lists(packed, "items")
 
 
 @check(

@@ -47,7 +47,7 @@ def run_sql(
 ) -> DataFrame:
     """Run the statements of ``execute``, or of ``file``, and return the result of the last one.
 
-    ``defines`` are ``NAME=VALUE`` settings made before the text; they are also variables for
+    ``defines`` are ``NAME=VALUE`` settings that hold while the text runs; they are also variables for
     ``${NAME}``. ``params``, where given, replace ``$NAME`` first. With ``check`` nothing is run:
     every statement is planned only, and the plan of the last one is returned. A failure carries
     its statement.
@@ -55,19 +55,28 @@ def run_sql(
     if not execute and not file:
         raise BadParam(NO_SCRIPT)
     text = execute or file_text(spark, file)
+    settings = {}
     for define in defines:
         name, separator, value = define.partition("=")
         if not separator:
             raise BadParam(f"Invalid define {define}")
-        spark.conf.set(name, value)
+        settings[name] = value
     if params is not None:
         text = fill_params(text, params)
     statements = split_statements(text)
     if not statements:
         raise BadParam(NO_SCRIPT)
+    before = {name: spark.conf.get(name, None) for name in settings}
     result = None
-    for statement in statements:
-        result = _run_one(spark, statement, check)
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        for statement in statements:
+            result = _run_one(spark, statement, check)
+        result._jdf.queryExecution().executedPlan()  # planned while the settings hold
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return result
 
 

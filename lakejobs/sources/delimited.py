@@ -76,15 +76,18 @@ class _Reader:
             pairs = F.transform(
                 _split(text, self.items), lambda p: F.split(p, literal_pattern(self.map_keys), 2)
             )
-            made = F.map_from_entries(
-                F.transform(
-                    pairs,
-                    lambda p: F.struct(
-                        self.atom(F.get(p, F.lit(0)), kind.keyType).alias("key"),
-                        self.atom(F.get(p, F.lit(1)), kind.valueType).alias("value"),
-                    ),
-                )
+            entries = F.transform(
+                pairs,
+                lambda p: F.struct(
+                    self.atom(F.get(p, F.lit(0)), kind.keyType).alias("key"),
+                    self.atom(F.get(p, F.lit(1)), kind.valueType).alias("value"),
+                ),
             )
+            # A key that does not read as its type is left out; of equal keys the last counts.
+            known = F.filter(entries, lambda e: e["key"].isNotNull())
+            later = lambda i: F.slice(known, i + 2, F.size(known))
+            last = F.filter(known, lambda e, i: ~F.exists(later(i), lambda o: o["key"] == e["key"]))
+            made = F.map_from_entries(last)
             empty = F.map_from_entries(F.lit([]).cast(_entries(kind)))
             return F.when(text == "", empty).when(text != self.null_token, made)
         if isinstance(kind, T.StructType):

@@ -59,8 +59,9 @@ def read_inputs(
 
 
 def file_text(spark: SparkSession, name: str) -> str:
-    """The text of one small file, such as a script."""
-    return spark.read.text(check_inputs(spark, [name])[0], wholetext=True).first()[0]
+    """The text of a script: one small file, or all files a folder or glob names, in order of their paths."""
+    files = spark.read.text(check_inputs(spark, [name])[0], wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return "\n".join(r.value for r in files.orderBy("path").collect())
 
 
 def modified_before(inventory: DataFrame, now_ms: int, max_age_ms: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from lakejobs.operators.jobs import COMPLETED, MAX_AGE_MS, with_progress
+from lakejobs.operators.jobs import COMPLETED, with_progress
 
 PROGRESS_FIELDS = ("percent", "child_id")
 
@@ -71,7 +71,8 @@ def snapshot_progress(spark: SparkSession, path: str, snapshot: str, before: str
     if before:
         kept = spark.read.parquet(before)
         since = kept.agg(F.max("upto")).first()[0]
-        batches = batches.where(F.col("batch") > since).unionByName(kept.drop("upto"))
+        if since is not None:  # an earlier snapshot without rows covers nothing
+            batches = batches.where(F.col("batch") > since).unionByName(kept.drop("upto"))
     _newest(batches).withColumn("upto", F.lit(upto)).write.parquet(snapshot)
 
 
@@ -80,18 +81,25 @@ def _newest(batches: DataFrame) -> DataFrame:
     return batches.groupBy("job_id").agg(newest).select("job_id", "_row.*")
 
 
-def outcome_stream(events: DataFrame, keep: str = f"{MAX_AGE_MS} milliseconds") -> DataFrame:
-    """The first exit of each job as (type, id, exitValue, completed, ts), emitted once.
+def outcome_stream(events: DataFrame) -> DataFrame:
+    """The first exit of each job as (type, id, exitValue, completed, ts, seq), for update mode.
 
-    ``events`` are field writes (type, id, key, val, ts); the exit is the write of ``exitValue``, and
-    the job counts as done whatever the code. A job never re-opens: a second exit is dropped while
-    the id is remembered, by default as long as job records are kept.
+    ``events`` are field writes (type, id, key, val, ts, seq); the exit is the write of ``exitValue``
+    with the smallest (ts, seq), and the job counts as done whatever the code. State is one small row
+    per job and does not expire: a job never re-opens, a first exit counts however late it arrives,
+    and an earlier one that arrives later corrects the row. Write with :func:`write_progress` and read
+    with :func:`read_outcomes`.
     """
-    exits = events.where((F.col("key") == "exitValue") & F.col("val").isNotNull()).select(
-        "type",
-        "id",
-        F.col("val").try_cast("bigint").alias("exitValue"),
-        F.lit(COMPLETED).alias("completed"),
-        F.col("ts").cast("timestamp").alias("ts"),
+    exits = events.where((F.col("key") == "exitValue") & F.col("val").isNotNull())
+    first = F.min(F.struct(F.col("ts").cast("timestamp").alias("ts"), "seq", F.col("val").try_cast("bigint").alias("exitValue")))
+    return exits.groupBy("type", "id").agg(first.alias("_first")).select(
+        "type", "id", "_first.exitValue", F.lit(COMPLETED).alias("completed"), "_first.ts", "_first.seq"
     )
-    return exits.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["type", "id"])
+
+
+def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """The outcome of each job written by :func:`write_progress`: the row of its newest batch."""
+    batches = spark.read.parquet(path)
+    fields = [c for c in batches.columns if c not in ("type", "id", "batch")]
+    newest = F.max_by(F.struct(*fields), "batch").alias("_row")
+    return batches.groupBy("type", "id").agg(newest).select("type", "id", "_row.*")

@@ -6,6 +6,7 @@ import pytest
 from compare import difference, oracle_connection
 
 from __spark_entry__ import entry, oracle_sql, queries
+from lakejobs.plans.registry import ORACLES, QUERIES
 
 WITHOUT_SQL = {"s7_file_inventory", "t10_column_profile_approx", "t12_table_stats"}
 
@@ -16,10 +17,11 @@ def connection(sf_dir):
 
 
 def test_every_other_query_has_sql():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, sf_dir, connection, name):
     assert difference(spark, sf_dir, queries()[name], oracle_sql()[name], connection) is None
 

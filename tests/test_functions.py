@@ -27,30 +27,25 @@ def values(spark, texts, expression):
 
 def test_progress(spark):
     lines = [
-        "12:00:01 INFO launcher - 50% complete",
-        "12:00:02 INFO client:  map 100% reduce 33%",
-        "fred",
-        " 50% complete\n",
-        "at 50% complete now",
-        None,
-    ]
-    expected = ["50% complete", "map 100% reduce 33%", None, None, None, None]
+        "map 7% reduce 0%", "  map 7% reduce 0%", "[3] map  7% reduce 0%", "x map 007%  \t reduce 1234%", " map 7% reduce 0% ",
+        "0% complete", "\t0% complete", "step 2: 0% complete", "pre map 1% reduce 2% 3% complete", "", None,
+    ]
+    expected = [None, "map 7% reduce 0%", None, "map 007%  \t reduce 1234%", None, None, None, "0% complete", "3% complete", None, None]
     assert values(spark, lines, parse_progress("v")) == expected
 
 
 def test_child_id(spark):
-    lines = ["x INFO: Running job: job_1_2", "y HadoopJobId: job_3_4", "Running job: job_1_2", "none"]
-    assert values(spark, lines, parse_child_id("v")) == ["job_1_2", "job_3_4", None, None]
+    lines = [" Running job: a", "Running job: a b", "- Running job:  a", "- HadoopJobId: é-1", "- HadoopJobId: x Running job: y", "", None]
+    assert values(spark, lines, parse_child_id("v")) == ["a", None, None, "é-1", "y", None, None]
 
 
 def test_list_vector(spark):
-    rows = spark.createDataFrame(
-        [(["one", None, "two,three,, four"],), (None,), ([],)], "items array<string>"
-    )
-    texts = [r[0] for r in rows.select(encode_list("items")).collect()]
-    assert texts == ["one,,two\\,three\\,\\, four", None, ""]
-    back = values(spark, texts, decode_list("v"))
-    assert back == [["one", "", "two,three,, four"], None, []]
+    lists = [["", "a"], ["\\"], ["\\,", "b\\"], [",", "", ""], ["x\ny", " z "], ["é"]]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(lists)], "i int, items array<string>")
+    texts = [r[0] for r in rows.orderBy("i").select(encode_list("items")).collect()]
+    assert texts == [",a", "\\\\", "\\\\\\,,b\\\\", "\\,,,", "x\ny, z ", "é"]
+    assert values(spark, texts, decode_list("v")) == lists
+    assert values(spark, ["\\q", "a\\"], decode_list("v")) == [["q"], ["a"]]
 
 
 ITEM = st.one_of(st.none(), st.text(alphabet="a,\\ \né", max_size=5))
@@ -61,11 +56,17 @@ ITEM = st.one_of(st.none(), st.text(alphabet="a,\\ \né", max_size=5))
 def test_unpack_of_pack(spark, lists):
     flat = [(k, p, item) for k, items in enumerate(lists) for p, item in enumerate(items)]
     df = spark.createDataFrame(flat, "k int, p int, item string")
-    back = unpack_lists(pack_lists(df, "k", "item", "p", "items").select("k", "items"), "items")
-    ours = {(r.k, r.pos, r.item) for r in back.collect()}
-    # A list of one empty item is the empty text, which stands for no items.
-    lone = {k for k, items in enumerate(lists) if items in ([None], [""])}
-    assert ours == {(k, p, item or "") for k, p, item in flat if k not in lone}
+    for limit in (16 << 20, 40):
+        back = unpack_lists(pack_lists(df, "k", "item", "p", "items", limit), "items")
+        assert {(r.k, r.pos, r.item) for r in back.collect()} == {(k, p, item or "") for k, p, item in flat}
+
+
+def test_empty_items_and_positions_over_parts(spark):
+    df = spark.range(500).select(F.lit("k").alias("k"), "id", F.lit("").alias("v"))
+    packed = pack_lists(df, "k", "v", "id", max_list_bytes=200)
+    assert packed.count() > 5
+    back = unpack_lists(packed, "list").collect()
+    assert sorted(r.pos for r in back) == list(range(500)) and {r.item for r in back} == {""}
 
 
 def test_long_list_comes_in_parts(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lakejobs.errors import BadParam
 from lakejobs.operators import jobs as J
 from lakejobs.operators.mapreduce import stream_map_reduce, text_wc, word_count, write_pairs
-from lakejobs.streaming.progress import outcome_stream, progress_stream, read_progress, snapshot_progress, write_progress
+from lakejobs.streaming.progress import outcome_stream, progress_stream, read_outcomes, read_progress, snapshot_progress, write_progress
 
 EVENTS = [
     ("JOB", "job_1_1", "user", "ann", 1), ("JOB", "job_1_1", "user", "bob", 3), ("JOB", "job_1_1", "user", None, 4),
@@ -43,7 +43,9 @@ def test_children(spark):
     jobs = spark.createDataFrame([(1, "b,a"), (2, ""), (3, None)], "id int, children string")
     edges = J.children(jobs)
     assert {tuple(r) for r in edges.collect()} == {(1, 0, "b"), (1, 1, "a")}
-    assert [tuple(r) for r in J.with_children(edges).collect()] == [(1, 0, "b,a")]
+    assert [tuple(r) for r in J.with_children(edges).select("id", "part", "children").collect()] == [(1, 0, "b,a")]
+    odd = spark.createDataFrame([(1, 0, "a,b"), (1, 1, ""), (1, 2, "c\\")], "id int, pos int, child string")
+    assert {tuple(r) for r in J.children(J.with_children(odd)).collect()} == {tuple(r) for r in odd.collect()}
 
 
 def test_status(spark):
@@ -116,12 +118,15 @@ def test_outcomes_come_once(spark, tmp_path):
         F.when(F.col("id") % 3 == 0, "user").otherwise("exitValue").alias("key"), F.lit("1").alias("val"),
         F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id AS INT))").cast("timestamp_ntz").alias("ts"),
     )
-    stream = outcome_stream(as_stream(spark, rows, str(tmp_path / "in")))
-    writer = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c")).format("parquet")
-    writer.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
-    done = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted(int(r.id) for r in done) == list(range(20))
-    assert {(r.exitValue, r.completed) for r in done} == {(1, "done")}
+    rows = rows.withColumn("seq", F.col("ts").cast("string")).withColumn("val", F.substring("seq", 15, 2).cast("int").cast("string"))
+    late = rows.where("id = '3'").withColumns({"ts": F.expr("ts - interval 30 days"), "val": F.lit("9")}).limit(1)
+    stream = outcome_stream(as_stream(spark, rows.where("id != '3'").unionByName(late.withColumn("key", F.lit("exitValue"))), str(tmp_path / "in")))
+    writer = write_progress(stream, str(tmp_path / "out"), str(tmp_path / "c"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    done = {int(r.id): r for r in read_outcomes(spark, str(tmp_path / "out")).collect()}
+    assert sorted(done) == list(range(20)) and {r.completed for r in done.values()} == {"done"}
+    # The first exit of job k is minute k, or k + 20 where k is a multiple of three; job 3's came 30 days late.
+    assert {k: r.exitValue for k, r in done.items()} == {k: 9 if k == 3 else k + 20 if k % 3 == 0 else k for k in range(20)}
 
 
 def test_documented_streaming_job(spark, tmp_path):
