@@ -105,7 +105,7 @@ def j7_with_children(spark, sf_dir):
        FROM lineitem""",
 )
 def j7_children(spark, sf_dir):
-    return J.children(J.with_children(_edges(spark, sf_dir), max_list_bytes=60))
+    return J.children(J.with_children(_edges(spark, sf_dir)))
 
 
 @check(

@@ -128,12 +128,17 @@ def f1_pack(spark, sf_dir):
     return pack_lists(_items(spark, sf_dir), "user_id", "item", "event_id", "items").select("user_id", "part", "items")
 
 
-@check(
-    "f2_pack_unpack",
-    f"""SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS pos,
-          coalesce({ITEM_SQL}, '') AS item FROM events""",
-)
+UNPACKED_SQL = f"""SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS pos,
+          coalesce({ITEM_SQL}, '') AS item FROM events"""
+
+
+@check("f2_pack_unpack", UNPACKED_SQL)
 def f2_pack_unpack(spark, sf_dir):
+    return unpack_lists(pack_lists(_items(spark, sf_dir), "user_id", "item", "event_id", "items"), "items")
+
+
+@check("f2_pack_unpack_parts", UNPACKED_SQL)
+def f2_pack_unpack_parts(spark, sf_dir):
     # Small parts, so that most lists come in several.
     packed = pack_lists(_items(spark, sf_dir), "user_id", "item", "event_id", "items", max_list_bytes=1_000)
     return unpack_lists(packed, "items")
