@@ -18,8 +18,12 @@ MISSING = 404
 _TOP_LEVEL = "map<string,variant>"
 
 
+def _text_of(doc: Column) -> Column:
+    return F.when(doc == "", "{}").otherwise(F.coalesce(doc, F.lit("{}")))
+
+
 def _opened(doc: Column) -> Column:
-    return F.from_json(F.when(doc == "", "{}").otherwise(F.coalesce(doc, F.lit("{}"))), _TOP_LEVEL)
+    return F.from_json(_text_of(doc), _TOP_LEVEL)
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -27,19 +31,43 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _quoted(value: Column) -> Column:
+    """``value`` as JSON."""
+    listed = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _as_json(raw: Column, value: Column) -> Column:
+    """A parsed value as JSON: numbers as they stand in ``raw``, where only texts have lost their quotes."""
+    kind, plain = F.schema_of_variant(value), F.to_json(value)
+    # Fractions of more digits than a double has are exact in the variant only.
+    long_fraction = kind.startswith("DECIMAL") & (F.length(plain) > 16) & plain.contains(".")
+    return F.when((kind == "STRING") | raw.isNull() | long_fraction, plain).otherwise(raw)
+
+
 def annotate_json(
     doc: Column | str, put: dict[str, Column] | None = None, remove: Sequence[str] = ()
 ) -> Column:
     """Set and remove top-level keys of a JSON object.
 
     A key that exists is overwritten; a null value leaves the object as it was; null or empty text
-    counts as ``{}``. Other keys keep their values, whatever they are. Text that is not an object
-    gives null.
+    counts as ``{}``. Other keys keep their values: whole numbers of any length digit by digit,
+    fractions up to 38 digits; numbers with an exponent are written as doubles. Text that is not an
+    object gives null.
     """
     doc = F.col(doc) if isinstance(doc, str) else doc
     put = put or {}
-    entries = F.map_entries(_opened(doc))
-    return F.to_json(_once(entries, lambda e: F.map_from_entries(_changed(e, put, remove))))
+    raw = F.map_entries(F.from_json(_text_of(doc), "map<string,string>"))
+    parsed = F.map_entries(_opened(doc))
+    both = F.zip_with(
+        raw, parsed, lambda r, v: F.struct(r["key"].alias("key"), _as_json(r["value"], v["value"]).alias("value"))
+    )
+    return _once(both, lambda e: _object(_changed(e, put, remove)))
+
+
+def _object(entries: Column) -> Column:
+    fields = F.transform(entries, lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}"))
 
 
 def _changed(entries: Column, put: dict[str, Column], remove: Sequence[str]) -> Column:
@@ -56,11 +84,8 @@ def _changed(entries: Column, put: dict[str, Column], remove: Sequence[str]) ->
     if put or remove:
         kept = F.filter(kept, lambda e: ~_replaced(e["key"], put, remove))
     for name, value in put.items():
-        as_variant = F.to_variant_object(F.array(value))
-        entry = F.struct(
-            F.lit(name).alias("key"), F.variant_get(as_variant, "$[0]", "variant").alias("value")
-        )
-        none = F.array().cast("array<struct<key:string,value:variant>>")
+        entry = F.struct(F.lit(name).alias("key"), _quoted(value).alias("value"))
+        none = F.array().cast("array<struct<key:string,value:string>>")
         kept = F.concat(kept, F.when(value.isNotNull(), F.array(entry)).otherwise(none))
     return kept
 
@@ -93,19 +118,23 @@ def _status(opened: Column) -> Column:
 
 
 def first_entry(doc: Column | str, field: str, name: Column | str) -> Column:
-    """The first element of an array field of each document.
+    """The first element of an array field of each document, as JSON (texts with their quotes).
 
     A document with the key ``error`` passes unchanged; where the array is empty or absent the
     result says that table ``name`` does not exist.
     """
     doc = F.col(doc) if isinstance(doc, str) else doc
     name = F.lit(name) if isinstance(name, str) else name
-    keys = F.json_object_keys(F.when(doc == "", "{}").otherwise(F.coalesce(doc, F.lit("{}"))))
+    keys = F.json_object_keys(_text_of(doc))
     absent = F.to_json(
         F.struct(
             F.replace(F.lit(MISSING_TABLE), F.lit("{}"), name).alias("error"),
             F.lit(MISSING).alias("errorCode"),
         )
     )
-    first = F.get_json_object(doc, f"$.{field}[0]")
+    listed = F.try_element_at(F.from_json(_text_of(doc), "map<string,string>"), F.lit(field))
+    kind = F.schema_of_variant(F.try_element_at(_opened(doc), F.lit(field)))
+    raw, value = (F.get(F.from_json(listed, f"array<{t}>"), F.lit(0)) for t in ("string", "variant"))
+    # A null element is as good as none.
+    first = F.when(kind.startswith("ARRAY") & raw.isNotNull(), _as_json(raw, value))
     return F.when(F.array_contains(keys, "error"), doc).otherwise(F.coalesce(first, absent))

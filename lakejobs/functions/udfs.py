@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
+from typing import get_type_hints
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +30,23 @@ def outputSchema(schema: str) -> Callable:  # noqa: N802 - the name user files c
     return mark
 
 
+def _user_function(function: Callable, kind: T.DataType):
+    """By its type hints a function of whole pandas series or Arrow arrays, else of single values."""
+    modules = {getattr(hint, "__module__", "").split(".")[0] for hint in get_type_hints(function).values()}
+    if "pandas" in modules:
+        return F.pandas_udf(function, kind)
+    if "pyarrow" in modules:
+        return F.arrow_udf(function, kind)
+    return F.udf(function, kind, useArrow=True)
+
+
 def register_udfs(spark: SparkSession, module_path: str, namespace: str) -> dict[str, T.DataType]:
     """Register the marked functions of a Python file as SQL functions ``<namespace>_<name>``.
 
     The file may be on the driver or anywhere Spark reads. It need not import anything:
     ``outputSchema`` is defined for it. Functions may take any number of arguments, none included,
-    and travel to the executors inside the query; arguments and results move in Arrow batches.
+    and travel to the executors inside the query; arguments and results move in Arrow batches. A
+    function whose type hints are pandas Series or pyarrow Arrays is called once per batch.
     Returns the registered names with their types.
     """
     if os.path.exists(module_path):
@@ -49,6 +61,6 @@ def register_udfs(spark: SparkSession, module_path: str, namespace: str) -> dict
         kind = getattr(member, "output_type", None)
         if callable(member) and kind is not None:
             sql_name = f"{namespace}_{name}"
-            spark.udf.register(sql_name, F.udf(member, kind, useArrow=True))
+            spark.udf.register(sql_name, _user_function(member, kind))
             registered[sql_name] = kind
     return registered

@@ -107,9 +107,18 @@ def partitions(spark: SparkSession, table: str) -> DataFrame:
             ",",
         ),
     )
-    found = partition_stats(spark.table(table), columns).select("name", "rows", "files", "bytes")
+    full = spark.table(table)
+    keys = [f"_key{i}" for i in range(len(columns))]
+    found = partition_stats(full, columns).select(
+        *[F.col(quote_name(c)).alias(k) for c, k in zip(columns, keys)], "rows", "files", "bytes"
+    )
+    # By value: a directory such as p=01 of an int column holds rows with p = 1.
+    same = F.lit(True)
+    for i, (column, key) in enumerate(zip(columns, keys)):
+        text = F.nullif(F.col("values")[i]["columnValue"], F.lit(NULL_PARTITION))
+        same = same & text.cast(full.schema[column].dataType).eqNullSafe(F.col(key))
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("rows", "files", "bytes")]
-    return named.join(found, "name", "left").select("name", "values", *zero).orderBy("name")
+    return named.join(found, same, "left").select("name", "values", *zero).orderBy("name")
 
 
 def _partition_location(spark: SparkSession, table: str, values: dict[str, str]) -> str | None:

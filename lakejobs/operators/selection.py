@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakejobs.functions.documents import response_status
 from lakejobs.functions.values import identifier_problem, is_set
+from lakejobs.session import scratch_path
 from lakejobs.sources.spec import quote_name
 
 
@@ -24,8 +25,13 @@ def with_identifier_problem(df: DataFrame, col: str, out: str = "problem") -> Da
 
 
 def split_valid(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Valid rows, invalid rows with their ``problem``, and the number of rows per problem."""
-    marked = with_identifier_problem(df, col)
+    """Valid rows, invalid rows with their ``problem``, and the number of rows per problem.
+
+    ``df`` is read once: the marked rows are written to the shared folder, the three outputs read them there.
+    """
+    marked, path = with_identifier_problem(df, col), scratch_path(df.sparkSession, "split_valid")
+    marked.write.parquet(path)
+    marked = df.sparkSession.read.schema(marked.schema).parquet(path)
     valid = marked.where(F.col("problem").isNull()).drop("problem")
     invalid = marked.where(F.col("problem").isNotNull())
     return valid, invalid, marked.groupBy("problem").agg(F.count("*").alias("rows"))

@@ -151,6 +151,20 @@ def s7_file_inventory(spark, sf_dir):
     return files.select(F.substring_index("path", "/", -1).alias("file"), "length")
 
 
+@check(
+    "s7_inventory_bytes",
+    """SELECT lang, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes FROM documents
+       WHERE lang IS NOT NULL GROUP BY lang""",
+)
+def s7_inventory_bytes(spark, sf_dir):
+    path = scratch_path(spark, "s7")
+    docs = table(spark, sf_dir, "documents").where("lang is not null")
+    docs.select(F.coalesce("text", F.lit("")).alias("value"), "lang").write.partitionBy("lang").text(path)
+    files = file_inventory(spark, path)
+    lang = F.regexp_extract("path", "/lang=([^/]*)/", 1)
+    return files.groupBy(lang.alias("lang")).agg(F.sum("length").alias("bytes"))
+
+
 @check("s8_multi_input", "SELECT c_name AS value FROM customer UNION ALL SELECT s_name FROM supplier")
 def s8_multi_input(spark, sf_dir):
     paths = [scratch_path(spark, "s8_customer"), scratch_path(spark, "s8_supplier")]

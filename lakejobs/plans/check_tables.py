@@ -222,6 +222,18 @@ def t12_table_stats(spark, sf_dir):
     return stats.select("partitioned", "totalNumberFiles", "totalFileSize", "maxFileSize", "minFileSize")
 
 
+@check(
+    "t12_stats_bytes",
+    """SELECT CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS "totalFileSize",
+       FALSE AS partitioned, TRUE AS within FROM documents""",
+)
+def t12_stats_bytes(spark, sf_dir):
+    path = scratch_path(spark, "t12")
+    table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
+    stats, mean = table_stats(spark, path, "text"), F.col("totalFileSize") / F.col("totalNumberFiles")
+    return stats.select("totalFileSize", "partitioned", mean.between(F.col("minFileSize"), F.col("maxFileSize")).alias("within"))
+
+
 @check(
     "t12_rows_per_file",
     "SELECT o_orderstatus, count(*) AS rows, TRUE AS has_bytes FROM orders GROUP BY o_orderstatus",

@@ -12,7 +12,7 @@ from lakejobs.functions.values import row_rand
 from lakejobs.operators.flow import foreach_generate, group_all_count
 from lakejobs.operators.lists import pack_lists, unpack_lists
 from lakejobs.operators.mapreduce import stream_map_reduce, text_wc, word_count
-from lakejobs.operators.selection import drop_unset, status_summary, with_identifier_problem
+from lakejobs.operators.selection import drop_unset, status_summary, split_valid
 from lakejobs.plans import derived
 from lakejobs.plans.registry import check, spread, table
 from lakejobs.session import scratch_path
@@ -170,7 +170,18 @@ def f4_split_valid(spark, sf_dir):
         F.lit("event_type").alias("col"), F.col("event_type").alias("value")
     )
     parts = table(spark, sf_dir, "part").select(F.lit("p_name").alias("col"), F.col("p_name").alias("value"))
-    return with_identifier_problem(events.unionAll(parts), "value")
+    valid, invalid, _ = split_valid(events.unionAll(parts), "value")
+    return valid.withColumn("problem", F.lit(None).cast("string")).unionByName(invalid)
+
+
+@check(
+    "f4_problem_counts",
+    """SELECT CASE WHEN p_name IS NULL THEN 'Missing'
+         WHEN NOT regexp_full_match(p_name, '[a-zA-Z][a-zA-Z0-9_]*') THEN 'Invalid DDL identifier' END AS problem,
+       count(*) AS rows FROM part GROUP BY 1""",
+)
+def f4_problem_counts(spark, sf_dir):
+    return split_valid(table(spark, sf_dir, "part").select("p_name"), "p_name")[2]
 
 
 @check(

@@ -1,6 +1,8 @@
 # A user file for register_udfs; outputSchema is defined for it.
 # ruff: noqa: F821
 
+import pandas as pd
+
 
 @outputSchema("word:chararray")
 def helloworld():
@@ -8,5 +10,5 @@ def helloworld():
 
 
 @outputSchema("size:bigint")
-def size(text):
-    return None if text is None else len(text)
+def size(text: pd.Series) -> pd.Series:
+    return text.str.len().astype("Int64")

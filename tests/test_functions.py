@@ -113,6 +113,8 @@ def test_annotate_json(spark):
         {"a": 1, "o": {"x": [1, 2.5]}, "t": "new"}, {"t": "new"}, {"t": "new"}, {"a": 2, "t": "new"}, None, None, {"t": "new"},
     ]
     assert values(spark, ['{"a":1}', '{"b":"1"}'], annotate_json("v", remove=["a"])) == ["{}", '{"b":"1"}']
+    numbers = '{"a":1.0,"b":' + "7" * 40 + ',"c":0.' + "123456789" * 3 + ',"d":"1.0","e\\"":[1.0,"q"]}'
+    assert values(spark, [numbers], annotate_json("v", remove=["x"])) == [numbers]
     nested = annotate_json("v", {"s": F.struct(F.lit(1).alias("q")), "l": F.array(F.lit("x"))})
     assert json.loads(values(spark, ["{}"], nested)[0]) == {"s": {"q": 1}, "l": ["x"]}
 
@@ -134,6 +136,20 @@ def test_first_entry(spark):
     docs = ['{"tables":[{"id":1},{"id":2}]}', '{"error":"x"}', '{"tables":[]}', ""]
     absent = '{"error":"Table t does not exist","errorCode":404}'
     assert values(spark, docs, first_entry("v", "tables", "t")) == ['{"id":1}', '{"error":"x"}', absent, absent]
+    texts = ['{"a.b":["abc"]}', '{"a.b":[""]}', '{"a.b":[2.0,1]}', '{"a.b":"[1]"}', '{"a.b":[null]}']
+    assert values(spark, texts, first_entry("v", "a.b", "t")) == ['"abc"', '""', "2.0", absent, absent]
+
+
+def test_user_functions_by_batch(spark, tmp_path):
+    path = tmp_path / "batches.py"
+    path.write_text(
+        'import pandas as pd\nimport pyarrow as pa\nimport pyarrow.compute as pc\n\n'
+        '@outputSchema("n:bigint")\ndef double(v: pd.Series) -> pd.Series:\n    return v * 2\n\n'
+        '@outputSchema("n:bigint")\ndef third(v: pa.Array) -> pa.Array:\n    return pc.multiply(v, 3)\n'
+    )
+    register_udfs(spark, str(path), "b")
+    rows = spark.range(4).selectExpr("id", "b_double(id) AS d", "b_third(id) AS t").collect()
+    assert all((r.d, r.t) == (2 * r.id, 3 * r.id) for r in rows)
 
 
 def test_user_functions(spark, tmp_path):

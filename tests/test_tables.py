@@ -252,3 +252,12 @@ def test_profile(spark):
     assert profile_column(df, "s").columns == ["name", "rows", "nulls", "distinct", "min", "max"]
     empty = profile_columns(df.drop("m").limit(0), exact_distinct=True).collect()
     assert [r["distinct"] for r in empty] == [0, 0]
+
+
+def test_partitions_are_counted_by_value(spark, tmp_path):
+    name, path = new_table(), str(tmp_path / "t")
+    spark.range(3).coalesce(1).write.parquet(f"{path}/p=01")
+    spark.range(2).coalesce(1).write.parquet(f"{path}/p=__HIVE_DEFAULT_PARTITION__")
+    spark.sql(f"CREATE TABLE {name} (id BIGINT, p INT) USING parquet PARTITIONED BY (p) LOCATION '{path}'")
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+    assert sorted(r.rows for r in partitions(spark, name).collect()) == [2, 3]
