@@ -254,7 +254,7 @@ def test_profile(spark):
     assert [r["distinct"] for r in empty] == [0, 0]
 
 
-def test_partitions_are_counted_by_value(spark, tmp_path):
+def test_partitions_are_counted_by_value(spark, new_table, tmp_path):
     name, path = new_table(), str(tmp_path / "t")
     spark.range(3).coalesce(1).write.parquet(f"{path}/p=01")
     spark.range(2).coalesce(1).write.parquet(f"{path}/p=__HIVE_DEFAULT_PARTITION__")
