@@ -29,7 +29,7 @@ ORDER = 2
 ALPHA = 0.4
 HOT_WORDS = 60_000  # single words whose exact counts are handed to every task
 BUCKET_GRAMS = 5_000_000  # n-gram entries of a hash range, about
-PACK_BYTES = 16 << 20  # text whose n-grams are packed together
+PACK_BYTES = 6 << 20  # text whose n-grams are packed together
 HOT_SHARE = 8  # an n-gram held by more than one in so many packed documents is added up per pack first
 MICRO = 1_000_000  # scores are summed as integers, so the order of adding does not matter
 
