@@ -28,8 +28,8 @@ from lakejobs.llm.textbytes import grams, mix, slices, text_bytes, words
 ORDER = 2
 ALPHA = 0.4
 HOT_WORDS = 60_000  # single words whose exact counts are handed to every task
-BUCKET_GRAMS = 5_000_000  # n-gram entries of a hash range, about
-PACK_BYTES = 6 << 20  # text whose n-grams are packed together
+BUCKET_GRAMS = 2_000_000  # n-gram entries of a hash range, about
+PACK_BYTES = 4 << 20  # text whose n-grams are packed together
 HOT_SHARE = 8  # an n-gram held by more than one in so many packed documents is added up per pack first
 MICRO = 1_000_000  # scores are summed as integers, so the order of adding does not matter
 
@@ -197,8 +197,10 @@ def _pack(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, order: int, bu
             direct[c:d] += np.bincount(row[known], weights=gained, minlength=d - c).astype(np.int64)
             row, h, value = row[~known], h[~known], value[~known]
         row, h, value = _per_row(row, h, value)
-        parts.append((row + c, h, value))
+        parts.append(((row + c).astype(np.int32), h, value.astype(np.int32)))
+        del w, found, single
     row, h, value = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    parts.clear()
     spread = ids % buckets
     yield _batch(_PACK, {"bucket": spread, "_row": ids, "micros": direct, "n_words": n_words}, count)
     if not len(h):
@@ -219,10 +221,11 @@ def _pack(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, order: int, bu
             },
             len(groups),
         )
-        row = np.concatenate([row[~many], np.full(int(often.sum()), count)])
+        row = np.concatenate([row[~many], np.full(int(often.sum()), count, np.int32)])
         h = np.concatenate([h[~many], keys[often]])
-        value = np.concatenate([value[~many], np.stack([total, np.zeros_like(total)], 1)])
-    bucket = (mix(h ^ np.uint64(0xABCDEF)) % np.uint64(buckets)).astype(np.int64)
+        value = np.concatenate([value[~many], np.stack([total, np.zeros_like(total)], 1).astype(np.int32)])
+    del keys, place, held_by, often, many
+    bucket = (mix(h ^ np.uint64(0xABCDEF)) % np.uint64(buckets)).astype(np.int32)
     by = np.lexsort((row, bucket))
     bucket, row, h, value = bucket[by], row[by], h[by], value[by]
     cuts = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
