@@ -8,7 +8,7 @@ times ``alpha`` for each word of context given up; a single word's is count / wo
 :func:`score_documents` joins any documents to given counts. :func:`score_corpus` scores documents by
 the counts of those same documents: there every n-gram is held, so a document's score is a signed sum
 of log counts over its n-grams and their contexts, and counting and joining share one shuffle in which
-a task's n-grams travel packed by hash range. The most frequent words and n-grams do not take part in it:
+a task's n-grams travel packed by hash range, and their sums travel back packed by documents. The most frequent words and n-grams do not take part in it:
 their counts are added up per task first.
 """
 
@@ -163,14 +163,18 @@ def _demands(w, found, order: int):
 
 # A row is one of: the n-grams of a pack of documents in one hash range (keys, and per document how many,
 # occurrences and weights; ids of the documents, or null where they go up from base by one); a frequent
-# n-gram and the documents that wait for its count; what a document has without the shuffle.
+# n-gram and the documents that wait for its count; what the documents of a pack have without the shuffle
+# (micros, and their words). Counting gives back a row per pack and hash range as well: the places in the
+# pack (at) of documents that gain something, and what they gain (micros).
 _PACK = {
     "bucket": ("int", pa.int32()), "keys": ("binary", pa.binary()), "sizes": ("binary", pa.binary()), "occurs": ("binary", pa.binary()),
     "weights": ("binary", pa.binary()), "base": ("bigint", pa.int64()), "ids": ("binary", pa.binary()), "h": ("bigint", pa.int64()),
     "waiting": ("array<bigint>", pa.list_(pa.int64())), "waiting_weights": ("array<bigint>", pa.list_(pa.int64())),
-    "_row": ("bigint", pa.int64()), "micros": ("bigint", pa.int64()), "n_words": ("bigint", pa.int64()),
+    "micros": ("binary", pa.binary()), "n_words": ("binary", pa.binary()),
+}
+_COUNTED = {k: _PACK[k] for k in ("h", "waiting", "waiting_weights", "base", "ids", "micros", "n_words")} | {
+    "at": ("binary", pa.binary()), "n": ("bigint", pa.int64()),
 }
-_COUNTED = {k: _PACK[k] for k in ("h", "waiting", "waiting_weights", "_row", "micros", "n_words")} | {"n": ("bigint", pa.int64())}
 
 
 def _ddl(columns: dict) -> str:
@@ -201,8 +205,9 @@ def _pack(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, order: int, bu
         del w, found, single
     row, h, value = (np.concatenate([p[i] for p in parts]) for i in range(3))
     parts.clear()
-    spread = ids % buckets
-    yield _batch(_PACK, {"bucket": spread, "_row": ids, "micros": direct, "n_words": n_words}, count)
+    base, in_line = int(ids[0]), bool((np.diff(ids) == 1).all())
+    numbers = None if in_line else ids.tobytes()
+    yield _batch(_PACK, {"bucket": [base % buckets], "base": [base], "ids": [numbers], "micros": [direct.tobytes()], "n_words": [n_words.tobytes()]}, 1)
     if not len(h):
         return
     keys, place, held_by = np.unique(h, return_inverse=True, return_counts=True)
@@ -216,7 +221,7 @@ def _pack(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, order: int, bu
         yield _batch(
             _PACK,
             {
-                "bucket": [int(ids[0] + k) % buckets for k in range(len(groups))], "h": h[[g[0] for g in groups]].view(np.int64),
+                "bucket": [(base + k) % buckets for k in range(len(groups))], "h": h[[g[0] for g in groups]].view(np.int64),
                 "waiting": [ids[row[g]] for g in groups], "waiting_weights": [value[g, 1] for g in groups],
             },
             len(groups),
@@ -230,7 +235,6 @@ def _pack(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, order: int, bu
     bucket, row, h, value = bucket[by], row[by], h[by], value[by]
     cuts = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
     packs = [(p, s, e) for p, (s, e) in enumerate(zip(cuts, cuts[1:])) if e > s]
-    in_line = bool((np.diff(ids) == 1).all())
     yield _batch(
         _PACK,
         {
@@ -239,8 +243,8 @@ def _pack(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, order: int, bu
             "sizes": [np.bincount(row[s:e], minlength=count + 1).astype("<u4").tobytes() for _, s, e in packs],
             "occurs": [value[s:e, 0].astype("<i4").tobytes() for _, s, e in packs],
             "weights": [value[s:e, 1].astype("<i4").tobytes() for _, s, e in packs],
-            "base": [int(ids[0])] * len(packs),
-            "ids": [None if in_line else ids.tobytes()] * len(packs),
+            "base": [base] * len(packs),
+            "ids": [numbers] * len(packs),
         },
         len(packs),
     )
@@ -263,18 +267,19 @@ def _count_range(packs: list[dict]) -> Iterator[pa.RecordBatch]:
     occurs = np.concatenate([np.frombuffer(p["occurs"], "<i4") for p in packs])
     distinct, place = np.unique(keys, return_inverse=True)
     count = np.bincount(place, weights=occurs, minlength=len(distinct)).astype(np.int64)
-    logs, at, frequent = _micros(count), 0, []
+    logs, at, frequent, gains = _micros(count), 0, [], []
     for p in packs:
         sizes = np.frombuffer(p["sizes"], "<u4")
         docs = len(sizes) - 1
-        ids = np.frombuffer(p["ids"], np.int64) if p["ids"] is not None else p["base"] + np.arange(docs)
         row, weight = np.repeat(np.arange(docs + 1), sizes), np.frombuffer(p["weights"], "<i4")
         here = place[at : at + len(row)]
         at += len(row)
         frequent.append(here[row == docs])
         sums = np.bincount(row, weights=logs[here] * weight, minlength=docs + 1).astype(np.int64)[:-1]
         some = np.flatnonzero(sums)
-        yield _batch(_COUNTED, {"_row": ids[some], "micros": sums[some]}, len(some))
+        if len(some):
+            gains.append({"base": p["base"], "at": some.astype("<u4").tobytes(), "micros": sums[some].tobytes()})
+    yield _batch(_COUNTED, {n: [g[n] for g in gains] for n in ("base", "at", "micros")}, len(gains))
     often = np.unique(np.concatenate(frequent))
     yield _batch(_COUNTED, {"h": distinct[often].view(np.int64), "n": count[often]}, len(often))
 
@@ -295,6 +300,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _count_range(packs)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_row, micros, n_words) of each document, from all rows of its pack."""
+
+    def documents(rows: list[dict]) -> pa.RecordBatch:
+        whole = next(r for r in rows if r["n_words"] is not None)
+        micros = np.frombuffer(whole["micros"], np.int64).copy()
+        for r in rows:
+            if r["at"] is not None:
+                micros[np.frombuffer(r["at"], "<u4")] += np.frombuffer(r["micros"], np.int64)  # places are distinct
+        ids = np.frombuffer(whole["ids"], np.int64) if whole["ids"] is not None else whole["base"] + np.arange(len(micros))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(micros), pa.array(np.frombuffer(whole["n_words"], np.int64))], ["_row", "micros", "n_words"])
+
+    rows: list[dict] = []
+    for batch in batches:  # sorted by base
+        for r in batch.to_pylist():
+            if rows and r["base"] != rows[0]["base"]:
+                yield documents(rows)
+                rows = []
+            rows.append(r)
+    if rows:
+        yield documents(rows)
+
+
 def _hot_words(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes (sorted) and log counts of the most frequent words, at most :data:`HOT_WORDS`; and all words."""
     counts = kept(ngram_counts(docs, 1, text_col).select("h", "n"))
@@ -331,8 +359,10 @@ def score_corpus(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", te
     waiting = counted.where("waiting is not null").select("h", "waiting", "waiting_weights").join(small_side(frequent.distinct()), "h")
     each = waiting.select("n", F.explode(F.arrays_zip("waiting", "waiting_weights")).alias("w"))
     late = each.select(F.col("w.waiting").alias("_row"), (F.round(F.log("n") * MICRO).cast("bigint") * F.col("w.waiting_weights")).alias("micros"))
+    packs = counted.where("base is not null").select("base", "ids", "at", "micros", "n_words")
+    gathered = packs.repartition("base").sortWithinPartitions("base").mapInArrow(_gathered, "_row bigint, micros bigint, n_words bigint")
     sums = (
-        counted.where("_row is not null").select("_row", "micros", "n_words")
+        gathered
         .unionByName(late.withColumn("n_words", F.lit(None).cast("bigint")))
         .groupBy("_row").agg(F.sum("micros").alias("micros"), F.sum("n_words").alias("n_words"))
     )
