@@ -10,6 +10,11 @@ the counts of those same documents: there every n-gram is held, so a document's
 of log counts over its n-grams and their contexts, and counting and joining share one shuffle in which
 a task's n-grams travel packed by hash range, and their sums travel back packed by documents. The most frequent words and n-grams do not take part in it:
 their counts are added up per task first.
+
+:func:`score_held_out` scores documents by the counts of all *other* documents: a document's own
+occurrences are taken off each count before it is used, so an n-gram that stands nowhere else is not held
+and its score backs off. Counts are a table grouped by hash, joined to the exploded n-grams; what is found
+is dealt by document and summed there.
 """
 
 from __future__ import annotations
@@ -21,13 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lakejobs.llm.tables import kept, small_side, stored, with_row
 from lakejobs.llm.textbytes import grams, mix, slices, text_bytes, words
 
 ORDER = 2
+HELD_OUT_ORDER = 3
 ALPHA = 0.4
-HOT_WORDS = 60_000  # single words whose exact counts are handed to every task
+HOT_WORDS = 60_000  # single words (or n-grams) whose exact counts are handed to every task
 BUCKET_GRAMS = 2_000_000  # n-gram entries of a hash range, about
 PACK_BYTES = 4 << 20  # text whose n-grams are packed together
 HOT_SHARE = 8  # an n-gram held by more than one in so many packed documents is added up per pack first
@@ -325,7 +332,12 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hot_words(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes (sorted) and log counts of the most frequent words, at most :data:`HOT_WORDS`; and all words."""
-    counts = kept(ngram_counts(docs, 1, text_col).select("h", "n"))
+    keys, n, total = _most_frequent(kept(ngram_counts(docs, 1, text_col).select("h", "n")))
+    return keys, _micros(n), total
+
+
+def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes (sorted) and counts of the most frequent rows of (h, n), at most :data:`HOT_WORDS`; and the sum of all n."""
     step = F.floor(F.log2("n") * 8)
     total, floor, held = 0, None, 0
     steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("c"), F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
@@ -339,7 +351,7 @@ def _hot_words(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray,
     table = counts.where(step >= floor).toArrow()
     keys, n = table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy()
     order = np.argsort(keys)
-    return keys[order], _micros(n[order]), total
+    return keys[order], n[order], total
 
 
 def score_corpus(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,3 +385,126 @@ def score_corpus(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", te
     return ids.join(sums, "_row").select(
         "_row", F.col("_id").alias(id_col), "n_words", (F.col("micros") - whole * alone).cast("bigint").alias("micros")
     )
+
+
+# --- documents scored by all other documents ------------------------------------------------------
+
+_SIZE_BITS = 4  # of a place: (index of the n-gram's last word, its size); -1 is the document itself
+
+
+def _places(order: int, hot, id_type: pa.DataType):
+    """(_row, place, h, own, n, _id): n-grams that wait for their count, with the document's own occurrences.
+
+    Where the count of the other documents is known already, ``n`` is that count and ``own`` is null, as
+    in a document's line, whose ``n`` is its words; ``h`` then only spreads the rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(row, place, h, own, n, ids) -> pa.RecordBatch:
+            count = len(row)
+            own, n = (pa.nulls(count, pa.int64()) if c is None else pa.array(c) for c in (own, n))
+            ids = pa.nulls(count, id_type) if ids is None else ids
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(place), pa.array(h.view(np.int64)), own, n, ids], ["_row", "place", "h", "own", "n", "_id"])
+
+        hot_keys, hot_n = hot.value
+        for batch in batches:
+            numbers = batch.column("_row").to_numpy()
+            data, offsets = text_bytes(batch.column("_text"))
+            for a, b in slices(offsets):
+                w, found = _grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
+                here = numbers[a:b]
+                spread = mix(here.view(np.uint64))
+                yield rows(here, np.full(b - a, -1), spread, None, np.diff(w.first), batch.column("_id").slice(a, b - a))
+                for size, (h, at) in enumerate(found, 1):
+                    row = w.row[at]
+                    place = ((at + size - 1 - w.first[row]) << _SIZE_BITS) | size
+                    _, same, times = np.unique(h + spread[row], return_inverse=True, return_counts=True)
+                    own = times[same]
+                    if len(hot_keys):
+                        slot = np.minimum(np.searchsorted(hot_keys, h), len(hot_keys) - 1)
+                        known = hot_keys[slot] == h
+                        others = hot_n[slot] - own
+                        ready = known & (others > 0)
+                        if ready.any():
+                            yield rows(here[row[ready]], place[ready], mix(spread[row[ready]] + place[ready].view(np.uint64)), None, others[ready], None)
+                        row, place, h, own = row[~known], place[~known], h[~known], own[~known]
+                    if len(h):
+                        yield rows(here[row], place, h, own, None, None)
+
+    return run
+
+
+def _backed_off(order: int, alpha: float, total: int):
+    """(_row, _id, n_words, micros) of each document, from its line and the counts of its n-grams that others hold."""
+
+    def documents(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts)
+        row, place, n = (whole.column(c).to_numpy() for c in ("_row", "place", "n"))
+        line = place < 0
+        n_words = n[line]
+        base = np.cumsum(n_words) - n_words
+        doc = np.repeat(np.arange(len(n_words)), n_words)
+        held = np.zeros((order + 1, len(doc)), np.int64)  # per size and last word
+        gram = ~line
+        held[place[gram] & ((1 << _SIZE_BITS) - 1), base[np.cumsum(line)[gram] - 1] + (place[gram] >> _SIZE_BITS)] = n[gram]
+        level = np.minimum(np.arange(len(doc)) - base[doc] + 1, order)
+        lost = np.zeros(len(doc))
+        score = np.zeros(len(doc))
+        for size in range(order, 1, -1):
+            here = np.flatnonzero(level == size)
+            gone = here[held[size, here] == 0]
+            level[gone] -= 1
+            lost[gone] += math.log(alpha)
+            here = here[held[size, here] > 0]
+            score[here] = np.log(held[size, here]) - np.log(held[size - 1, here - 1])
+        last = np.flatnonzero(level == 1)
+        score[last] = np.log(np.maximum(held[1, last], 1)) - np.log(np.maximum(total - n_words[doc[last]], 1))
+        micros = np.bincount(doc, weights=np.rint((score + lost) * MICRO), minlength=len(n_words)).astype(np.int64)
+        ids = whole.column("_id").filter(pa.array(line)).combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array(row[line]), ids, pa.array(n_words), pa.array(micros)], ["_row", "_id", "n_words", "micros"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        for batch in batches:  # sorted by document, its line first
+            lines = np.flatnonzero(batch.column("place").to_numpy() < 0)
+            if len(lines):
+                end = int(lines[-1])
+                if end:
+                    parts.append(batch.slice(0, end))
+                if parts:
+                    yield documents(parts)
+                parts, batch = [], batch.slice(end)
+            parts.append(batch)
+        if parts:
+            yield documents(parts)
+
+    return run
+
+
+def score_held_out(
+    docs: DataFrame, order: int = HELD_OUT_ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(_row, id, n_words, micros): as :func:`score_documents`, each document by the counts of all others.
+
+    A word no other document holds counts as held once, and all words are those of the others (at least
+    1). A document with a copy is scored by its copy as well. Null texts have no words (0 words, 0
+    micros); rows with equal ids stay apart and both count; other columns are not read. N-grams are told
+    apart by 64-bit hashes. The most frequent are looked up in the task, so a waiting one has at most
+    ``order`` / :data:`HOT_WORDS` of all occurrences. One scan numbers the documents.
+    """
+    spark = docs.sparkSession
+    # An n-gram that stands once stands in no other document; single words also give the number of all words.
+    counts = stored(ngram_counts(docs, order, text_col).where("n > 1 or size = 1"), "counts")
+    total = counts.where("size = 1").agg(F.sum("n")).first()[0] or 0
+    hot = spark.sparkContext.broadcast(_most_frequent(counts.where("n > 1").select("h", "n"))[:2])
+    source = with_row(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
+    kind = source.schema["_id"].dataType.simpleString()
+    exploded = source.select("_row", "_id", "_text").mapInArrow(
+        _places(order, hot, to_arrow_type(source.schema["_id"].dataType)), f"_row bigint, place bigint, h bigint, own bigint, n bigint, _id {kind}"
+    )
+    table = counts.where("n > 1").select(F.col("h").alias("_h"), F.col("n").alias("_n"))
+    joined = exploded.join(table, (F.col("h") == F.col("_h")) & F.col("own").isNotNull(), "left")
+    known = joined.select("_row", "place", F.coalesce("n", F.col("_n") - F.col("own")).alias("n"), "_id").where("n > 0 or place < 0")
+    dealt = known.repartition("_row").sortWithinPartitions("_row", "place")
+    scored = dealt.mapInArrow(_backed_off(order, alpha, total), f"_row bigint, _id {kind}, n_words bigint, micros bigint")
+    return scored.select("_row", F.col("_id").alias(id_col), "n_words", "micros")

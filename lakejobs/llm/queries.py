@@ -61,7 +61,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = lmscore.score_corpus(table(spark, sf_dir, "documents"))
+    scores = lmscore.score_held_out(table(spark, sf_dir, "documents"))
     return scores.select("doc_id", "n_words", "micros", F.round(F.col("micros") / lmscore.MICRO / F.greatest("n_words", F.lit(1)), 6).alias("mean_log_score"))
 
 

@@ -208,6 +208,30 @@ def test_scores_of_frequent_grams(spark, make_docs, monkeypatch):
     assert lmscore.score_corpus(make_docs([])).count() == 0
 
 
+def brute_held_out(texts, order):
+    """Each text by the counts of the others."""
+    return [brute_scores([t], texts[:i] + texts[i + 1 :], order)[0] for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("order", "hot"), [(1, 20), (3, 0), (3, 20), (4, 60_000)])
+def test_scores_by_other_documents(make_docs, odd_rows, order, hot, monkeypatch):
+    monkeypatch.setattr(lmscore, "HOT_WORDS", hot)
+    rows = odd_rows + [(900, "qzx jvk wpf bhg")]
+    expected = sorted((i if i is not None else -1, n, s) for (i, _), (n, s) in zip(rows, brute_held_out([t for _, t in rows], order), strict=True))
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.micros / 1e6) for r in lmscore.score_held_out(make_docs(rows), order).collect())
+    for (i, n, s), (j, m, e) in zip(got, expected, strict=True):
+        assert (i, n) == (j, m) and s == pytest.approx(e, abs=1e-5 + 2e-6 * n)
+    assert lmscore.score_held_out(make_docs([])).count() == 0
+
+
+def test_registered_scores_rank_junk_last(spark, make_docs):
+    texts = [f"the common line of words number {i % 3}" for i in range(30)] + ["qzx jvk wpf bhg tty mmn"]
+    folder = scratch_path(spark, "lm")
+    make_docs(list(enumerate(texts))).write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: r.mean_log_score for r in queries.op3_lm_score(spark, folder.removeprefix("file:")).collect()}
+    assert len(got) == 31 and min(got, key=got.get) == 30
+
+
 # --- 4 decontamination ----------------------------------------------------------------------------
 
 
