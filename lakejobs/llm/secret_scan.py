@@ -94,8 +94,8 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.withColumns(columns)
 
 
-def labelled(found: DataFrame) -> DataFrame:
-    """Findings whose case is plain, as (value, label): the training set where no reviewed findings are given.
+def with_label(found: DataFrame) -> DataFrame:
+    """All findings with ``label``, null where the case is not plain.
 
     A mixed value assigned to a credential's name is a secret; plain numbers, values beside a word that
     marks them as harmless and values under no name that are mostly words are not. Other findings get no label.
@@ -105,7 +105,12 @@ def labelled(found: DataFrame) -> DataFrame:
     secret = name & mixed & (F.col("safe_near") == 0)
     harmless = (F.col("digits_only") > 0) | (F.col("safe_near") > 0) | (~name & (F.col("dictionary") >= 0.5)) | (~name & (F.col("distinct") * F.col("length") < 8))
     label = F.when(secret, 1.0).when(harmless, 0.0)
-    return found.withColumn("label", label).where("label is not null")
+    return found.withColumn("label", label)
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """Findings whose case is plain, by :func:`with_label`: the training set where no reviewed findings are given."""
+    return with_label(found).where("label is not null")
 
 
 def train(examples: DataFrame, rows: int = TRAINING_ROWS) -> PipelineModel | None:
@@ -124,13 +129,12 @@ def scan_secrets(docs: DataFrame, examples: DataFrame | None = None, **options)
 
     ``examples`` are reviewed findings (:data:`FEATURES`, value, before, after, path, label); without them
     :func:`labelled` gives the plain cases. Where these have one label only there is nothing to learn and a
-    finding scores by :func:`labelled` itself (no label: 0). An empty table gives no rows.
+    finding scores by its own :func:`with_label` (no label: 0). An empty table gives no rows.
     """
     found = kept(with_features(findings(docs, **options)))
     model = train(labelled(found) if examples is None else examples)
     if model is None:
-        plain = labelled(found).agg(F.max("label")).first()[0]
-        scored = found.withColumn("score", F.lit(float(plain or 0.0)))
+        scored = with_label(found).withColumn("score", F.coalesce("label", F.lit(0.0)))
     else:
         scored = model.transform(found).withColumn("score", vector_to_array("probability")[1])
     id_col = options.get("id_col", "doc_id")

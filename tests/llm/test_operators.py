@@ -538,6 +538,12 @@ def test_secrets(spark, make_docs, odd_rows):
     assert secret_scan.scan_secrets(make_docs([(1, "nothing here"), (2, None)])).count() == 0
 
 
+def test_secrets_of_one_label_score_by_their_own(make_docs):
+    rows = [(1, 'w w token = "a1b2c3d4e5f60718293a4b5c6d7e8f9a0b9c8d7e" w w'), (2, "unnamed zq7xk2vb9mw4tr8np3hd here"), (3, "nothing")]
+    got = {r.doc_id: (r.score, r.secret) for r in secret_scan.scan_secrets(make_docs(rows)).collect()}
+    assert got == {1: (1.0, True), 2: (0.0, False)}
+
+
 # --- nothing runs per row in Python where only DataFrame operations are asked for -----------------
 
 
