@@ -7,6 +7,8 @@ dictionary words, the path it was found under, and the neighbouring words.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from lakejobs.llm.tables import kept, with_row
 
 LEAST_LENGTH = 16
-TRAINING_ROWS = 20_000  # the forest is fitted on at most so many labelled findings
+TRAINING_ROWS = 20_000  # the forest is fitted on at most so many distinct labelled findings, half of each label
 TREES, DEPTH, SEED = 20, 6, 42
 LIKELY = 0.5
 
@@ -113,10 +115,24 @@ def labelled(found: DataFrame) -> DataFrame:
     return with_label(found).where("label is not null")
 
 
+def sample(examples: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
+    """(features, label): of the distinct examples at most ``rows`` / 2 of each label, by hash order.
+
+    Copies of one (value, before, after, path) under one label count once. Every label that occurs is in
+    the sample, however rare.
+    """
+    key = ["value", "before", "after", "path"]
+    distinct = kept(
+        examples.groupBy(*key, "label").agg(F.min(F.struct(*FEATURES)).alias("f")).select(F.xxhash64(*key).alias("_o"), "label", "f.*")
+    )
+    labels = [r.label for r in distinct.select("label").distinct().orderBy("label").collect()]
+    parts = [distinct.where(F.col("label") == label).orderBy("_o", *FEATURES).limit(max(rows // 2, 1)) for label in labels]
+    return kept(reduce(DataFrame.unionByName, parts)) if parts else distinct
+
+
 def train(examples: DataFrame, rows: int = TRAINING_ROWS) -> PipelineModel | None:
-    """A forest over (features, label); None where only one label occurs. At most ``rows`` examples, by hash order."""
-    order = F.xxhash64("value", "before", "after", "path")
-    bounded = kept(examples.select(*FEATURES, "label", order.alias("_o")).orderBy("_o", "label", *FEATURES).limit(rows))
+    """A forest over (features, label) of a :func:`sample`; None where all examples together have one label only."""
+    bounded = sample(examples, rows)
     if len(bounded.select("label").distinct().take(2)) < 2:
         return None
     features = VectorAssembler(inputCols=list(FEATURES), outputCol="features")

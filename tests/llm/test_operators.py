@@ -544,6 +544,15 @@ def test_secrets_of_one_label_score_by_their_own(make_docs):
     assert got == {1: (1.0, True), 2: (0.0, False)}
 
 
+def test_sample_holds_both_labels_once_each(make_docs):
+    secret = 'w w token = "a1b2c3d4e5f60718293a4b5c6d7e8f9a0b9c8d7e" w w'
+    rows = [(i, f"order 4929{i % 3}56784929567{i % 3} shipped") for i in range(300)] + [(900, secret), (901, secret)]
+    found = secret_scan.labelled(secret_scan.with_features(secret_scan.findings(make_docs(rows).withColumn("source", F.lit("s")))))
+    got = Counter(r.label for r in secret_scan.sample(found, 4).collect())
+    assert got == {0.0: 2, 1.0: 1}
+    assert Counter(r.label for r in secret_scan.sample(found).collect()) == {0.0: 3, 1.0: 1}
+
+
 # --- nothing runs per row in Python where only DataFrame operations are asked for -----------------
 
 
