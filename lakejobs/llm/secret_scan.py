@@ -1,7 +1,7 @@
 """Secret scan: candidate strings by pattern, false positives removed by a random forest.
 
 Everything is DataFrame operations and Spark ML in the JVM. A candidate is a run of token characters
-with a digit; its features are length, transitions between kinds of characters, how much of it is
+with a digit, or what is assigned to a name in :data:`NAMES`; its features are length, transitions between kinds of characters, how much of it is
 dictionary words, the path it was found under, and the neighbouring words.
 """
 
@@ -26,6 +26,12 @@ LIKELY = 0.5
 # Words that name a credential, and words that mark a value as no secret.
 NAMES = "token|secret|passw(or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential|client[_-]?id"
 SAFE = "example|sample|dummy|placeholder|changeme|your|test|xxxx|0000|1234|commit|sha1|sha256|md5|digest|checksum|etag|uuid|guid|version|isbn|card|phone|order|invoice"
+LEAST_ASSIGNED = 6  # characters of a value that is assigned to a credential's name
+QUOTED_TOKENS = 64  # a quoted value with blanks is taken whole up to so many tokens, else its first token
+# An assignment whose value begins in the token after the mark \x01: the operator ends the token before, begins this one, or stands in it.
+_NAME, _IS = rf"(?:{NAMES.replace('(or)', '(?:or)')})[\w.-]*[\"'`\])]{{0,3}}", "(?:=>|:=|==?|:)"
+_ASSIGN = rf"(?i)(?:{_NAME} ?{_IS}\x01|{_NAME}\x01{_IS}|\x01\S*?{_NAME}{_IS})"
+_VALUE = [rf"{q}([^{q}]{{{LEAST_ASSIGNED},}}){q}" for q in "\"'`"] + [rf"[\"'`]?([^\s\"'`]\S{{{LEAST_ASSIGNED - 1},}})"]
 # A small dictionary for coverage.
 DICTIONARY = (
     "about account address admin after again also and are author base before build cache change class client code "
@@ -47,26 +53,39 @@ FEATURES = (
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """(_row, id, path, at, value, before, token, after): one row per candidate.
 
-    ``at`` is the index of the token between blanks, ``before`` the two tokens ahead of it. A null text
+    ``at`` is the index of the token between blanks, ``before`` the two tokens ahead of it. A candidate is a run of at
+    least :data:`LEAST_LENGTH` token characters with a digit, or a value of at least :data:`LEAST_ASSIGNED`
+    characters, of any kind, that is assigned to a name in :data:`NAMES`; where both are the same it is one row.
+    A null text
     has no candidates; a null path reads as empty; other columns are not read.
     """
     source = with_row(docs.select(F.col(id_col).alias("_id"), F.coalesce(path_col, F.lit("")).alias("path"), F.coalesce(text_col, F.lit("")).alias("_text")))
     split = source.select("_row", "_id", "path", F.split("_text", r"[\s]+").alias("tokens"))
     token = lambda i: F.get("tokens", i)
-    long = F.filter(
-        F.sequence(F.lit(0), F.size("tokens") - 1),
-        lambda i: (F.length(token(i)) >= LEAST_LENGTH) & token(i).rlike(rf"[A-Za-z0-9+/_\-]{{{LEAST_LENGTH},}}") & token(i).rlike("[0-9]"),
-    )
     near = lambda i, k: F.coalesce(F.when(i + k >= 0, token(i + k)), F.lit(""))
+    ahead = lambda i: F.concat_ws(" ", near(i, -2), near(i, -1))
+    run = lambda i: (F.length(token(i)) >= LEAST_LENGTH) & token(i).rlike(rf"[A-Za-z0-9+/_\-]{{{LEAST_LENGTH},}}") & token(i).rlike("[0-9]")
+    operator = lambda i: token(i).rlike("[=:]") | near(i, -1).rlike("[=:]>?$")
+    assigned = lambda i: operator(i) & F.concat(ahead(i), F.lit("\x01"), token(i)).rlike(_ASSIGN)
+    wanted = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: run(i) | assigned(i))
     seen = F.transform(
-        long,
-        lambda i: F.struct(i.alias("at"), token(i).alias("token"), F.concat_ws(" ", near(i, -2), near(i, -1)).alias("before"), near(i, 1).alias("after")),
-    )
+        wanted,
+        lambda i: F.struct(
+            i.alias("at"), token(i).alias("token"), ahead(i).alias("before"), near(i, 1).alias("after"),
+            F.when(assigned(i), F.concat(ahead(i), F.lit("\x01"), F.array_join(F.slice("tokens", i + 1, QUOTED_TOKENS), " "))).alias("line"),
+        ),
+    )
     each = split.select("_row", "_id", "path", F.explode(seen).alias("s"))
-    values = F.regexp_extract_all("s.token", F.lit(rf"[A-Za-z0-9+/_\-]{{{LEAST_LENGTH},}}"), F.lit(0))
+    runs = F.regexp_extract_all("s.token", F.lit(rf"[A-Za-z0-9+/_\-]{{{LEAST_LENGTH},}}"), F.lit(0))
+    groups = [F.regexp_extract("s.line", f"{_ASSIGN}(?:{'|'.join(_VALUE)})", k) for k in range(1, 5)]
+    given = F.coalesce(*[F.when(g != "", g) for g in groups[:3]], F.regexp_replace(groups[3], "[\"'`]?[,;)\\]}]*$", ""), F.lit(""))
+    each = each.withColumns({"given": given, "runs": runs})
+    new = (F.length("given") >= LEAST_ASSIGNED) & ~F.array_contains("runs", F.col("given"))
+    values = F.when(new, F.concat("runs", F.array("given"))).otherwise(F.col("runs"))
     return (
-        each.select("_row", F.col("_id").alias(id_col), "path", "s.at", F.posexplode(values).alias("part", "value"), "s.before", "s.token", "s.after")
-        .where(F.col("value").rlike("[0-9]"))
+        each.select("_row", F.col("_id").alias(id_col), "path", "s.at", "given", F.posexplode(values).alias("part", "value"), "s.before", "s.token", "s.after")
+        .where(F.col("value").rlike("[0-9]") | (F.col("value") == F.col("given")))
+        .drop("given")
     )
 
 
@@ -100,12 +119,14 @@ def with_label(found: DataFrame) -> DataFrame:
     """All findings with ``label``, null where the case is not plain.
 
     A mixed value assigned to a credential's name is a secret; plain numbers, values beside a word that
-    marks them as harmless and values under no name that are mostly words are not. Other findings get no label.
+    marks them as harmless and values under no name that are mostly words are not; nor is a
+    value without digits that is mostly words, whatever its name. Other findings get no label.
     """
-    mixed = (F.col("digits_only") == 0) & (F.col("distinct") * F.col("length") >= 8) & (F.col("dictionary") < 0.5)
+    mixed = (F.col("digits_only") == 0) & (F.col("digits") > 0) & (F.col("distinct") * F.col("length") >= 8) & (F.col("dictionary") < 0.5)
     name = (F.col("named") + F.col("named_near") > 0) & (F.col("assigned") > 0)
     secret = name & mixed & (F.col("safe_near") == 0)
-    harmless = (F.col("digits_only") > 0) | (F.col("safe_near") > 0) | (~name & (F.col("dictionary") >= 0.5)) | (~name & (F.col("distinct") * F.col("length") < 8))
+    words = (F.col("digits") == 0) & (F.col("dictionary") >= 0.5)
+    harmless = (F.col("digits_only") > 0) | words | (F.col("safe_near") > 0) | (~name & (F.col("dictionary") >= 0.5)) | (~name & (F.col("distinct") * F.col("length") < 8))
     label = F.when(secret, 1.0).when(harmless, 0.0)
     return found.withColumn("label", label)
 

@@ -553,6 +553,19 @@ def test_sample_holds_both_labels_once_each(make_docs):
     assert Counter(r.label for r in secret_scan.sample(found).collect()) == {0.0: 3, 1.0: 1}
 
 
+def test_assigned_values_are_findings(make_docs):
+    texts = [
+        'a password = "Tr0ub4dor&3" b', "a pwd=hunter2, b", "x PASSWD: P@ssw0rd!2024 y", "api_key='qwzxkvbnmplkjhgfdsa' z", 'secret: "correct horse battery staple" y',
+        "auth_token =kq!vz#mw y", "pwd=abc", "level: somewhat plain prose = other", "token => `ab cd ef` z", 'token = "a1b2c3d4e5f60718293a4b5c6d7e8f9a0b9c8d7e"',
+    ]
+    found = secret_scan.findings(make_docs(list(enumerate(texts))))
+    expected = {
+        (0, 3, "Tr0ub4dor&3"), (1, 1, "hunter2"), (2, 2, "P@ssw0rd!2024"), (3, 0, "qwzxkvbnmplkjhgfdsa"), (4, 1, "correct horse battery staple"),
+        (5, 1, "kq!vz#mw"), (8, 2, "ab cd ef"), (9, 2, "a1b2c3d4e5f60718293a4b5c6d7e8f9a0b9c8d7e"),
+    }
+    assert rows_of(found, "doc_id", "at", "value") == Counter(expected)
+
+
 # --- nothing runs per row in Python where only DataFrame operations are asked for -----------------
 
 
