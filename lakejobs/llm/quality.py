@@ -4,7 +4,8 @@ A logistic classifier, fitted on a bounded sample of labelled documents, gives e
 evidence. Evidence is averaged per host and per section of a host over all documents; each host's
 mean is shrunk to the global one and each section's to its host's, the more the fewer documents it
 has, by strengths estimated from how far sites differ. A document's posterior odds are its own
-evidence moved by what its section's shrunk mean says beyond the global one.
+evidence moved by what its section's shrunk mean says beyond the global one. A document taken for
+toxic by its own text is rejected, whatever its quality and its site.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ CHOSEN_WORDS = 400  # words with a weight of their own, per target
 LEAST_DOCS = 5  # labelled documents that hold a chosen word
 SITE_LIMIT = 1.0  # by how much in log odds a site can move a document
 THRESHOLD = 0.5
+TOXIC = 0.5  # from this probability on a document is rejected
 
 _TYPES = np.zeros((5, 256), bool)  # upper case, digits, symbols, blanks, line ends
 _TYPES[0, 0x41:0x5B] = True
@@ -222,7 +224,8 @@ def judged(
 ) -> DataFrame:
     """``docs`` with ``_p_good`` (text alone), ``_p_toxic``, ``_site`` (shrunk share of its section), ``_posterior``, ``_accepted``.
 
-    A document is accepted if its posterior reaches :data:`THRESHOLD`. Null text is empty text, a null
+    A document is accepted if its posterior (of its quality) reaches :data:`THRESHOLD` and ``_p_toxic``
+    stays below :data:`TOXIC`. Null text is empty text, a null
     source or section an empty name. Without labels of both kinds everything is accepted (posterior 1).
     A column of ``docs`` with one of these names is replaced. Texts are read twice and not shuffled
     unless there are more sections than may be broadcast.
@@ -243,7 +246,7 @@ def _judged(docs, labels, rows, id_col, text_col, source_col, section_cols) -> t
         return plain.withColumns(dict(zip(added, [blank, blank, blank, F.lit(1.0), F.lit(True)]))), added
     text, source, sections = at[text_col], at[source_col], [at[c] for c in section_cols]
     host, section = host_of(F.col(source)), section_of(F.col(source), *map(F.col, sections))
-    own = probability(F.col("_good")) * (1 - probability(F.col("_toxic")))
+    own = probability(F.col("_good"))
     used = list(dict.fromkeys([text, source, *sections]))
     scored = with_evidence(plain.select(*used), model, text).select(host.alias("host"), section.alias("section"), own.alias("p"))
     sites, overall = site_posteriors(scored)
@@ -255,7 +258,7 @@ def _judged(docs, labels, rows, id_col, text_col, source_col, section_cols) -> t
     posterior = probability(log_odds(own) + shift)
     judged = joined.withColumns({
         "_p_good": probability(F.col("_good")), "_p_toxic": probability(F.col("_toxic")),
-        "_posterior": posterior, "_accepted": posterior >= THRESHOLD,
+        "_posterior": posterior, "_accepted": (posterior >= THRESHOLD) & (probability(F.col("_toxic")) < TOXIC),
     })
     return judged.select(*at.values(), *added), added
 

@@ -475,6 +475,23 @@ def test_quality_on_held_out_labels(spark):
     assert sum(good) / len(good) > 0.97 and sum(clean) / len(clean) > 0.97
 
 
+def test_toxic_documents_go_whatever_their_site(make_docs, monkeypatch):
+    logit = lambda p: math.log(p / (1 - p))
+    evidence = {"good": (0.99, 0.01), "toxic": (0.99, 0.70), "bad": (0.01, 0.01), "fair": (0.70, 0.30)}
+
+    def given(docs, model, text_col):
+        column = lambda k: F.coalesce(*[F.when(F.col(text_col) == t, F.lit(logit(p[k]))) for t, p in evidence.items()])
+        return docs.withColumns({"_good": column(0), "_toxic": column(1)})
+
+    monkeypatch.setattr(quality, "fit", lambda *_: object())
+    monkeypatch.setattr(quality, "with_evidence", given)
+    rows = [(3 * i, "good") for i in range(60)] + [(3 * i + 1, "bad") for i in range(60)] + [(900, "toxic"), (902, "fair")]
+    judged = {r.doc_id: r for r in quality.judged(make_docs(rows), None).collect()}
+    assert judged[0]._accepted and not judged[1]._accepted
+    assert judged[900]._posterior > 0.5 and not judged[900]._accepted  # in a good section
+    assert judged[902]._accepted
+
+
 def test_quality_shrinks_sparse_sites(spark):
     scored = spark.createDataFrame(
         [("big", "", 0.9)] * 300 + [("bad", "", 0.1)] * 300 + [("mid", "", 0.5 + 0.3 * (-1) ** i) for i in range(300)] + [("new", "", 0.1)],
