@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.llm import bpe, decontaminate, exact_dedup, jaccard, license_scan, lmscore, quality, secret_scan, suffix, warc
+from lakejobs.llm import bpe, centroids, decontaminate, exact_dedup, filter_audit, hnsw, jaccard, license_scan, lmscore, quality, secret_scan, suffix, warc
 from lakejobs.plans.registry import table
 from lakejobs.session import scratch_path
 
@@ -134,3 +134,71 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "at", "part", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score", "secret")
+
+
+@_query()
+def op11_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT m.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN m.doc_id > min(m.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+      FROM m LEFT JOIN marks ON marks.doc_id = m.doc_id),
+masks AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic FROM f GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+           WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+each AS (SELECT part, filter_order, step, letter, n, n_good, n_toxic, length(fails) AS n_fails,
+           translate(fails, before, '') <> fails AS gone, contains(fails, letter) AS fail
+         FROM masks, (SELECT filter_order, step, substr(filter_order, CAST(step AS INTEGER), 1) AS letter,
+                        substr(filter_order, 1, CAST(step AS INTEGER) - 1) AS before FROM steps)),
+sums AS (SELECT part, filter_order, step, letter,
+           CAST(sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN NOT gone AND fail THEN n ELSE 0 END) AS BIGINT) AS removed,
+           CAST(sum(CASE WHEN gone AND fail THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN fail AND n_fails = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+           CAST(sum(CASE WHEN NOT gone AND fail THEN n_good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN NOT gone AND fail THEN n_toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+         FROM each GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM sums"""
+
+
+@_query(OP12_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op13_sql(rounds: int = 3) -> str:
+    """The rounds one after the other, over rows (vector, dimension, value)."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""far{i} AS (SELECT r, cluster, CAST(sum((v.x - c.x) * (v.x - c.x)) AS BIGINT) AS distance FROM v JOIN c{i} c USING (d) GROUP BY r, cluster),
+a{i} AS (SELECT r, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM far{i} GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT cluster, d, sum(x) AS s, count(*) AS n FROM v JOIN a{i} USING (r) GROUP BY cluster, d),
+c{i + 1} AS (SELECT c.cluster, c.d, CASE WHEN n IS NULL THEN c.x ELSE CAST((s - ((s % n) + n) % n) // n AS BIGINT) END AS x
+       FROM c{i} c LEFT JOIN m{i} m ON m.cluster = c.cluster AND m.d = c.d)""")
+    chain = ",\n".join(steps)
+    return f"""
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+           WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS (SELECT r, vec_id, unnest(range(1, 65)) AS d, CAST(floor(64 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM k),
+first AS (SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id), embedding) - 1 AS cluster FROM k),
+c0 AS (SELECT cluster, d, x FROM v JOIN first USING (r) WHERE cluster < 16),
+{chain},
+sums AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM a{rounds} GROUP BY cluster),
+digests AS (SELECT cluster, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, distance, cluster_inertia, CAST((SELECT sum(cluster_inertia) FROM sums) AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} a JOIN k USING (r) JOIN sums ON sums.cluster = a.cluster JOIN digests ON digests.cluster = a.cluster"""
+
+
+@_query(_op13_sql())
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.centroid_clusters(table(spark, sf_dir, "embeddings")))
