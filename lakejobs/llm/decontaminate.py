@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakejobs.llm.tables import kept, small_side, with_row, without_rows
+from lakejobs.llm.tables import from_files, kept, numbered, small_side, with_row, without_rows
 from lakejobs.llm.textbytes import grams, slices, text_bytes, window_minima, words
 
 WINDOW = 10
@@ -141,7 +141,7 @@ def contamination(
     that pass a bit filter of fixed size over the items' fingerprints, each with the few words around it.
     """
     spark = docs.sparkSession
-    source = with_row(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
+    source = numbered(from_files(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     tests = with_row(items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("_id"), F.col(text_col).alias("_text")))
     every = list(range(1, window))
     prints = kept(
@@ -190,4 +190,5 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFra
 
     Only the numbers of rows that have hits are shuffled, to where those rows are scanned.
     """
+    docs = from_files(docs)
     return without_rows(docs, contamination(docs, items, **options).where(F.size("spans") > 0))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lakejobs.llm.tables import free_name, kept
+from lakejobs.llm.tables import free_name, from_files, kept
 from lakejobs.session import scratch_path
 
 # State beside the heap; many small stores must not reserve disk ahead of what they hold.
@@ -109,7 +109,7 @@ def exact_groups(
     equal ids are told apart by their place, a null id comes last, a null text is an empty text.
     An empty table gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, from_files(docs)
     table = scratch_path(spark, "arrivals")
     arrivals(docs, id_col, text_col, digest).write.parquet(table)
     seen = spark.read.parquet(table)
@@ -153,6 +153,6 @@ def _by_text(docs: DataFrame, rows: DataFrame, differing: DataFrame, text_col: s
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay, with all their columns."""
-    name = free_name(docs, "_at")
+    docs, name = from_files(docs), free_name(docs, "_at")
     dropped = kept(exact_groups(docs, **options).where("not kept").select(F.col("at").alias(name)))
     return docs.withColumn(name, locator(docs)).join(dropped, name, "left_anti").drop(name)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakejobs.llm.components import components
-from lakejobs.llm.tables import Beside, beside_scan, kept, stored, with_row, without_rows
+from lakejobs.llm.tables import Beside, beside_scan, by_part, from_files, kept, numbered, stored, without_rows
 from lakejobs.llm.textbytes import grams, mix, slices, text_bytes, words
 
 GRAM = 5
@@ -181,7 +181,7 @@ def _with_texts(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         beside = Beside(path)
-        for batch in batches:
+        for batch in by_part(batches):
             rows = batch.column("_row").to_numpy()
             found = beside.of(rows)
             if found is not None:
@@ -227,7 +227,7 @@ def similar_groups(
     Rows with equal ids stay apart. Other columns are not read.
     """
     bands, rows = bands_for(threshold, recall)
-    source = with_row(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
+    source = numbered(from_files(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     kind = docs.schema[id_col].dataType.simpleString()
     signed = stored(
         source.select("_row", "_id", "_text").mapInArrow(
@@ -296,4 +296,5 @@ def similar_groups(
 
 def drop_similar(docs: DataFrame, **options) -> DataFrame:
     """The documents with one left of each group of similar ones, with all their columns."""
+    docs = from_files(docs)
     return without_rows(docs, similar_groups(docs, **options).where("_row != keep_row"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakejobs.llm.tables import Beside, beside_scan, stored, with_row
+from lakejobs.llm.tables import Beside, beside_scan, by_part, from_files, numbered, stored
 from lakejobs.llm.textbytes import SLICE_BYTES, Spans, mix, slices, text_bytes, window_minima
 
 LENGTH = 400
@@ -210,7 +210,7 @@ def _divided(length: int, level: int, path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         beside = Beside(path)
-        for batch in batches:
+        for batch in by_part(batches):
             if (got := _pieces(batch, beside, length)) is None:
                 continue
             found, pieces = got
@@ -229,7 +229,7 @@ def _cut(length: int, path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         beside = Beside(path)
-        for batch in batches:
+        for batch in by_part(batches):
             if (got := _pieces(batch, beside, length)) is not None:
                 found, pieces = got
                 names = ["h", "block", "split", "twice", "x", "starts", "_row"]
@@ -311,7 +311,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     """
     if length < KGRAM:
         raise ValueError(f"length must be at least {KGRAM}")
-    source = with_row(docs.select(F.col(text_col).alias("_text"))).select("_row", "_text")
+    source = numbered(from_files(docs).select(F.col(text_col).alias("_text"))).select("_row", "_text")
     return _spans_of(source, stored(source.mapInArrow(_segments(length), _SEGMENT), "segments"), length, keep_first, 0)
 
 
@@ -372,7 +372,7 @@ def _without(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         beside = Beside(path)
-        for batch in batches:
+        for batch in by_part(batches):
             rows = batch.column("_row").to_numpy()
             data, offsets = text_bytes(batch.column("_text"))
             merged: list[list] = [[] for _ in rows]
@@ -406,8 +406,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     A null text is empty. Rows with equal ids stay apart; an empty table gives no rows; other columns
     are not read. ``kept`` is binary: a removed range may end inside a character.
     """
+    docs = from_files(docs)
     path = beside_scan(repeated_spans(docs, length, keep_first, text_col), "ranges")
-    source = with_row(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).select("_row", "_id", "_text")
+    source = numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).select("_row", "_id", "_text")
     kind = docs.schema[id_col].dataType.simpleString()
     return source.mapInArrow(
         _without(path), f"_row bigint, _id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,7 +22,8 @@ BROADCAST_ROWS = 200_000
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     """``df`` with a number per row, so that rows with equal or null ids stay apart.
 
-    The number is the row's place in the scan: a task that is run again gives the same numbers.
+    The number is the row's place in one scan, which another scan may deal otherwise: rows of two scans are
+    matched by :func:`numbered` instead.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 
@@ -46,11 +49,53 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_PART_BITS = 33  # of a row number, below the number of its scan partition
+_FILE_BITS = 33  # of a row's number, below the number of its file
+_PART_BITS = 16  # of a row's number, below the number of its part: so many rows of one file side by side
+PATH_BYTES = 64 << 20  # of file names that are broadcast
+
+
+def from_files(df: DataFrame) -> DataFrame:
+    """``df`` if it only selects from and filters one table of files, else a copy of it that is one.
+
+    Only there does a row have a place that no later scan changes. The copy is written to the shared folder.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and _place(df) is not None and sum(map(len, df.inputFiles())) <= PATH_BYTES:
+        return df
+    return stored(df, "rows")
+
+
+def _place(df: DataFrame) -> Column | None:
+    """The file and the row in it, where the source tells them."""
+    try:
+        meta = df.metadataColumn("_metadata")
+        fields = df.select(meta).schema[0].dataType.names
+    except AnalysisException:
+        return None
+    return meta if {"file_path", "row_index"} <= set(fields) else None
+
+
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` (of :func:`from_files`) with a number per row that every scan of it gives again.
+
+    It is made of the file's number, in order of path, and the row's place in the file, so it does not depend on how
+    many executors there are or how files are split. A row's number is larger than that of rows before it in its file.
+    """
+    # A local file's name is listed with three slashes and told with one.
+    place, files = _place(df), sorted(re.sub(r"^(\w+):///", r"\1:/", f) for f in df.inputFiles())
+    if len(files) < 2:
+        return df.withColumn(name, place["row_index"] if files else F.lit(0).cast("bigint"))
+    path, number = free_name(df, "_path"), free_name(df, "_file")
+    known = df.sparkSession.createDataFrame(list(zip(files, range(len(files)))), f"{path} string, {number} bigint")
+    row = F.shiftleft(F.coalesce(number, F.raise_error(F.lit("a file that was not listed"))), _FILE_BITS).bitwiseOR(F.col(name))
+    placed = df.withColumns({path + "_of": F.regexp_replace(place["file_path"], r"^(\w+):///", "$1:/"), name: place["row_index"]})
+    return placed.join(F.broadcast(known), F.col(path + "_of") == F.col(path), "left").select(*df.columns, row.alias(name))
 
 
 def beside_scan(side: DataFrame, label: str = "beside") -> str:
-    """Write ``side`` (with ``_row``) so that the task of a scan partition finds the rows of its own documents.
+    """Write ``side`` (with ``_row``, see :func:`numbered`) so that a task that scans documents finds their rows.
 
     The texts then stay where they are scanned: only the narrow ``side`` is shuffled. :class:`Beside` reads it.
     """
@@ -60,14 +105,26 @@ def beside_scan(side: DataFrame, label: str = "beside") -> str:
     return path
 
 
+def by_part(batches: Iterator[pa.RecordBatch], last: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where the part of their rows changes; a piece's rows are in ascending order.
+
+    The number is in column ``_row``, or the ``last`` one.
+    """
+    for batch in batches:
+        parts = batch.column(batch.num_columns - 1 if last else "_row").to_numpy() >> _PART_BITS
+        cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)] if len(parts) else []
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
 class Beside:
-    """The rows that :func:`beside_scan` wrote for the scan partition a task works on, read once per task."""
+    """The rows that :func:`beside_scan` wrote for the documents a task works on; one part is held at a time."""
 
     def __init__(self, path: str):
         self.path, self.part, self.table, self.rows = path, None, None, np.zeros(0, np.int64)
 
     def of(self, rows: np.ndarray) -> pa.Table | None:
-        """The side rows of a batch's ``rows`` (ascending), by row; None if there are none."""
+        """The side rows of ``rows`` (ascending, of one part, see :func:`by_part`), by row; None if there are none."""
         if not len(rows):
             return None
         part = int(rows[0]) >> _PART_BITS
@@ -86,19 +143,22 @@ class Beside:
 
 
 def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs`` without the rows numbered in ``rows`` (_row, as by :func:`with_row`); texts are not shuffled."""
+    """``docs`` (of :func:`from_files`) without the rows numbered in ``rows`` (_row, as by :func:`numbered`).
+
+    Texts are not shuffled.
+    """
     path, name = beside_scan(rows.select("_row")), free_name(docs, "_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         beside = Beside(path)
-        for batch in batches:
+        for batch in by_part(batches, last=True):
             numbers = batch.column(batch.num_columns - 1).to_numpy()
             gone = beside.of(numbers)
             if gone is not None:
                 batch = batch.filter(pa.array(~np.isin(numbers, gone.column("_row").to_numpy())))
-            yield batch.select(list(range(batch.num_columns - 1))) if gone is None else pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+            yield batch.select(list(range(batch.num_columns - 1)))
 
-    return with_row(docs, name).mapInArrow(run, docs.schema)
+    return numbered(docs, name).mapInArrow(run, docs.schema)
 
 
 def with_field(df: DataFrame, name: str, kind: str) -> StructType:

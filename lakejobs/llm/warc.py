@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejobs.llm.tables import kept, small_side, with_row
+from lakejobs.llm.tables import from_files, kept, numbered, small_side
 
 FRAME_BYTES = 256 << 10  # of records, before compression; a longer record has a frame of its own
 BUNDLE_BYTES = 64 << 20  # compressed
@@ -152,7 +152,7 @@ def revisits(pages: DataFrame, min_payload: int = MIN_PAYLOAD, id_col: str = "pa
     Payloads meet by SHA-1 and length, added up per task first; payloads themselves are not shuffled.
     """
     body = F.coalesce(payload_col, F.lit("")).cast("binary")
-    narrow = with_row(pages.select(F.col(id_col).alias("_id"), F.sha1(body).alias("_sha"), F.octet_length(body).alias("_n")))
+    narrow = numbered(from_files(pages).select(F.col(id_col).alias("_id"), F.sha1(body).alias("_sha"), F.octet_length(body).alias("_n")))
     narrow = narrow.where(F.col("_n") >= min_payload)
     last = F.max(F.struct(F.col("_id").isNotNull().alias("known"), F.col("_id").alias("to_id"), F.col("_row").alias("to_row"))).alias("last")
     groups = narrow.groupBy("_sha", "_n").agg(F.count("*").alias("rows"), last).where("rows > 1")
@@ -169,8 +169,8 @@ def write_bundles(
     percent-encoded. Of rows with equal payloads the one with the largest id is the response (null
     smallest, then the last in the table). Other columns are not written.
     """
-    spark = pages.sparkSession
-    wide = with_row(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(payload_col).alias("_body")))
+    spark, pages = pages.sparkSession, from_files(pages)
+    wide = numbered(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(payload_col).alias("_body")))
     again = kept(revisits(pages, min_payload, id_col, payload_col))
     joined = wide.join(small_side(again), "_row", "left").select("_row", "_id", "_url", "_body", "to_id", "to_row")
 
