@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakejobs.operators import jobs as J
+from lakejobs.operators.asof import fields_as_of
+from lakejobs.operators.intervals import overlaps, peak
 from lakejobs.plans import derived
 from lakejobs.plans.registry import check, table
 from lakejobs.session import scratch_path
@@ -30,6 +32,22 @@ def j3_latest(spark, sf_dir):
     return J.latest_fields(derived.job_events(spark, sf_dir))
 
 
+def _as_of(field: str) -> str:
+    return f"""ASOF LEFT JOIN (SELECT * FROM w WHERE key = '{field}') AS "{field}" ON p.id = "{field}".id AND p.ts >= "{field}".ts"""
+
+
+@check(
+    "j3_as_of",
+    f"""WITH w AS (SELECT id, key, ts, arg_max(val, seq) AS val FROM ({derived.FIELD_EVENTS_SQL}) WHERE val IS NOT NULL GROUP BY id, key, ts),
+        p AS (SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq, ts FROM events)
+        SELECT p.id, p.seq, "percentComplete".val AS "percentComplete", "exitValue".val AS "exitValue"
+        FROM p {_as_of("percentComplete")} {_as_of("exitValue")}""",
+)
+def j3_as_of(spark, sf_dir):
+    lines = derived.job_lines(spark, sf_dir).select(F.lit("JOB").alias("type"), F.col("job_id").cast("string").alias("id"), "seq", "ts")
+    return fields_as_of(lines, derived.field_events(spark, sf_dir), ["percentComplete", "exitValue"]).select("id", "seq", "percentComplete", "exitValue")
+
+
 def _last(key: str) -> str:
     return f"arg_max(val, seq) FILTER (WHERE key = '{key}')"
 
@@ -123,6 +141,35 @@ def j8_job_status(spark, sf_dir):
     return status.select("id", "statusId", "parentId", "runState", "problem")
 
 
+@check(
+    "j8_overlaps",
+    f"""WITH r AS ({derived.JOB_RUNS_SQL})
+        SELECT a."user", a.id, b.id AS other, greatest(a.started, b.started) AS since
+        FROM r a JOIN r b ON a."user" = b."user" AND a.id < b.id AND a.started < coalesce(b.ended, 'infinity') AND b.started < coalesce(a.ended, 'infinity')
+          AND a.started < coalesce(a.ended, 'infinity') AND b.started < coalesce(b.ended, 'infinity')""",
+)
+def j8_overlaps(spark, sf_dir):
+    runs = derived.job_runs(spark, sf_dir)
+    pairs = overlaps(runs, runs, ("started", "ended"), ("started", "ended"), ["user"]).where("left.id < right.id")
+    return pairs.select("left.user", "left.id", F.col("right.id").alias("other"), F.greatest("left.started", "right.started").alias("since"))
+
+
+_PEAK_SQL = """WITH r AS ({runs}), p AS (SELECT {key} AS queue, started AS t, 1 AS d FROM r WHERE started < coalesce(ended, 'infinity')
+          UNION ALL SELECT {key}, ended, -1 FROM r WHERE started < ended),
+        s AS (SELECT queue, t, sum(sum(d)) OVER (PARTITION BY queue ORDER BY t) AS n FROM p GROUP BY queue, t)
+        SELECT {columns}CAST(max(n) AS BIGINT) AS peak, arg_min(t, (-n, t)) AS at FROM s GROUP BY queue"""
+
+
+@check("j8_peak", _PEAK_SQL.format(runs=derived.JOB_RUNS_SQL, key="queue", columns="queue, "))
+def j8_peak(spark, sf_dir):
+    return peak(derived.job_runs(spark, sf_dir), ("started", "ended"), ["queue"])
+
+
+@check("j8_peak_of_all", _PEAK_SQL.format(runs=derived.JOB_RUNS_SQL, key="1", columns=""))
+def j8_peak_of_all(spark, sf_dir):
+    return peak(derived.job_runs(spark, sf_dir), ("started", "ended"))
+
+
 @check(
     "j9_callbacks",
     f"""SELECT id, state, CASE WHEN state = 'ready' THEN replace(callback, '$jobId', CAST(id AS VARCHAR)) END AS url

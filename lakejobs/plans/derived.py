@@ -37,7 +37,7 @@ FIELD_EVENTS_SQL = """
          CASE WHEN event_id % 7 = 0 THEN NULL
               WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'n/a'
               ELSE CAST(event_id AS VARCHAR) END AS val,
-         event_id AS seq
+         event_id AS seq, ts
   FROM events"""
 
 
@@ -167,3 +167,16 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise('{"tables":[]}')
         .alias("doc"),
     )
+
+
+# A job runs from its order's date to the last date of its line items, or has not ended if it has none.
+JOB_RUNS_SQL = """
+  SELECT o_orderkey AS id, o_custkey AS "user", o_orderpriority AS queue, o_orderdate AS started, max(l_shipdate) AS ended
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL"""
+
+
+def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("ended"))
+    return table(spark, sf_dir, "orders").join(ends, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user"), F.col("o_orderpriority").alias("queue"), F.col("o_orderdate").alias("started"), "ended"
+    )
