@@ -114,15 +114,20 @@ def job_status(jobs: DataFrame, tracker: DataFrame) -> DataFrame:
         .join(best, F.col("_wanted") == F.col("_best"), "left")
         .join(own, F.col("id") == F.col("_own"), "left")
     )
+    return status_of(looked, jobs.columns, state.columns)
+
+
+def status_of(looked: DataFrame, columns: list[str], state: list[str]) -> DataFrame:
+    """The answer for jobs that were looked up by their child (``_best_known``, ``_best_state``) and themselves (``_own_..``)."""
     from_best = F.col("_best_known").isNotNull()
     known = from_best | F.col("_own_known").isNotNull()
     answer = F.when(from_best, F.col("_wanted")).when(known, F.col("id"))
     status = F.coalesce("_best_state", "_own_state")
     return looked.select(
-        *jobs.columns,
+        *columns,
         answer.alias("statusId"),
         F.when(answer != F.col("id"), F.col("id")).alias("parentId"),
-        *[status[c].alias(c) for c in state.columns],
+        *[status[c].alias(c) for c in state],
         F.when(~known, _message(MISSING_JOB, "id")).alias("problem"),
     )
 

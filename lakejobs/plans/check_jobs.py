@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from lakejobs.operators import jobs as J
 from lakejobs.operators.asof import fields_as_of
 from lakejobs.operators.intervals import overlaps, peak
+from lakejobs.operators.trees import job_roots
 from lakejobs.plans import derived
-from lakejobs.plans.registry import check, table
-from lakejobs.session import scratch_path
+from lakejobs.plans.registry import ORACLES, check, table
+from lakejobs.session import ensure_checkpoints, scratch_path
+from lakejobs.streaming.live import status_stream
 from lakejobs.streaming.progress import outcome_stream, progress_stream, read_outcomes, read_progress, write_progress
+from lakejobs.streaming.timers import expiry_stream, silent_jobs
 
 
 @check("j1_progress", f"SELECT job_id, seq, percent FROM ({derived.LINE_FACTS_SQL})")
@@ -126,6 +129,19 @@ def j7_children(spark, sf_dir):
     return J.children(J.with_children(_edges(spark, sf_dir)))
 
 
+@check(
+    "j7_roots",
+    f"""WITH RECURSIVE p AS ({derived.JOB_PARENTS_SQL}),
+        t AS (SELECT id, id AS root, 0 AS depth FROM p WHERE parent IS NULL OR parent NOT IN (SELECT id FROM p)
+              UNION ALL SELECT p.id, t.root, t.depth + 1 FROM p JOIN t ON p.parent = t.id),
+        a AS (SELECT id, id AS top FROM t UNION ALL SELECT a.id, p.parent FROM a JOIN p ON a.top = p.id JOIN t ON t.id = p.parent),
+        s AS (SELECT top, count(*) AS size FROM a GROUP BY top)
+        SELECT p.id, t.root, CAST(t.depth AS BIGINT) AS depth, s.size FROM p LEFT JOIN t ON t.id = p.id LEFT JOIN s ON s.top = p.id""",
+)
+def j7_roots(spark, sf_dir):
+    return job_roots(derived.job_parents(spark, sf_dir))
+
+
 @check(
     "j8_job_status",
     f"""SELECT j.id, CASE WHEN b.id IS NOT NULL THEN b.id WHEN o.id IS NOT NULL THEN j.id END AS "statusId",
@@ -239,3 +255,72 @@ def j12_outcomes(spark, sf_dir):
     out, checkpoint = scratch_path(spark, "j12"), scratch_path(spark, "j12_checkpoint")
     write_progress(outcome_stream(source), out, checkpoint).trigger(availableNow=True).start().awaitTermination()
     return read_outcomes(spark, out).select("type", "id", "exitValue", "completed")
+
+
+def _replayed(spark, arrivals, ends, build, label, parts=4):
+    """What the append-mode stream ``build`` makes of its sources has given when all has arrived: (rows, checkpoint).
+
+    ``arrivals`` are (rows, when they arrive as a long). A part of each arrives at a time; the query then takes in what is new and
+    stops, so it goes on from its checkpoint each time. Last come, one after the other, the rows of ``ends``.
+    """
+    ensure_checkpoints(spark)
+    out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}_checkpoint")
+    sources, placed = [], []
+    for df, arrival in arrivals:
+        sources.append(scratch_path(spark, f"{label}_source"))
+        placed.append((df.withColumn("_arrival", arrival).checkpoint(), df.columns, df.schema))
+    bounds = [p.agg(F.min("_arrival"), F.max("_arrival")).first() for p, _, _ in placed]
+    low, high = (f(b[i] or 0 for b in bounds) for i, f in enumerate((min, max)))
+    for i in range(parts + len(ends)):
+        for path, (df, columns, _) in zip(sources, placed):
+            new = ends[i - parts] if i >= parts else df.where(F.floor((F.col("_arrival") - low) * parts / (high - low + 1)) == i)
+            new.select(*columns).write.mode("append").parquet(path)
+        stream = build(*[spark.readStream.schema(schema).parquet(path) for path, (_, _, schema) in zip(sources, placed)])
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out), checkpoint
+
+
+LATE_SECONDS = 90
+
+
+@check(
+    "j11_silent_jobs",
+    f"""WITH b AS ({derived.JOB_BEATS_SQL}), e AS (SELECT job_id, min(t) AS exit_t FROM b WHERE exit GROUP BY job_id),
+        l AS (SELECT b.job_id, t, lead(t) OVER (PARTITION BY b.job_id ORDER BY t) AS next, exit_t
+              FROM b LEFT JOIN e ON e.job_id = b.job_id WHERE exit_t IS NULL OR t <= exit_t)
+        SELECT job_id, min(t) AS silent_since FROM l WHERE next - t > 60000000 OR (next IS NULL AND exit_t IS NULL) GROUP BY job_id""",
+)
+def j11_silent_jobs(spark, sf_dir):
+    beats = derived.job_beats(spark, sf_dir)
+    late = F.pmod(F.xxhash64("job_id", "ts"), F.lit(LATE_SECONDS * 1_000_000))  # each line comes in up to so much later
+    end = beats.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("bigint").alias("job_id"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"), F.lit(False).alias("exit"))
+    return _replayed(spark, [(beats, F.unix_micros("ts") + late)], [end], lambda lines: silent_jobs(lines, f"{LATE_SECONDS} seconds"), "j11_silent")[0]
+
+
+@check(
+    "j10_expiry_stream",
+    f"""SELECT id, created, CASE WHEN completed = 'done' THEN CAST(id % 3 AS BIGINT) END AS "exitValue", completed
+        FROM ({derived.JOBS_SQL}) WHERE {NOW_MS} - coalesce(created, 0) > 604800000""",
+)
+def j10_expiry_stream(spark, sf_dir):
+    writes = derived.job_writes(spark, sf_dir, NOW_MS)
+    late = F.pmod(F.xxhash64("id", "seq"), F.lit(24 * 60 * 60 * 1000))
+    now = spark.range(1).select(F.lit("JOB").alias("type"), F.lit(None).cast("bigint").alias("id"), F.lit("tick").alias("key"), F.lit(None).cast("string").alias("val"),
+                                F.timestamp_millis(F.lit(NOW_MS + 86400000)).alias("ts"), F.lit(0).cast("bigint").alias("seq"))
+    expired = _replayed(spark, [(writes, F.unix_millis("ts") + late)], [now], lambda events: expiry_stream(events, "1 day"), "j10_expiry")[0]
+    return expired.drop("type")
+
+
+@check("j8_status_stream", ORACLES["j8_job_status"])
+def j8_status_stream(spark, sf_dir):
+    """Jobs a minute apart; the tracker sees each up to six minutes later, and the child of a job is the next one."""
+    clock = F.timestamp_seconds(F.col("id") * 60 + 86400)
+    jobs = derived.jobs(spark, sf_dir).select("id", "childid", clock.alias("ts"))
+    tracker = derived.tracker(spark, sf_dir).withColumn("ts", clock + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") % 7).cast("int")))
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("id", "bigint"), ("childid", "bigint"), ("runState", "int"))]
+    # One join's last rows reach the next one with the first of these, and are given with the second.
+    ends = [jobs.agg(F.max("ts").alias("ts")).select(*none, (F.col("ts") + F.expr(f"INTERVAL {n} DAYS")).alias("ts")) for n in (1, 2)]
+    late = F.pmod(F.xxhash64("id"), F.lit(15 * 60))
+    sides = [(side, F.unix_seconds("ts") + late) for side in (jobs, tracker)]
+    status = _replayed(spark, sides, ends, lambda j, t: status_stream(j, t, "10 minutes", "15 minutes"), "j8_status")[0]
+    return status.where("id IS NOT NULL").select("id", "statusId", "parentId", "runState", "problem")

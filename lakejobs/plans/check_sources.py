@@ -153,15 +153,13 @@ def s7_file_inventory(spark, sf_dir):
 
 @check(
     "s7_inventory_bytes",
-    """SELECT lang, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes FROM documents
-       WHERE lang IS NOT NULL GROUP BY lang""",
+    """SELECT lang, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes FROM documents GROUP BY lang""",
 )
 def s7_inventory_bytes(spark, sf_dir):
     path = scratch_path(spark, "s7")
-    docs = table(spark, sf_dir, "documents").where("lang is not null")
-    docs.select(F.coalesce("text", F.lit("")).alias("value"), "lang").write.partitionBy("lang").text(path)
+    table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value"), "lang").write.partitionBy("lang").text(path)
     files = file_inventory(spark, path)
-    lang = F.regexp_extract("path", "/lang=([^/]*)/", 1)
+    lang = F.nullif(F.url_decode(F.regexp_extract("path", "/lang=([^/]*)/", 1)), F.lit("__HIVE_DEFAULT_PARTITION__"))
     return files.groupBy(lang.alias("lang")).agg(F.sum("length").alias("bytes"))
 
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lakejobs.operators.footers import footer_stats
 from lakejobs.operators.partitions import (
+    NULL_PARTITION,
     add_partition,
     describe_partition,
     drop_partition,
     partition_stats,
     partitions,
 )
+from lakejobs.operators.sketches import refresh_sketches, sketch_profile
 from lakejobs.operators.stats import profile_column, profile_columns, table_stats
 from lakejobs.plans.check_sources import ORDERS, STATUS, fresh_table, orders_by_status
 from lakejobs.plans.registry import check, table
@@ -85,11 +88,11 @@ def t3_clustered_desc(spark, sf_dir):
     return _clustered(spark, sf_dir, "t3d", "DESC")
 
 
-@check("t4_create_like", "SELECT * FROM orders WHERE o_orderstatus = 'O'")
+@check("t4_create_like", "SELECT * FROM orders")
 def t4_create_like(spark, sf_dir):
     existing, new = orders_by_status(spark, sf_dir, "t4"), fresh_table("t4_like")
     create_like(spark, existing, new, scratch_path(spark, "t4_like"))
-    load_overwrite(spark, spark.table(existing).where("o_orderstatus = 'O'"), new)
+    load_overwrite(spark, spark.table(existing), new)
     return spark.table(new)
 
 
@@ -123,20 +126,20 @@ def t5_add_column(spark, sf_dir):
     return spark.table(spec.table)
 
 
-@check(
-    "t6_add_partition",
-    "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')",
-)
+@check("t6_add_partition", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
 def t6_add_partition(spark, sf_dir):
+    """A partition per status there is, every second one at a place of its own, and one for no status."""
     orders = table(spark, sf_dir, "orders")
     columns = (Column("o_orderkey", "bigint"), Column("o_custkey", "bigint"))
     spec = TableSpec(fresh_table("t6"), columns, (STATUS,), location=scratch_path(spark, "t6"))
     create_table(spark, spec)
-    for status in ("F", "O", "P"):
-        place = scratch_path(spark, "t6_elsewhere") if status == "P" else None
-        rows = orders.where(F.col("o_orderstatus") == status).select("o_orderkey", "o_custkey")
-        add_partition(spark, spec.table, f"o_orderstatus='{status}'", rows, location=place)
-        add_partition(spark, spec.table, f"o_orderstatus='{status}'", rows, if_not_exists=True)
+    found = [r[0] for r in orders.select("o_orderstatus").distinct().orderBy("o_orderstatus").collect()]  # partition names
+    for i, status in enumerate([*found, *([] if None in found else [None])]):
+        place = scratch_path(spark, "t6_elsewhere") if i % 2 else None
+        rows = orders.where(F.col("o_orderstatus").eqNullSafe(F.lit(status))).select("o_orderkey", "o_custkey")
+        named = f"o_orderstatus='{NULL_PARTITION if status is None else status}'"
+        add_partition(spark, spec.table, named, rows, location=place)
+        add_partition(spark, spec.table, named, rows, if_not_exists=True)
     return spark.table(spec.table)
 
 
@@ -172,6 +175,16 @@ def t8_partitions(spark, sf_dir):
     return partitions(spark, _lines_by_flag(spark, sf_dir, "t8")).select("name", "rows")
 
 
+@check(
+    "t8_footer_rows",
+    """SELECT l_returnflag, l_linestatus, count(*) AS rows, count(*) - count(l_orderkey) AS l_orderkey_nulls, min(l_orderkey) AS l_orderkey_min, max(l_orderkey) AS l_orderkey_max,
+         count(*) - count(l_linenumber) AS l_linenumber_nulls, min(l_linenumber) AS l_linenumber_min, max(l_linenumber) AS l_linenumber_max
+       FROM lineitem GROUP BY l_returnflag, l_linestatus""",
+)
+def t8_footer_rows(spark, sf_dir):
+    return footer_stats(spark, _lines_by_flag(spark, sf_dir, "t8f"), ["l_orderkey", "l_linenumber"])
+
+
 @check(
     "t9_describe_partition",
     """SELECT 'o_orderstatus=''F''' AS "partition", 5 AS n_columns, 1 AS n_partition_columns,
@@ -206,6 +219,35 @@ def t10_column_profile_approx(spark, sf_dir):
     return profile_columns(table(spark, sf_dir, "lineitem"))
 
 
+def _sketched(columns: str) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS nulls, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max,
+            TRUE AS distinct_close, TRUE AS quantiles_close FROM orders WHERE o_orderstatus IS DISTINCT FROM 'O'"""
+        for c in columns.split()
+    )
+
+
+@check("t10_sketch_profile", _sketched("o_orderkey o_custkey o_totalprice o_orderdate o_orderpriority"))
+def t10_sketch_profile(spark, sf_dir):
+    """Sketches of a table that lost a partition and got another, beside exact numbers of what it holds then."""
+    orders, folder = table(spark, sf_dir, "orders"), scratch_path(spark, "t10_sketches")
+    spec = TableSpec(fresh_table("t10"), ORDERS, (STATUS,), location=scratch_path(spark, "t10"))
+    write_table(orders.where("NOT o_orderstatus <=> 'P'"), spec)
+    refresh_sketches(spark, spec.table, folder)
+    add_partition(spark, spec.table, "o_orderstatus='P'", orders.where("o_orderstatus = 'P'").drop("o_orderstatus"))
+    drop_partition(spark, spec.table, "o_orderstatus='O'")
+    refresh_sketches(spark, spec.table, folder)
+    profile = sketch_profile(spark, spec.table, folder)
+    now = spark.table(spec.table).drop("o_orderstatus")
+    exact = profile_columns(now, exact_distinct=True).select("name", F.col("distinct").alias("truly"))
+    quantiles = {r["name"]: r["quantiles"] for r in profile.collect() if r["quantiles"]}  # three numbers per column
+    ranks = now.agg(*[F.avg((F.col(c) <= q).cast("double")).alias(f"{c}{i}") for c, qs in quantiles.items() for i, q in enumerate(qs)]).first()
+    close = {c: all(abs(ranks[f"{c}{i}"] - at) < 0.03 for i, at in enumerate((0.25, 0.5, 0.75))) for c in quantiles}
+    good = F.col("name").isin([c for c, ok in close.items() if ok] + [c for c in now.columns if c not in close])
+    near = F.abs(F.col("distinct") - F.col("truly")) <= F.col("truly") * 0.06
+    return profile.join(F.broadcast(exact), "name").select("name", "rows", "nulls", "min", "max", near.alias("distinct_close"), good.alias("quantiles_close"))
+
+
 @check(
     "t11_column",
     """SELECT 'l_returnflag' AS name, count(*) AS rows, count(*) - count(l_returnflag) AS nulls,

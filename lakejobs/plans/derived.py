@@ -180,3 +180,47 @@ def job_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(ends, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user"), F.col("o_orderpriority").alias("queue"), F.col("o_orderdate").alias("started"), "ended"
     )
+
+
+# Jobs and their parents: chains of up to 63 steps between jobs that stand in a binary tree; some lead into circles of two.
+JOB_PARENTS_SQL = """
+  SELECT o_orderkey AS id, CASE WHEN o_orderkey = 0 THEN NULL WHEN o_orderkey % 1009 = 7 THEN o_orderkey + 1
+    WHEN o_orderkey % 64 = 0 THEN o_orderkey // 2 ELSE o_orderkey - 1 END AS parent FROM orders"""
+
+
+def job_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("o_orderkey")
+    parent = F.when(n == 0, None).when(n % 1009 == 7, n + 1).when(n % 64 == 0, F.floor(n / 2)).otherwise(n - 1)
+    return table(spark, sf_dir, "orders").select(n.alias("id"), parent.alias("parent"))
+
+
+_BASE_US = 1704067200000000  # 2024-01-01
+
+# Lines of jobs on a clock that runs 600 times as fast, so that pauses are about a minute; a job exits with its purchase.
+JOB_BEATS_SQL = f"""
+  SELECT user_id AS job_id, {_BASE_US} + (epoch_us(ts) - {_BASE_US}) // 600 AS t,
+         event_type = 'purchase' AND event_id % 7 = 0 AS exit
+  FROM events"""
+
+
+def job_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    since = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("job_id"), F.timestamp_micros(F.lit(_BASE_US) + F.floor(since / 600)).alias("ts"),
+        ((F.col("event_type") == "purchase") & (F.col("event_id") % 7 == 0)).alias("exit"),
+    )
+
+
+def job_writes(spark: SparkSession, sf_dir: str, now_ms: int) -> DataFrame:
+    """Field writes of :func:`jobs` up to a time: the owner, the creation if it is known, and the exit of those done a day later."""
+    at = F.least(epoch_ms("o_orderdate"), F.lit(now_ms))
+    known = jobs(spark, sf_dir).select("id", "user", "created", "completed")
+    times = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), at.alias("at"))
+    later = F.least(F.col("at") + F.when(F.col("created").isNull(), 0).otherwise(86400000), F.lit(now_ms))
+    writes = F.array(
+        F.struct(F.lit("user").alias("key"), F.col("user").cast("string").alias("val"), F.col("at").alias("at")),
+        F.struct(F.lit("created").alias("key"), F.col("created").cast("string").alias("val"), F.col("at").alias("at")),
+        F.struct(F.lit("exitValue").alias("key"), F.when(F.col("completed").isNotNull(), (F.col("id") % 3).cast("string")).alias("val"), later.alias("at")),
+    )
+    rows = known.join(times, "id").select("id", F.posexplode(writes).alias("seq", "w"))
+    return rows.select(F.lit("JOB").alias("type"), "id", "w.key", "w.val", F.timestamp_millis("w.at").alias("ts"), F.col("seq").cast("bigint").alias("seq"))
