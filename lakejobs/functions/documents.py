@@ -37,6 +37,11 @@ def _quoted(value: Column) -> Column:
     return F.substr(listed, F.lit(2), F.length(listed) - 2)
 
 
+# What a parsed value may write otherwise than it stands: numbers that are no short whole ones, and the order of several
+# keys of an inner object. Texts that only look like it do no harm.
+_NOT_PLAIN = r"[0-9][.eE]|-0|[0-9]{19}|[\[:,]\s*\{[^{}]*[,{]"
+
+
 def _as_json(raw: Column, value: Column) -> Column:
     """A parsed value as JSON: numbers as they stand in ``raw``, where only texts have lost their quotes."""
     kind, plain = F.schema_of_variant(value), F.to_json(value)
@@ -57,12 +62,15 @@ def annotate_json(
     """
     doc = F.col(doc) if isinstance(doc, str) else doc
     put = put or {}
-    raw = F.map_entries(F.from_json(_text_of(doc), "map<string,string>"))
     parsed = F.map_entries(_opened(doc))
-    both = F.zip_with(
+    plain = F.transform(parsed, lambda v: F.struct(v["key"].alias("key"), F.to_json(v["value"]).alias("value")))
+    # Only documents that need it are parsed a second time.
+    raw = F.map_entries(F.from_json(_text_of(doc), "map<string,string>"))
+    exact = F.zip_with(
         raw, parsed, lambda r, v: F.struct(r["key"].alias("key"), _as_json(r["value"], v["value"]).alias("value"))
     )
-    return _once(both, lambda e: _object(_changed(e, put, remove)))
+    entries = F.when(_text_of(doc).rlike(_NOT_PLAIN), exact).otherwise(plain)
+    return _once(entries, lambda e: _object(_changed(e, put, remove)))
 
 
 def _object(entries: Column) -> Column:

@@ -6,10 +6,12 @@ import os
 
 from pyspark.sql import functions as F
 
+from lakejobs.functions.aggregates import aggregate
 from lakejobs.functions.documents import annotate_json, first_entry
-from lakejobs.functions.udfs import register_udfs
+from lakejobs.functions.udfs import register_udfs, user_aggregates
 from lakejobs.functions.values import row_rand
 from lakejobs.operators.flow import foreach_generate, group_all_count
+from lakejobs.operators.heavy import top_words
 from lakejobs.operators.lists import pack_lists, unpack_lists
 from lakejobs.operators.mapreduce import stream_map_reduce, text_wc, word_count
 from lakejobs.operators.selection import drop_unset, status_summary, split_valid
@@ -59,6 +61,44 @@ def p2_python_udf(spark, sf_dir):
     )
 
 
+@check(
+    "p2_nested_types",
+    """SELECT p_partkey, CAST(place AS INTEGER) AS place, text, CAST(nullif(length(text) - length(replace(text, 'o', '')), 0) AS INTEGER) AS o,
+         CAST(nullif(length(text) - length(replace(text, 'r', '')), 0) AS INTEGER) AS r
+       FROM (SELECT p_partkey, unnest(range(len(w))) AS place, unnest(w) AS text FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part))""",
+)
+def p2_nested_types(spark, sf_dir):
+    register_udfs(spark, SAMPLE_UDFS, "nested")
+    found = table(spark, sf_dir, "part").select("p_partkey", F.inline(F.call_function("nested_words", "p_name")))
+    letter = lambda c: F.try_element_at("letters", F.lit(c)).alias(c)
+    return found.select("p_partkey", "place", "text", letter("o"), letter("r"))
+
+
+@check(
+    "p2_table_function",
+    """WITH e AS (SELECT user_id, event_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stay FROM events)
+       SELECT user_id, CAST(count(*) AS INTEGER) AS visits, min(event_id) AS first, max(event_id) AS last FROM e GROUP BY user_id, coalesce(stay, 0)""",
+)
+def p2_table_function(spark, sf_dir):
+    register_udfs(spark, SAMPLE_UDFS, "tables")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return spark.sql("SELECT * FROM tables_Stays(TABLE({events}) PARTITION BY user_id ORDER BY event_id)", events=events)
+
+
+@check(
+    "p2_aggregate",
+    """SELECT event_type, count(v) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS least, max(v) AS most, CAST(sum(v % 2) AS BIGINT) AS odd
+       FROM (SELECT event_type, CASE WHEN event_id % 5 > 0 THEN CAST(round(value * 100) AS BIGINT) END AS v FROM events) GROUP BY event_type""",
+)
+def p2_aggregate(spark, sf_dir):
+    """A few hot keys: each task hands on one state per key."""
+    cents = F.when(F.col("event_id") % 5 > 0, F.round(F.col("value") * 100).cast("bigint")).alias("cents")
+    events = table(spark, sf_dir, "events").select("event_type", cents)
+    spread = user_aggregates(spark, SAMPLE_UDFS)["Spread"]
+    return aggregate(events, ["event_type"], spread, ["cents"], "spread").select("event_type", "spread.*")
+
+
 @check("p3_row_count", "SELECT count(CASE WHEN event_id % 7 <> 0 THEN 1 END) AS n FROM events")
 def p3_row_count(spark, sf_dir):
     return group_all_count(derived.job_events(spark, sf_dir), "val")
@@ -90,6 +130,11 @@ def m2_word_count(spark, sf_dir):
     return word_count(table(spark, sf_dir, "documents"), "text")
 
 
+@check("m2_top_words", WORD_COUNT_SQL + ' ORDER BY "count" DESC, word LIMIT 100')
+def m2_top_words(spark, sf_dir):
+    return top_words(table(spark, sf_dir, "documents"), "text", 100)
+
+
 @check(
     "m3_text_wc",
     r"""SELECT source, CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS lines,

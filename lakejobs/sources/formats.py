@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import types as T
 
 from lakejobs.errors import BadParam
@@ -33,6 +35,8 @@ SERDES = {
 }
 
 
+# Words that mean something else without such a catalog; this is said by a warning.
+WITHOUT_CATALOG = ("rcfile", "sequencefile")
 # Words kept as they are where the catalog knows these formats.
 CATALOG_WORDS = ("rcfile", "sequencefile", "textfile")
 
@@ -55,6 +59,8 @@ def format_of(
     text = word == "textfile" or (not word and row is not None and row.delimited)
     if hive and (text or word in CATALOG_WORDS or (row and row.serde)):
         return "hive", _catalog_options(word or "textfile", row)
+    if word in WITHOUT_CATALOG:
+        warnings.warn(f"stored as {word} needs a Hive catalog; the table is kept as {STORED_AS[word]}", stacklevel=2)
     if word and not text:
         return STORED_AS[word], dict(row.serde_properties) if row and row.serde else {}
     if row and row.serde:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,6 +28,14 @@ def _ceil_ms(micros: int) -> int:
     return -(-micros // 1000)
 
 
+def _known(marked: DataFrame, key: str) -> DataFrame:
+    """Without rows whose key or time is null, whose times still move the watermark.
+
+    A test of the key alone would be pushed to the scan, before the watermark; one that needs the time too is not.
+    """
+    return marked.where(F.greatest(F.col(key).isNull(), F.col("ts").isNull()) == F.lit(False))
+
+
 class _Silence(StatefulProcessor):
     """State: last line (microseconds), whether the job was reported, whether it has exited."""
 
@@ -82,7 +90,7 @@ def silent_jobs(lines: DataFrame, delay: str, quiet_ms: int = KEEP_ALIVE_MS, for
     their times move the watermark). A job that was reported or has exited is forgotten ``forget_ms`` after its last line.
     """
     window_ms = max(1, quiet_ms // 2)
-    marked = lines.withWatermark("ts", delay).where(F.col("job_id").isNotNull() & F.col("ts").isNotNull())
+    marked = _known(lines.withWatermark("ts", delay), "job_id")
     at = F.unix_micros("ts")
     parts = marked.groupBy("job_id", F.window("ts", f"{window_ms} milliseconds")).agg(
         F.min(at).alias("first"), F.max(at).alias("last"), F.min(F.when(F.col("exit"), at)).alias("exit")
@@ -149,7 +157,7 @@ def expiry_stream(events: DataFrame, delay: str, max_age_ms: int = MAX_AGE_MS) -
 
     Only the fields that count go through the state, one row per job, field and task of them.
     """
-    marked = events.withWatermark("ts", delay).where(F.col("id").isNotNull() & F.col("ts").isNotNull())
+    marked = _known(events.withWatermark("ts", delay), "id")
     number = F.col("val").try_cast("bigint")
     exited = (F.col("key") == "exitValue") & F.col("val").isNotNull()
     slim = marked.select(
@@ -162,6 +170,6 @@ def expiry_stream(events: DataFrame, delay: str, max_age_ms: int = MAX_AGE_MS) -
     )
 
 
-def state_rows(checkpoint: str, df: DataFrame) -> DataFrame:
+def state_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The state one of these streams holds after its last batch, one row per job."""
-    return df.sparkSession.read.format("statestore").option("stateVarName", "job").load(checkpoint)
+    return spark.read.format("statestore").option("stateVarName", "job").load(checkpoint)

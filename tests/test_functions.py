@@ -119,6 +119,32 @@ def test_annotate_json(spark):
     assert json.loads(values(spark, ["{}"], nested)[0]) == {"s": {"q": 1}, "l": ["x"]}
 
 
+def test_values_of_all_kinds_stay_as_they_are(spark, monkeypatch):
+    """Documents parsed once give what those parsed twice give, which is what stands there."""
+    import json
+    import random
+
+    from lakejobs.functions import documents
+
+    rng = random.Random(4)
+
+    def value(depth=0):
+        kind = rng.randrange(10 if depth < 3 else 6)
+        if kind < 6:
+            return rng.choice([0, -7, 10**17, 12345678901234567890123, 1.5, -0.25, True, False, None, "", "a\"b", "x.5 {y,z}", "é漢\n", '"{\\"k\\":1,2}"'])
+        if kind < 8:
+            return [value(depth + 1) for _ in range(rng.randrange(3))]
+        return {rng.choice("zyxab") + str(i): value(depth + 1) for i in range(rng.randrange(3))}
+
+    docs = [json.dumps({f"k{i}": value() for i in range(rng.randrange(4))}, separators=(",", ":"), ensure_ascii=False) for _ in range(300)]
+    docs += ['{"a":-0}', '{"a":1e2}', '{"a":[{"b":1}],"c":{"z":1,"a":2}}', '{"a":{"z":{"y":1}}}', "[1]", "x", "", None]
+    once = values(spark, docs, annotate_json("v", {"put": F.lit(1)}, ["k1"]))
+    monkeypatch.setattr(documents, "_NOT_PLAIN", "")
+    assert once == values(spark, docs, annotate_json("v", {"put": F.lit(1)}, ["k1"]))
+    plain = values(spark, docs[:300], annotate_json("v"))
+    assert plain == docs[:300]
+
+
 @pytest.mark.parametrize(
     ("doc", "status"),
     [

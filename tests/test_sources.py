@@ -6,7 +6,7 @@ import json
 import os
 
 import pytest
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from lakejobs.errors import BadParam, NotFound
@@ -16,9 +16,11 @@ from lakejobs.sources.delimited import field, scan_delimited, scan_positional, w
 from lakejobs.sources.files import check_inputs, file_inventory, file_text, modified_before, read_inputs
 from lakejobs.sources.formats import format_of
 from lakejobs.sources.json_lines import to_documents, write_json_lines
+from lakejobs.session import scratch_path
 from lakejobs.sources.spec import (
     Clustering, Column, RowFormat, SortKey, Storage, TableSpec, check_identifier, parse_partition,
 )
+from lakejobs.sources.tables import write_table
 
 
 def test_pokes(spark, tmp_path):
@@ -168,7 +170,8 @@ def test_names_and_partitions():
 
 def test_formats():
     assert format_of(Storage()) == ("parquet", {})
-    assert format_of(Storage(stored_as="RCFile"))[0] == "parquet"
+    with pytest.warns(UserWarning, match="rcfile needs a Hive catalog"):
+        assert format_of(Storage(stored_as="RCFile"))[0] == "parquet"
     assert format_of(Storage(RowFormat(fields=";")))[1]["sep"] == ";"
     assert format_of(Storage(RowFormat(serde="my.source", serde_properties={"k": "v"}))) == ("my.source", {"k": "v"})
     assert format_of(Storage(stored_by="jdbc", properties={"url": "u"})) == ("jdbc", {"url": "u"})
@@ -212,3 +215,38 @@ def test_limit_bytes_by_null_and_by_time(spark):
         assert limit_bytes(df.withColumn("g", F.lit(1)), "t", limit, "i", "g").count() == count
     times = spark.range(20).select(F.expr("timestamp_ntz'2024-03-10 02:30:00' + make_dt_interval(0, 0, 0, id)").alias("at"), F.lit("x").alias("t"))
     assert limit_bytes(times, "t", 10, "at").count() == 5
+
+
+@pytest.mark.parametrize(
+    "storage",
+    [
+        Storage(RowFormat(serde="org.apache.hadoop.hive.ql.io.orc.OrcSerde")),
+        Storage(RowFormat(serde="org.apache.hadoop.hive.serde2.JsonSerDe", serde_properties={"timestampNTZFormat": "yyyy/MM/dd"})),
+        Storage(RowFormat(serde="org.apache.hadoop.hive.serde2.lazy.LazySimpleSerDe", serde_properties={"sep": ";"})),
+        Storage(stored_by="json", properties={"dateFormat": "dd.MM.yyyy"}),
+        Storage(stored_as="sequencefile"),
+    ],
+)
+@pytest.mark.filterwarnings("ignore:stored as")
+def test_tables_of_serdes_and_handlers(spark, new_table, storage):
+    """Written and read again, with the properties in effect."""
+    spec = TableSpec(
+        new_table("serde"), (Column("id", "bigint"), Column("name", "string"), Column("day", "date")), storage=storage, location=scratch_path(spark, "serde"), partitioned_by=(Column("p", "int"),)
+    )
+    rows = spark.range(20).select("id", F.concat(F.lit("n;"), "id").alias("name") if "json" in str(storage).lower() else F.concat(F.lit("n"), "id").alias("name"),
+                                  F.date_add(F.lit("2024-01-30").cast("date"), F.col("id").cast("int")).alias("day"), (F.col("id") % 3).cast("int").alias("p"))
+    write_table(rows, spec)
+    assert sorted(map(tuple, spark.table(spec.table).collect())) == sorted(map(tuple, rows.collect()))
+    if storage.stored_by:
+        assert spark.read.text(spec.location).where("value LIKE '%\"day\":\"30.01.2024\"%'").count() == 1
+
+
+def test_avro_needs_its_package(spark, new_table):
+    """The word is known; without Spark's avro package on the class path the error names it."""
+    spec = TableSpec(new_table("avro"), (Column("id", "bigint"),), storage=Storage(stored_as="avro"), location=scratch_path(spark, "avro"))
+    try:
+        write_table(spark.range(5), spec)
+    except AnalysisException as error:
+        assert "avro" in str(error).lower()
+    else:
+        assert spark.table(spec.table).count() == 5

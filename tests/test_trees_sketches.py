@@ -118,8 +118,10 @@ def test_only_new_partitions_are_sketched(spark, new_table):
     exact = now.agg(F.count("*"), F.min("id"), F.max("id"), F.count_if(F.col("price").isNull())).first()
     assert (got["id"].rows, got["id"].min, got["id"].max, got["price"].nulls) == (exact[0], str(exact[1]), str(exact[2]), exact[3])
     assert current_sketches(spark, name, folder).count() == 3  # US, FR and null
-    whole = profile_of(merged(column_sketches(now, ["country"]), skip=["country"]))
-    assert {n: tuple(r) for n, r in got.items()} == {r.name: tuple(r) for r in whole.collect()}
+    # Counts and bounds are those of all rows; estimates depend a little on the order of merging.
+    for r in profile_of(merged(column_sketches(now, ["country"]), skip=["country"])).collect():
+        mine = got[r.name]
+        assert (mine.rows, mine.nulls, mine.min, mine.max) == (r.rows, r.nulls, r.min, r.max) and abs(mine.distinct - r.distinct) <= 0.04 * r.distinct
 
 
 def test_sketches_of_a_plain_and_an_empty_table(spark, new_table):
