@@ -1,6 +1,6 @@
 """License scan with a positional index of rare tokens, in DataFrame operations only.
 
-Templates are short word sequences. Document frequencies of all template words are counted over the
+Templates are word sequences: names, openings and distinctive paragraphs of public licences. Document frequencies of all template words are counted over the
 whole corpus; the words of each template with the highest inverse frequency go into a positional index
 (word -> template, place in the template). A document's indexed words are looked up, each with the few
 words around it; postings of one template meet where they agree on its start (place in the document
@@ -10,6 +10,8 @@ the template that stands in place, weighted by inverse frequency, is the score.
 
 from __future__ import annotations
 
+import math
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,9 +48,80 @@ MORE = (
     Template("mpl", "mozilla public license", "mozilla public license"),
     Template("unlicense", "free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 )
-TEMPLATES = BASE + MORE
+# Distinctive paragraphs of public licences, each with what must stand in it word by word.
+PARAGRAPHS = tuple(
+    Template(label, *(" ".join(re.findall(r"[a-z0-9]+", part.lower())) for part in (text, key)))
+    for label, text, key in (
+        (
+            "mit",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+            "(the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+            "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+            "use, copy, modify, merge, publish, distribute, sublicense",
+        ),
+        (
+            "bsd",
+            "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+            "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+            "in the documentation and/or other materials provided with the distribution",
+            "must retain the above copyright notice, this list of conditions and the following disclaimer",
+        ),
+        (
+            "isc",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+            "that the above copyright notice and this permission notice appear in all copies",
+            "for any purpose with or without fee is hereby granted",
+        ),
+        (
+            "apache",
+            "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+            "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under "
+            "the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+            "you may not use this file except in compliance with the License",
+        ),
+        (
+            "gpl",
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+            "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+            "under the terms of the GNU General Public License as published by the Free Software Foundation",
+        ),
+        (
+            "lgpl",
+            "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+            "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+            "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        ),
+        (
+            "mpl",
+            "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+            "this file, You can obtain one at http://mozilla.org/MPL/2.0",
+            "This Source Code Form is subject to the terms",
+        ),
+        (
+            "unlicense",
+            "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+            "compiled binary, for any purpose, commercial or non-commercial, and by any means",
+            "copy, modify, publish, use, compile, sell, or distribute this software",
+        ),
+        (
+            "zlib",
+            "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any "
+            "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+            "commercial applications, and to alter it and redistribute it freely",
+            "Permission is granted to anyone to use this software for any purpose, including commercial applications",
+        ),
+        (
+            "boost",
+            "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+            "documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software",
+            "use, reproduce, display, distribute, execute, and transmit the Software",
+        ),
+    )
+)
+TEMPLATES = BASE + MORE + PARAGRAPHS
 RARE_WORDS = 2  # indexed words per template
 LEAST_SCORE = 0.7  # for templates that are not base phrases
+LEAST_WEIGHT = 0.1  # of a word that every document holds
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,13 +145,10 @@ def rare_token_index(docs: DataFrame, templates=TEMPLATES, rare: int = RARE_WORD
     spark = docs.sparkSession
     vocabulary = sorted({w for t in templates for w in t.text.split()})
     counts = {r["word"]: r["n"] for r in document_frequencies(docs, vocabulary, text_col).collect()}  # <= vocabulary
-    import math
-
-    total = 1 + max(counts.values(), default=0)
-    rows = []
+    total, rows = docs.count(), []
     for number, t in enumerate(templates):
         words, key = t.text.split(), t.key.split()
-        idf = [math.log(1 + total / (1 + counts.get(w, 0))) for w in words]
+        idf = [math.log((1 + total) / (1 + counts.get(w, 0))) + LEAST_WEIGHT for w in words]
         start = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
         places = sorted(range(start, start + len(key)), key=lambda i: (-idf[i], i))[:rare]
         for place in places:
@@ -96,22 +166,22 @@ def license_places(docs: DataFrame, templates=TEMPLATES, rare: int = RARE_WORDS,
     A null text has no words; rows with equal ids stay apart; other columns are not read.
     """
     index = rare_token_index(docs, templates, rare, text_col)
-    wanted = sorted({r[0] for r in index.select("word").distinct().collect()})  # <= vocabulary
-    reach = max(len(t.text.split()) for t in templates)
+    # How many words before and after an indexed word its templates reach.
+    ahead = F.size("words") - F.col("place")
+    reach = {r[0]: (r[1], r[2]) for r in index.groupBy("word").agg(F.max("place"), F.max(ahead)).collect()}  # <= vocabulary
+    wanted = sorted(reach)
+    back_of, size_of = (F.create_map(*[F.lit(x) for w in wanted for x in (w, f(*reach[w]))]) for f in (lambda b, a: b, lambda b, a: b + a))
     source = with_row(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     split = source.select("_row", "_id", words_of(F.col("_text")).alias("words"))
     n = F.size("words")
     at = F.filter(F.sequence(F.lit(0), n), lambda i: F.get("words", i).isin(wanted))
     # Each indexed word with the words around it; ``back`` is how many of them stand before it.
-    seen = F.transform(
-        at,
-        lambda i: F.struct(
-            i.alias("at"),
-            F.get("words", i).alias("word"),
-            F.least(i, F.lit(reach)).alias("back"),
-            F.slice("words", F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("around"),
-        ),
-    )
+    def placed(i: Column) -> Column:
+        word = F.get("words", i)
+        back = F.least(i, back_of[word])
+        return F.struct(i.alias("at"), word.alias("word"), back.alias("back"), F.slice("words", i - back + 1, size_of[word] + 1).alias("around"))
+
+    seen = F.transform(at, placed)
     hits = split.select("_row", "_id", n.cast("long").alias("n_words"), F.explode_outer(seen).alias("h"))
     postings = hits.join(F.broadcast(index), F.col("h.word") == F.col("word"), "left")
     place = F.col("place")

@@ -4,7 +4,7 @@ A logistic classifier, fitted on a bounded sample of labelled documents, gives e
 evidence. Evidence is averaged per host and per section of a host over all documents; each host's
 mean is shrunk to the global one and each section's to its host's, the more the fewer documents it
 has, by strengths estimated from how far sites differ. A document's posterior odds are its own
-evidence moved by what its section's shrunk mean says beyond the global one. A document taken for
+evidence moved by what the shrunk mean of the other documents of its section says beyond the global one. A document taken for
 toxic by its own text is rejected, whatever its quality and its site.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakejobs.llm.tables import kept, small_side, with_field
+from lakejobs.llm.tables import kept, lean, small_side, with_field
 from lakejobs.llm.textbytes import slices, text_bytes, words
 
 TRAINING_ROWS = 12_000  # labelled documents the classifier is fitted on, at most
@@ -163,7 +163,7 @@ def with_evidence(docs: DataFrame, model: Model, text_col: str = "text") -> Data
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(good), pa.array(toxic)], [*part.schema.names, "_good", "_toxic"])
 
-    return docs.mapInArrow(run, with_field(docs, "_good", "double").add("_toxic", "double"))
+    return docs.mapInArrow(lean(run), with_field(docs, "_good", "double").add("_toxic", "double"))
 
 
 def host_of(source: Column) -> Column:
@@ -199,10 +199,11 @@ def _strength(groups: DataFrame, mean: Column, toward: Column) -> float:
 
 
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """(host, section, site): each section's shrunk share of good documents, and the global share.
+    """(host, section, n, s, host_n, host_s, k_host, k_section, site) and the global share of good documents.
 
-    ``scored`` has host, section and p; sums are added up per task, so a host that holds a third of all
-    rows costs a row per task.
+    n and s are the documents of a section and the sum of their evidence, host_n and host_s those of its host, the k how many documents a
+    prior counts for, ``site`` the section's shrunk share. ``scored`` has host, section and p; sums are
+    added up per task, so a host that holds a third of all rows costs a row per task.
     """
     within = F.greatest(F.sum(F.col("p") * F.col("p")) - F.sum("p") * F.sum("p") / F.count("*"), F.lit(0.0))
     sections = scored.groupBy("host", "section").agg(F.count("*").alias("n"), F.sum("p").alias("s"), within.alias("within"))
@@ -211,18 +212,27 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     overall = 0.5 if overall is None else overall
     hosts = sections.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("within").alias("within"))
     k_host = _strength(hosts, F.col("s") / F.col("n"), F.lit(overall))
-    hosts = hosts.select("host", ((F.col("s") + k_host * overall) / (F.col("n") + k_host)).alias("host_site"))
+    hosts = hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"), F.lit(k_host).alias("k_host"))
     sections = sections.join(hosts, "host")
-    k_section = _strength(sections, F.col("s") / F.col("n"), F.col("host_site"))
-    site = (F.col("s") + k_section * F.col("host_site")) / (F.col("n") + k_section)
-    return sections.select("host", "section", site.alias("site")), overall
+    shrunk_host = (F.col("host_s") + k_host * overall) / (F.col("host_n") + k_host)
+    k_section = _strength(sections, F.col("s") / F.col("n"), shrunk_host)
+    sections = sections.withColumn("k_section", F.lit(k_section))
+    return sections.select("host", "section", "n", "s", "host_n", "host_s", "k_host", "k_section", shrunk_share(overall).alias("site")), overall
+
+
+def shrunk_share(overall: float, own: Column | None = None) -> Column:
+    """A section's share of good documents, shrunk to its host's, which is shrunk to ``overall``; without the document of evidence ``own``."""
+    one, p = (0, F.lit(0.0)) if own is None else (1, own)
+    less = lambda total: F.greatest(F.col(total) - p, F.lit(0.0))
+    host = (less("host_s") + F.col("k_host") * overall) / (F.col("host_n") - one + F.col("k_host"))
+    return (less("s") + F.col("k_section") * host) / (F.col("n") - one + F.col("k_section"))
 
 
 def judged(
     docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", section_cols: tuple[str, ...] = ("lang",),
 ) -> DataFrame:
-    """``docs`` with ``_p_good`` (text alone), ``_p_toxic``, ``_site`` (shrunk share of its section), ``_posterior``, ``_accepted``.
+    """``docs`` with ``_p_good`` (text alone), ``_p_toxic``, ``_site`` (shrunk share of the others of its section), ``_posterior``, ``_accepted``.
 
     A document is accepted if its posterior (of its quality) reaches :data:`THRESHOLD` and ``_p_toxic``
     stays below :data:`TOXIC`. Null text is empty text, a null
@@ -250,9 +260,10 @@ def _judged(docs, labels, rows, id_col, text_col, source_col, section_cols) -> t
     used = list(dict.fromkeys([text, source, *sections]))
     scored = with_evidence(plain.select(*used), model, text).select(host.alias("host"), section.alias("section"), own.alias("p"))
     sites, overall = site_posteriors(scored)
-    sites = small_side(kept(sites.select(F.col("host").alias("_host"), F.col("section").alias("_section"), F.col("site").alias("_site"))))
+    sites = small_side(kept(sites.drop("site").withColumnsRenamed({"host": "_host", "section": "_section"})))
     wide = with_evidence(plain, model, text).withColumns({"_h": host, "_s": section})
     joined = wide.join(sites, (F.col("_h") == F.col("_host")) & (F.col("_s") == F.col("_section")), "left")
+    joined = joined.withColumn("_site", shrunk_share(overall, own))  # by the other documents of its site
     shift = log_odds(F.coalesce("_site", F.lit(overall))) - log_odds(F.lit(overall))
     shift = F.least(F.greatest(shift, F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT))
     posterior = probability(log_odds(own) + shift)

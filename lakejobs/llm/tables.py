@@ -2,21 +2,51 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lakejobs.session import ensure_checkpoints, scratch_path
 
 BROADCAST_ROWS = 200_000
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let Arrow batches hold ``size`` of rows at most (or one longer row), unless the session asks for less.
+
+    Tasks hold a batch or two on either side of the interpreter, so this bounds what whole documents take there.
+    """
+    in_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if in_bytes(spark.conf.get(ARROW_BYTES)) > in_bytes(size):
+        spark.conf.set(ARROW_BYTES, size)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, which hands the memory it has freed back to the system when its task ends.
+
+    Workers are kept for later tasks; what a task's arrays took would stay with them, idle or not.
+    """
+
+    @wraps(run)
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # glibc
+            trim(0)
+
+    return done
 
 
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
@@ -158,7 +188,7 @@ def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 batch = batch.filter(pa.array(~np.isin(numbers, gone.column("_row").to_numpy())))
             yield batch.select(list(range(batch.num_columns - 1)))
 
-    return numbered(docs, name).mapInArrow(run, docs.schema)
+    return numbered(docs, name).mapInArrow(lean(run), docs.schema)
 
 
 def with_field(df: DataFrame, name: str, kind: str) -> StructType:

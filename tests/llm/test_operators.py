@@ -503,6 +503,42 @@ def test_quality_shrinks_sparse_sites(spark):
     assert site["bad"] < site["new"] < overall + 0.01
 
 
+def test_posterior_of_a_document_by_the_others_of_its_site(make_docs, monkeypatch):
+    """A second computation of the posterior: no document's own evidence is in its site term."""
+    rng = random.Random(6)
+    rows = [(i, f"t{rng.randrange(9)}") for i in range(90)] + [(300, "t1"), (None, "t2")]
+    evidence = {f"t{k}": -3 + 0.7 * k for k in range(9)}
+
+    def given(docs, model, text_col):
+        column = F.coalesce(*[F.when(F.col(text_col) == t, F.lit(x)) for t, x in evidence.items()])
+        return docs.withColumns({"_good": column, "_toxic": F.lit(-9.0)})
+
+    monkeypatch.setattr(quality, "fit", lambda *_: object())
+    monkeypatch.setattr(quality, "with_evidence", given)
+    docs = make_docs(rows).withColumn("source", F.when(F.col("doc_id") == 300, "lone.org/x").otherwise(F.concat(F.col("source"), F.lit("/p"), F.coalesce(F.col("doc_id"), F.lit(0)) % 4)))
+    sides = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    p_of = lambda t: 1 / (1 + math.exp(-evidence[t]))
+    part = docs.select(quality.host_of(F.col("source")).alias("host"), quality.section_of(F.col("source"), F.col("lang")).alias("section"), F.coalesce(*[F.when(F.col("text") == t, F.lit(p_of(t))) for t in evidence]).alias("p"))
+    sites, overall = quality.site_posteriors(part)
+    k = sites.first()
+    assert abs(overall - sum(p_of(t) for _, t, _ in sides) / len(sides)) < 1e-12
+    expected = {}
+    for i, t, source in sides:
+        host, section = source.split("/")
+        others = [(s, p_of(x)) for j, x, s in sides if (j, x, s) != (i, t, source)]
+        at_host, here = [p for s, p in others if s.split("/")[0] == host], [p for s, p in others if s == source]
+        host_share = (sum(at_host) + k.k_host * overall) / (len(at_host) + k.k_host)
+        share = (sum(here) + k.k_section * host_share) / (len(here) + k.k_section)
+        odds = lambda x: math.log(x / (1 - x))
+        shift = min(max(odds(share) - odds(overall), -quality.SITE_LIMIT), quality.SITE_LIMIT)
+        expected[i] = (share, 1 / (1 + math.exp(-(evidence[t] + shift))))
+    got = {r.doc_id: (r._site, r._posterior) for r in quality.judged(docs, None).collect()}
+    assert set(got) == set(expected)
+    for i, (share, posterior) in expected.items():
+        assert abs(got[i][0] - share) < 1e-9 and abs(got[i][1] - posterior) < 1e-9
+    assert abs(got[300][0] - overall) < 1e-9  # nothing but the prior speaks for a document that is alone
+
+
 def test_quality_of_odd_rows(spark, make_docs, odd_rows):
     docs = make_docs(odd_rows).withColumn("_accepted", F.lit("clash")).withColumn("source", F.when(F.col("doc_id") > 3, F.col("source")))
     labels = spark.createDataFrame([(i, int(i % 2), None) for i in range(100, 130)] + [(None, 1, 0), (1, None, 1)], "doc_id bigint, quality int, toxic int")
@@ -538,6 +574,45 @@ def test_licences(make_docs, odd_rows):
     assert license_scan.license_report(make_docs([])).count() == 0
 
 
+def brute_licences(rows, templates=license_scan.TEMPLATES):
+    """(doc, labels, score) by looking at every place of every template."""
+    docs = [(i, words_of(t)) for i, t in rows]
+    holding = Counter(w for _, words in docs for w in set(words))
+    idf = lambda w: math.log((1 + len(docs)) / (1 + holding[w])) + license_scan.LEAST_WEIGHT
+    out = Counter()
+    for i, w in docs:
+        labels, best = set(), 0.0
+        for t in templates:
+            words, key = t.text.split(), t.key.split()
+            first = next(k for k in range(len(words)) if words[k : k + len(key)] == key)
+            rare = sorted(range(first, first + len(key)), key=lambda k: (-idf(words[k]), k))[: license_scan.RARE_WORDS]
+            for start in range(-len(words), len(w)):
+                at = lambda k: w[start + k] if 0 <= start + k < len(w) else None  # noqa: B023, E731
+                if any(at(k) != words[k] for k in [*rare, *range(first, first + len(key))]):
+                    continue
+                score = min(1.0, sum(idf(x) for k, x in enumerate(words) if at(k) == x) / sum(map(idf, words)))
+                if t.base or score >= license_scan.LEAST_SCORE:
+                    labels.add(t.label)
+                    best = max(best, score)
+        out[(i, ",".join(sorted(labels)), round(best, 9))] += 1
+    return out
+
+
+def test_licence_labels_and_scores(make_docs, odd_rows):
+    rng = random.Random(12)
+    paragraphs = [t.text for t in license_scan.PARAGRAPHS]
+    rows = list(odd_rows)
+    for n, text in enumerate(paragraphs):
+        w = text.split()
+        changed = [x if rng.random() > 0.15 else "other" for x in w]
+        rows += [(5000 + 10 * n, "x " * rng.randrange(9) + text + " and more"), (5001 + 10 * n, " ".join(changed)), (5002 + 10 * n, " ".join(w[: len(w) // 3])), (5003 + 10 * n, " ".join(w[len(w) // 2 :]))]
+        rows += [(5004 + 10 * n, " ".join(rng.sample(w, len(w))) + " mit license")]
+    rows += [(6000, " ".join(paragraphs)), (6001, "the license the license apache license the")]
+    got = Counter((r.doc_id, r.labels, round(r.score, 9)) for r in license_scan.license_report(make_docs(rows)).collect())
+    assert got == brute_licences(rows)
+    assert {x for i, labels, _ in got if i is not None and 5000 <= i < 6000 and i % 10 == 0 for x in labels.split(",")} >= {"mit", "bsd", "isc", "apache", "mpl", "zlib", "boost", "unlicense"}
+
+
 # --- 10 secrets -----------------------------------------------------------------------------------
 
 
