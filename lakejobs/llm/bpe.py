@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakejobs.llm.lexicon import Lexicon, compile_lexicon
-from lakejobs.llm.tables import kept, with_field
+from lakejobs.llm.tables import kept, lean, with_field
 from lakejobs.llm.textbytes import slices, text_bytes
 
 LEXICON_WORDS = 200_000  # words in the lexicon at most
@@ -200,7 +200,7 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
                     yield from drain()
         yield from drain()
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n bigint")
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "word string, n bigint")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -257,7 +257,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: bytes | None = None, text_c
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], [*part.schema.names, ids_col])
 
     docs = docs.drop(ids_col)
-    return docs.mapInArrow(run, with_field(docs, ids_col, "binary"))
+    return docs.mapInArrow(lean(run), with_field(docs, ids_col, "binary"))
 
 
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -277,4 +277,4 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: s
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col])
 
     encoded = encoded.drop(text_col)
-    return encoded.mapInArrow(run, with_field(encoded, text_col, "string"))
+    return encoded.mapInArrow(lean(run), with_field(encoded, text_col, "string"))

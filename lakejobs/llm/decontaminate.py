@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakejobs.llm.tables import from_files, kept, numbered, small_side, with_row, without_rows
+from lakejobs.llm.tables import from_files, kept, lean, numbered, small_side, with_row, without_rows
 from lakejobs.llm.textbytes import grams, slices, text_bytes, window_minima, words
 
 WINDOW = 10
@@ -87,7 +87,7 @@ def _with_seeds(df: DataFrame, text_col: str, window, gram, short, only_short=Fa
 
     kind = df.schema["_id"].dataType.simpleString()
     return df.select("_row", "_id", F.col(text_col).alias("_text")).mapInArrow(
-        run, f"_row bigint, _id {kind}, n_words bigint, seeds {_SEED}"
+        lean(run), f"_row bigint, _id {kind}, n_words bigint, seeds {_SEED}"
     )
 
 
@@ -170,7 +170,7 @@ def contamination(
     )
     kind = docs.schema[id_col].dataType.simpleString()
     ranges = joined.mapInArrow(
-        _extended(window, gram), f"_row bigint, _id {kind}, n_words bigint, item_id string, start bigint, end bigint"
+        lean(_extended(window, gram)), f"_row bigint, _id {kind}, n_words bigint, item_id string, start bigint, end bigint"
     )
     hit = F.col("start").isNotNull()
     # What is gathered per document is bounded by its own words and by the items.

@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakejobs.llm.components import components
-from lakejobs.llm.tables import Beside, beside_scan, by_part, from_files, kept, numbered, stored, without_rows
+from lakejobs.llm.tables import Beside, beside_scan, by_part, from_files, kept, lean, numbered, stored, without_rows
 from lakejobs.llm.textbytes import grams, mix, slices, text_bytes, words
 
 GRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9995  # of pairs at the threshold; more similar ones are found more surely
 BLOCK = 256  # members of a block, about
+BLOCK_GRAMS = 400_000  # distinct n-grams of its members together, about, or one longer text
 CELL_ROWS = 200_000
 COLUMNS = 4096  # n-grams compared at a time
 
@@ -62,6 +63,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.n
     return row[new], hashes[new]
 
 
+def _sets_in_slices(data: np.ndarray, offsets: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`shingle_sets` of many texts, a slice of them at a time; only the sets are held."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for a, b in slices(offsets):
+        row, hashes = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], gram)
+        found.append((row + a, hashes))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
     return total[bounds[1:]] - total[bounds[:-1]]
@@ -134,8 +144,7 @@ def _blocks(rows: pa.Table, gram: int) -> tuple[dict, dict]:
     for side in (True, False):
         part = rows.filter(pa.compute.equal(rows.column("left"), side)).combine_chunks()
         texts = pa.concat_arrays(part.column("_text").chunks) if part.num_rows else pa.array([], pa.string())
-        data, offsets = text_bytes(texts)
-        row, hashes = shingle_sets(data, offsets, gram)
+        row, hashes = _sets_in_slices(*text_bytes(texts), gram)
         matrix = lambda name: np.array(part.column(name).to_pylist() or [[0]], np.int64)[: part.num_rows]  # noqa: E731, B023
         sides.append({
             "n": part.num_rows, "row": row, "hashes": hashes, "size": np.bincount(row, minlength=part.num_rows),
@@ -231,7 +240,7 @@ def similar_groups(
     kind = docs.schema[id_col].dataType.simpleString()
     signed = stored(
         source.select("_row", "_id", "_text").mapInArrow(
-            _signatures(gram, bands, rows), f"_row bigint, _id {kind}, one bigint, two bigint, grams bigint, bands array<bigint>"
+            lean(_signatures(gram, bands, rows)), f"_row bigint, _id {kind}, one bigint, two bigint, grams bigint, bands array<bigint>"
         ),
         "signatures",
     )
@@ -241,31 +250,32 @@ def similar_groups(
 
     # Candidate buckets of representatives.
     lone = signed.where("grams > 0").join(classes.select(F.col("rep").alias("_row"), "members"), "_row")
-    entries = lone.select(F.col("_row").alias("rep"), F.explode("bands").alias("bucket"))
+    entries = lone.select(F.col("_row").alias("rep"), "grams", F.explode("bands").alias("bucket"))
     buckets = stored(
         entries.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sum"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("sum2"))
+        .agg(F.count("*").alias("n"), F.sum("grams").alias("grams"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sum"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("sum2"))
         .where("n > 1"),
         "buckets",
     )
     # Buckets with the same members are one: the smallest of them.
     canon = buckets.groupBy("n", "sum", "sum2").agg(F.min("bucket").alias("canon"))
-    named = buckets.join(canon, ["n", "sum", "sum2"]).select("bucket", "canon", "n")
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks")
+    named = buckets.join(canon, ["n", "sum", "sum2"]).select("bucket", "canon", blocks)
     hits = lone.select(F.col("_row").alias("rep"), "members", F.posexplode("bands").alias("band", "bucket")).join(named, "bucket")
     candidates = (
         hits.groupBy("rep", "members")
-        .agg(F.collect_list(F.struct("band", "bucket", "canon", "n")).alias("hits"))  # <= bands
+        .agg(F.collect_list(F.struct("band", "bucket", "canon", "blocks")).alias("hits"))  # <= bands
         .select(
             F.col("rep").alias("_row"), "members",
             F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.coalesce(F.get(F.filter("hits", lambda h: h["band"] == b), F.lit(0))["bucket"], F.col("rep") * 64 + b)).alias("bands"),
             F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.coalesce(F.get(F.filter("hits", lambda h: h["band"] == b), F.lit(0))["canon"], F.lit(0).cast("bigint"))).alias("canon"),
-            F.array_distinct(F.transform("hits", lambda h: F.struct(h["canon"].alias("cell"), F.ceil(h["n"] / block).cast("int").alias("blocks")))).alias("cells"),
+            F.array_distinct(F.transform("hits", lambda h: F.struct(h["canon"].alias("cell"), h["blocks"]))).alias("cells"),
         )
     )
 
     # Members of each pair of blocks, with their texts, which are read where the documents are scanned.
     wide = source.select("_row", "_text").mapInArrow(
-        _with_texts(beside_scan(candidates, "candidates")),
+        lean(_with_texts(beside_scan(candidates, "candidates"))),
         "rep bigint, members bigint, bands array<bigint>, canon array<bigint>, _text string, cells array<struct<cell:bigint,blocks:int>>",
     )
     each = wide.select("rep", "members", "bands", "canon", "_text", F.explode("cells").alias("c")).withColumn("own", F.pmod(F.xxhash64("rep", "c.cell"), F.col("c.blocks")).cast("int"))
@@ -277,7 +287,7 @@ def similar_groups(
         "cell", "p.i", "p.j", "p.left", "rep", "members", "bands", "canon", "_text"
     )
     dealt = cells.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    found = kept(dealt.mapInArrow(_verify(gram, threshold), "rep bigint, links bigint, tied bigint"))
+    found = kept(dealt.mapInArrow(lean(_verify(gram, threshold)), "rep bigint, links bigint, tied bigint"))
 
     tied = components(found.select(F.col("rep").alias("a"), F.col("tied").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

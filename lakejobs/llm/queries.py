@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakejobs.llm import bpe, centroids, decontaminate, exact_dedup, filter_audit, hnsw, jaccard, license_scan, lmscore, quality, secret_scan, suffix, warc
+from lakejobs.llm.tables import bounded_batches
 from lakejobs.plans.registry import table
 from lakejobs.session import scratch_path
 
@@ -18,7 +20,12 @@ ORACLES: dict[str, str] = {}
 
 def _query(sql: str | None = None):
     def add(function):
-        QUERIES[function.__name__] = function
+        @wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bounded_batches(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[function.__name__] = run
         if sql is not None:
             ORACLES[function.__name__] = sql
         return function

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakejobs.llm.tables import Beside, beside_scan, by_part, from_files, numbered, stored
+from lakejobs.llm.tables import Beside, beside_scan, by_part, from_files, lean, numbered, stored
 from lakejobs.llm.textbytes import SLICE_BYTES, Spans, mix, slices, text_bytes, window_minima
 
 LENGTH = 400
@@ -312,7 +312,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     if length < KGRAM:
         raise ValueError(f"length must be at least {KGRAM}")
     source = numbered(from_files(docs).select(F.col(text_col).alias("_text"))).select("_row", "_text")
-    return _spans_of(source, stored(source.mapInArrow(_segments(length), _SEGMENT), "segments"), length, keep_first, 0)
+    return _spans_of(source, stored(source.mapInArrow(lean(_segments(length)), _SEGMENT), "segments"), length, keep_first, 0)
 
 
 _SEGMENT = "_row bigint, x bigint, starts int, h bigint, one bigint, two bigint"
@@ -334,15 +334,15 @@ def _spans_of(source: DataFrame, segments: DataFrame, length: int, keep_first: b
     mixed = groups.join(buckets, "h")
     if level < LEVELS and not buckets.where(F.col("kinds") > BLOCK_SEGMENTS).isEmpty():
         path = _wanted(mixed.where(F.col("kinds") > BLOCK_SEGMENTS))
-        divided = stored(source.mapInArrow(_divided(length, level + 1, path), _SEGMENT), "divided")
+        divided = stored(source.mapInArrow(lean(_divided(length, level + 1, path)), _SEGMENT), "divided")
         spans = spans.unionByName(_spans_of(source, divided, length, keep_first, level + 1))
         mixed = mixed.where(F.col("kinds") <= BLOCK_SEGMENTS)
     texts = source.mapInArrow(
-        _cut(length, _wanted(mixed)), "h bigint, block int, split boolean, twice boolean, x bigint, starts int, _row bigint, bytes binary"
+        lean(_cut(length, _wanted(mixed))), "h bigint, block int, split boolean, twice boolean, x bigint, starts int, _row bigint, bytes binary"
     )
     solved = stored(
         texts.repartition("h", "block").sortWithinPartitions("h", "block")
-        .mapInArrow(_matches(length, keep_first), "_row bigint, start bigint, end bigint, one bigint, two bigint"),
+        .mapInArrow(lean(_matches(length, keep_first)), "_row bigint, start bigint, end bigint, one bigint, two bigint"),
         "matches",
     )
     within = solved.where("one is null").select("_row", "start", "end")
@@ -411,5 +411,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     source = numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).select("_row", "_id", "_text")
     kind = docs.schema[id_col].dataType.simpleString()
     return source.mapInArrow(
-        _without(path), f"_row bigint, _id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+        lean(_without(path)), f"_row bigint, _id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
     ).withColumnRenamed("_id", id_col)
