@@ -317,10 +317,10 @@ def j8_status_stream(spark, sf_dir):
     clock = F.timestamp_seconds(F.col("id") * 60 + 86400)
     jobs = derived.jobs(spark, sf_dir).select("id", "childid", clock.alias("ts"))
     tracker = derived.tracker(spark, sf_dir).withColumn("ts", clock + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") % 7).cast("int")))
-    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("id", "bigint"), ("childid", "bigint"), ("runState", "int"))]
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("childid", "bigint"), ("runState", "int"))]
     # One join's last rows reach the next one with the first of these, and are given with the second.
-    ends = [jobs.agg(F.max("ts").alias("ts")).select(*none, (F.col("ts") + F.expr(f"INTERVAL {n} DAYS")).alias("ts")) for n in (1, 2)]
+    ends = [jobs.agg(F.max("ts").alias("ts")).select(F.lit(-n).cast("bigint").alias("id"), *none, (F.col("ts") + F.expr(f"INTERVAL {n} DAYS")).alias("ts")) for n in (1, 2)]
     late = F.pmod(F.xxhash64("id"), F.lit(15 * 60))
     sides = [(side, F.unix_seconds("ts") + late) for side in (jobs, tracker)]
     status = _replayed(spark, sides, ends, lambda j, t: status_stream(j, t, "10 minutes", "15 minutes"), "j8_status")[0]
-    return status.where("id IS NOT NULL").select("id", "statusId", "parentId", "runState", "problem")
+    return status.where("id >= 0").select("id", "statusId", "parentId", "runState", "problem")

@@ -14,7 +14,8 @@ def status_stream(jobs: DataFrame, tracker: DataFrame, within: str, delay: str)
     ``jobs`` are (id, childid, ts, ..), ``tracker`` rows (id, ts, ..), at most one per id. A job is answered by tracker rows seen at most
     ``within`` before or after it, so both sides' state is bounded by that time and ``delay``, by which
     rows may come late. A job that finds none is given with nulls once both watermarks have passed what could
-    still answer it. Null ids and times find nothing; null times are never given.
+    still answer it. Rows without a time are never given, and
+    those without an id may not be seen at all: their times do not move the watermarks.
     """
     state = [c for c in tracker.columns if c not in ("id", "ts")]
     looked = jobs.withColumn("_wanted", F.coalesce("childid", "id")).withWatermark("ts", delay)

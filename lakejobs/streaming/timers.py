@@ -59,9 +59,13 @@ class _Silence(StatefulProcessor):
                 yield Row(job_id=key[0], silent_since=last)
             over = over or exit_at is not None
             last = end
+        now = timerValues.getCurrentWatermarkInMs()
+        if not over and not told and self._due(last, told, over) <= now:  # its windows up to now are all here
+            told = True
+            yield Row(job_id=key[0], silent_since=last)
         self.job.update((last, told, over))
         if known is None:
-            _timer(self.handle, self._due(last, told, over), timerValues.getCurrentWatermarkInMs())
+            _timer(self.handle, self._due(last, told, over), now)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         last, told, over = self.job.get()
