@@ -18,6 +18,15 @@ BASE = datetime(2024, 1, 1, tzinfo=timezone.utc)
 START = int(BASE.timestamp() * 1_000_000)
 
 
+@pytest.fixture(autouse=True)
+def few_stores(spark):
+    """Small streams: one state store per operator instead of several."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 class Replay:
     """A stream of batches given one after the other; the query stops and goes on from its checkpoint in between."""
 
