@@ -10,24 +10,13 @@ by their whole texts instead. All steps are DataFrame operations in the JVM.
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lakejobs.llm.tables import free_name, from_files, kept
-from lakejobs.session import scratch_path
-
-# State beside the heap; many small stores must not reserve disk ahead of what they hold.
-_STATE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    # All stores of an executor share this much beside the heap, however many partitions there are.
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
-    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
-}
+from lakejobs.session import on_disk_state, scratch_path
 
 
 def normalised(text: Column) -> Column:
@@ -89,18 +78,6 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     )
 
 
-@contextmanager
-def on_disk_state(spark: SparkSession):
-    before = {name: spark.conf.get(name, None) for name in _STATE}
-    for name, value in _STATE.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
-
-
 def exact_groups(
     docs: DataFrame,
     id_col: str = "doc_id",

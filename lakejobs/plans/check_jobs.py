@@ -10,7 +10,7 @@ from lakejobs.operators.intervals import overlaps, peak
 from lakejobs.operators.trees import job_roots
 from lakejobs.plans import derived
 from lakejobs.plans.registry import ORACLES, check, table
-from lakejobs.session import ensure_checkpoints, scratch_path
+from lakejobs.session import ensure_checkpoints, on_disk_state, scratch_path, state_stores
 from lakejobs.streaming.live import status_stream
 from lakejobs.streaming.progress import outcome_stream, progress_stream, read_outcomes, read_progress, write_progress
 from lakejobs.streaming.timers import expiry_stream, silent_jobs
@@ -269,14 +269,16 @@ def _replayed(spark, arrivals, ends, build, label, parts=4):
     for df, arrival in arrivals:
         sources.append(scratch_path(spark, f"{label}_source"))
         placed.append((df.withColumn("_arrival", arrival).checkpoint(), df.columns, df.schema))
-    bounds = [p.agg(F.min("_arrival"), F.max("_arrival")).first() for p, _, _ in placed]
+    bounds = [p.agg(F.min("_arrival"), F.max("_arrival"), F.count("*")).first() for p, _, _ in placed]
+    stores = state_stores(spark, sum(b[2] for b in bounds))
     low, high = (f(b[i] or 0 for b in bounds) for i, f in enumerate((min, max)))
     for i in range(parts + len(ends)):
         for path, (df, columns, _) in zip(sources, placed):
             new = ends[i - parts] if i >= parts else df.where(F.floor((F.col("_arrival") - low) * parts / (high - low + 1)) == i)
             new.select(*columns).write.mode("append").parquet(path)
         stream = build(*[spark.readStream.schema(schema).parquet(path) for path, (_, _, schema) in zip(sources, placed)])
-        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+        with on_disk_state(spark, spark__sql__shuffle__partitions=stores):
+            stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out), checkpoint
 
 
