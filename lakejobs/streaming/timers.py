@@ -7,8 +7,10 @@ gives what a live run gave.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +20,9 @@ from lakejobs.operators.jobs import COMPLETED, MAX_AGE_MS
 KEEP_ALIVE_MS = 60_000  # fixed value: a running job says something at least this often
 FORGET_MS = MAX_AGE_MS
 
+# Spark also opens the processors in a Python process of the driver, which knows neither the driver's module path nor files added.
+register_pickle_by_value(sys.modules[__name__])
+
 
 def _timer(handle: StatefulProcessorHandle, due: int, now: int) -> None:
     """A timer that fires once the watermark is ``due``, or moves if it is that already; it may fire a little early."""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakejobs.operators.jobs import job_status
-from lakejobs.session import scratch_path
+from lakejobs.session import scratch_path, state_stores
 from lakejobs.streaming.live import status_stream
 from lakejobs.streaming.timers import expiry_stream, silent_jobs, state_rows
 
@@ -195,3 +195,49 @@ def test_state_after_the_registered_streams_is_bounded(spark, sf_dir, name, monk
         assert left == jobs.where(F.col("created") >= check_jobs.NOW_MS - 7 * 86_400_000).count()
     else:
         assert left <= derived.job_beats(spark, sf_dir).select("job_id").distinct().count()
+
+
+# --- sessions of others ---------------------------------------------------------------------------
+
+
+def test_processors_open_where_the_package_is_not_installed():
+    """Spark opens them in a Python process of the driver that knows only pyspark."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from lakejobs.streaming import timers
+
+    given = cloudpickle.dumps([timers._Silence(60_000, 30_000, 1), timers._Retention(1)])
+    look = "import pickle, sys; print(len(pickle.loads(sys.stdin.buffer.read())), 'lakejobs' in sys.modules)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", look], input=given, capture_output=True, cwd="/", env=env)
+    assert said.stdout.split() == [b"2", b"False"], said.stderr
+
+
+def test_registered_streams_in_a_session_with_state_on_the_heap(spark, sf_dir, monkeypatch):
+    """Timers need RocksDB, whatever the session names, and few rows few stores."""
+    import os
+
+    from lakejobs.plans import check_jobs
+
+    name, kept, plain = "spark.sql.streaming.stateStore.providerClass", [], check_jobs._replayed
+    monkeypatch.setattr(check_jobs, "_replayed", lambda *a, **k: kept.append(plain(*a, **k)) or kept[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        assert check_jobs.j11_silent_jobs(spark, sf_dir).count()
+        assert "HDFSBacked" in spark.conf.get(name) and spark.conf.get("spark.sql.shuffle.partitions") == "40"
+        assert len([d for d in os.listdir(f"{kept[0][1].removeprefix('file:')}/state/0") if d.isdigit()]) == 8
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_state_stores_grow_with_the_rows(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    assert [state_stores(spark, n) for n in (0, 10_000, 1_000_000, 10**9)] == [8, 8, 20, 200]
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    assert state_stores(spark, 10**9) == 3
