@@ -39,14 +39,19 @@ def pack_lists(
     # Lists do not shrink when they are half built, so rows are shuffled as they are.
     packed = _collect(small.repartition("_key").withColumn("_piece", F.lit(0))).withColumn("first_pos", F.lit(0).cast("long"))
     if big is not None:
+        # Pieces are of a task's size, however small the parts are that they are cut into.
+        pieces = range_pieces(big, ["_key", "_order"], size, max(max_list_bytes, PART_BYTES))
+        upto = F.sum(weight).over(W.partitionBy("_key", "_piece").orderBy("_order", "_item").rowsBetween(W.unboundedPreceding, W.currentRow))
+        cut = pieces.withColumn("_piece", F.struct("_piece", F.floor((upto - weight) / max_list_bytes).alias("_cut")))
         # Written once: positions must count the very parts that come out.
-        parts = _collect(range_pieces(big, ["_key", "_order"], size, max_list_bytes)).checkpoint()
-        before = W.partitionBy("_key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        parts = _collect(cut).checkpoint()
+        by_place = W.partitionBy("_key").orderBy("part")
         places = parts.select("_key", "part", "n_items").select(
-            F.col("_key").alias("_k"), F.col("part").alias("_p"), F.coalesce(F.sum("n_items").over(before), F.lit(0)).alias("first_pos")
-        )
+            F.col("_key").alias("_k"), F.col("part").alias("_p"), (F.row_number().over(by_place) - 1).alias("_part"),
+            F.coalesce(F.sum("n_items").over(by_place.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first_pos"),
+        )
         same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("part") == F.col("_p"))
-        packed = packed.unionByName(parts.join(places, same).drop("_k", "_p"))
+        packed = packed.unionByName(parts.join(places, same).drop("_k", "_p").withColumn("part", F.col("_part")).drop("_part"))
     return packed.select(F.col("_key").alias(key), "part", "first_pos", "n_items", F.col("list").alias(out))
 
 

@@ -82,6 +82,22 @@ def test_long_list_comes_in_parts(spark):
     ]
 
 
+def test_small_parts_do_not_make_small_tasks(spark, monkeypatch):
+    from lakejobs.operators import lists
+
+    pieces, plain = [], lists.range_pieces
+    monkeypatch.setattr(lists, "range_pieces", lambda *a: pieces.append(plain(*a)) or pieces[-1])
+    df = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), "id", F.concat(F.lit("x,"), "id").alias("v"))
+    packed = pack_lists(df, "k", "v", "id", max_list_bytes=100)
+    rows = packed.collect()
+    assert len(rows) > 500 and max(len(r.list) for r in rows) < 200
+    for k in (None, 1, 2):
+        mine = sorted((r.part, r.first_pos, r.n_items) for r in rows if r.k == k)
+        assert [m[0] for m in mine] == list(range(len(mine))) and all(a[1] + a[2] == b[1] for a, b in zip(mine, mine[1:]))
+    assert sorted((r.k or 0, r.pos, r.item) for r in unpack_lists(packed, "list").collect()) == [(i % 3, i // 3, f"x,{i}") for k in range(3) for i in range(k, 4000, 3)]
+    assert pieces[0].rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
 def test_is_set(spark):
     schema = "i int, s string, a array<int>, m map<string,int>"
     rows = [(1, "x", [1], {"k": 1}), (2, "", [1], {"k": 1}), (3, "x", [], {"k": 1}), (4, "x", [1], {}), (5, None, None, None)]
