@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lakejobs.session import ensure_checkpoints
 from lakejobs.sources.spec import quote_name
 
+HOT_JUMPS = 100_000  # jobs that point at one ancestor, of which there are at most all jobs over so many
+
 
 def job_roots(jobs: DataFrame, id: str = "id", parent: str = "parent") -> DataFrame:
     """(id, root, depth, size) of every job, from (id, parent) rows.
@@ -19,7 +21,7 @@ def job_roots(jobs: DataFrame, id: str = "id", parent: str = "parent") -> DataFr
     Pointers are doubled: after round k every job knows its ancestor 2**k levels up, how far it has looked, and the jobs less
     than 2**k levels below it. Jobs that have reached their root are done. A round that finishes none leaves only circles,
     since above a deeper job there is one of every depth. Sums over the jobs below one ancestor are added up per
-    task before the shuffle, and the join of many jobs to one ancestor is an ordinary join that AQE splits.
+    task before the shuffle, and ancestors of more than :data:`HOT_JUMPS` jobs are sent to these instead of joined by a shuffle.
     """
     ensure_checkpoints(jobs.sparkSession)
     pairs = jobs.select(F.col(quote_name(id)).alias("id"), F.col(quote_name(parent)).alias("parent")).where("id is not null").groupBy("id").agg(F.min("parent").alias("parent"))
@@ -40,11 +42,17 @@ def job_roots(jobs: DataFrame, id: str = "id", parent: str = "parent") -> DataFr
 
 
 def _doubled(state: DataFrame) -> DataFrame:
-    below = state.where("jump is not null").groupBy("jump").agg(F.sum("size").alias("_more"))
-    grown = state.join(below.withColumnRenamed("jump", "_at"), F.col("id") == F.col("_at"), "left")
+    sums = state.where("jump is not null").groupBy("jump").agg(F.sum("size").alias("_more"), F.count("*").alias("_jumps"))
+    below = sums.withColumnRenamed("jump", "_at").checkpoint()
+    grown = state.join(below.drop("_jumps"), F.col("id") == F.col("_at"), "left")
     ahead = state.select(F.col("id").alias("_to"), F.col("jump").alias("_jump"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
     size = (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size")
     # Done jobs stay out of the join: most of them point at few roots.
     done = grown.where("jump is null").select("id", "jump", "root", "depth", size)
-    moved = grown.where("jump is not null").join(ahead, F.col("jump") == F.col("_to"))
+    moving = grown.where("jump is not null")
+    # Nor do many jobs above one circle or ancestor meet in one task: such ancestors are few and go to the jobs.
+    hot = F.broadcast(below.where(F.col("_jumps") > HOT_JUMPS).select(F.col("_at").alias("_hot")))
+    to_hot = moving.join(F.broadcast(ahead.join(hot, F.col("_to") == F.col("_hot"), "left_semi")), F.col("jump") == F.col("_to"))
+    to_rest = moving.join(hot, F.col("jump") == F.col("_hot"), "left_anti").join(ahead, F.col("jump") == F.col("_to"))
+    moved = to_hot.unionByName(to_rest)
     return done.unionByName(moved.select("id", F.col("_jump").alias("jump"), F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), size))

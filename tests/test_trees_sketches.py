@@ -70,6 +70,17 @@ def test_a_star_takes_one_round(spark, monkeypatch):
     assert got[0] == (0, 0, 400) and got[7] == (0, 1, 1) and len(rounds) == 1
 
 
+def test_many_jobs_above_one_ancestor_are_not_dealt_by_it(spark, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(trees, "HOT_JUMPS", 20)
+    states, plain = [], trees._doubled
+    monkeypatch.setattr(trees, "_doubled", lambda state: states.append(plain(state)) or states[-1])
+    pairs = [(0, 1), (1, 0), (2, None)] + [(i, rng.choice([0, 1, 2, 3, rng.randrange(i)])) for i in range(3, 400)]
+    assert roots(spark, pairs) == brute_roots(pairs)
+    plan = states[0]._jdf.queryExecution().toString()
+    assert "LeftAnti" in plan and "BroadcastHashJoin [jump" in plan
+
+
 # --- sketches -------------------------------------------------------------------------------------
 
 COLUMNS = (Column("id", "bigint"), Column("price", "double"), Column("name", "string"), Column("day", "date"), Column("tags", "array<string>"))
