@@ -191,3 +191,11 @@ def test_hot_status_keys_are_split_by_aqe(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_a_written_table_is_not_counted_bucket_by_bucket(spark, sf_dir):
+    """Else as many tasks as there are buckets hold all orders."""
+    from lakejobs.plans.check_sources import s9_write_table
+
+    plan = s9_write_table(spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Bucketed: true" not in plan and "REPARTITION_BY_NUM" in plan
