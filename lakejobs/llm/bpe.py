@@ -12,6 +12,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +106,12 @@ class Vocabulary:
 _NONE = 1 << 60
 
 
+@lru_cache(maxsize=1)
+def _vocabulary(path: str) -> Vocabulary:
+    """One per worker, kept for its next task."""
+    return Vocabulary(path)
+
+
 class Splitter:
     """Words of a text. Characters above U+00FF take their class from the tokenizer's own tables."""
 
@@ -138,7 +145,7 @@ class Encoder:
     """Ids of texts as packed little-endian integers; what it remembers is bounded."""
 
     def __init__(self, path: str, block: bytes | None):
-        self.vocabulary, self.splitter = Vocabulary(path), Splitter(path)
+        self.vocabulary, self.splitter = _vocabulary(path), Splitter(path)
         self.lexicon = Lexicon.mapped(block) if block else None
         self.latin, self.other = _Memo(self, "latin-1"), _Memo(self, None)
 
@@ -180,7 +187,7 @@ def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
     """(word, n) over all documents; a task adds up its own words before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, vocabulary = Splitter(tokenizer), Vocabulary(tokenizer)
+        splitter, vocabulary = Splitter(tokenizer), _vocabulary(tokenizer)
         latin, other = Counter(), Counter()
 
         def drain():
@@ -260,21 +267,32 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: bytes | None = None, text_c
     return docs.mapInArrow(lean(run), with_field(docs, ids_col, "binary"))
 
 
+def _decoded(ids: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The texts of packed ids: the bytes of all their tokens one after the other, cut where a text ends."""
+    flat = pa.concat_arrays([ids.fill_null(b"")])
+    ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1]
+    numbers = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view("<u4")
+    taken = tokens.take(pa.array(numbers))
+    starts = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
+    cuts = starts[(ends - ends[0]) // 4].astype(np.int32)
+    joined = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(cuts), taken.buffers()[2] or pa.py_buffer(b"")])
+    try:
+        return joined.cast(pa.string())
+    except pa.ArrowInvalid:  # broken UTF-8 in one of them
+        return pa.array([t.as_py().decode("utf-8", "replace") for t in joined], pa.string())
+
+
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids in ``text_col``; null ids give empty text, broken UTF-8 U+FFFD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = Vocabulary(tokenizer).bytes.__getitem__
+        tokens = pa.array(_vocabulary(tokenizer).bytes, pa.binary())
         for batch in batches:
             ids = batch.column(ids_col)
             offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
             for a, b in slices(offsets.astype(np.int64)):
                 part = batch.slice(a, b - a)
-                texts = [
-                    b"".join(map(token, np.frombuffer(i.as_py() or b"", "<u4").tolist())).decode("utf-8", "replace")
-                    for i in part.column(ids_col)
-                ]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, text_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part.column(ids_col), tokens)], [*part.schema.names, text_col])
 
     encoded = encoded.drop(text_col)
     return encoded.mapInArrow(lean(run), with_field(encoded, text_col, "string"))

@@ -122,6 +122,20 @@ def test_bpe_is_the_librarys(spark, make_docs, odd_rows):
         assert set(docs.columns) <= set(decoded.columns)
 
 
+def test_decoding_goes_on_from_any_place_and_over_broken_bytes():
+    import pyarrow as pa
+
+    from lakejobs.llm import bpe
+
+    tokens = [b"", b"ab", "\u00e9".encode(), b"\xe2\x82", b"\xac", b"c"]
+    rows = [None, [], [1, 5], [2], [3, 4], [3, 5], [0], [4, 1], None, [5]]
+    packed = pa.array([None if r is None else np.array(r, "<u4").tobytes() for r in rows], pa.binary())
+    expected = [b"".join(tokens[i] for i in r or []).decode("utf-8", "replace") for r in rows]
+    for a in range(len(rows) + 1):
+        for b in range(a, len(rows) + 1):
+            assert bpe._decoded(packed.slice(a, b - a), pa.array(tokens, pa.binary())).to_pylist() == expected[a:b]
+
+
 def test_every_character_as_the_library():
     splitter, lib = bpe.Splitter(queries.tokenizer_path()), library().pre_tokenizer
     for c in [*range(0x2200), *range(0x3000, 0x3100), *range(0x10900, 0x10A00), 0x558, 0x3FC3B]:
