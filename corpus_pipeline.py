@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakejobs.llm import bpe, decontaminate, exact_dedup, jaccard, quality
 from lakejobs.llm.queries import tokenizer_path
-from lakejobs.llm.tables import bounded_batches
+from lakejobs.llm.tables import bounded_batches, hand_back
 from lakejobs.plans.registry import table
 from lakejobs.session import scratch_path
 
@@ -62,6 +63,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ]
 
 
+def _between_stages(spark: SparkSession) -> None:
+    """Let the driver give back what a stage's plans, models and word lists took; nothing of it is used by the next."""
+    gc.collect()
+    hand_back()
+    spark._jvm.System.gc()  # also lets Spark clean up the stage's shuffles and broadcasts
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
@@ -69,4 +77,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        _between_stages(spark)
     return docs

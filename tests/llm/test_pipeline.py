@@ -60,3 +60,14 @@ def test_stages(spark, sf_dir):
         before = spark.read.parquet(path)
     last = stages["tokenise"](spark, before, sf_dir)
     assert last.where("round_trip").count() == before.count() == corpus_pipeline.run(spark, sf_dir).count()
+
+
+def test_the_driver_gives_memory_back_after_every_stage(spark, sf_dir, monkeypatch):
+    import corpus_pipeline
+
+    seen = []
+    same = lambda name: (name, lambda spark, docs, sf_dir: seen.append(name) or docs)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [same("one"), same("two")])
+    monkeypatch.setattr(corpus_pipeline, "hand_back", lambda: seen.append("back"))
+    assert corpus_pipeline.run(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert seen == ["one", "back", "two", "back"]
