@@ -13,8 +13,9 @@ their counts are added up per task first.
 
 :func:`score_held_out` scores documents by the counts of all *other* documents: a document's own
 occurrences are taken off each count before it is used, so an n-gram that stands nowhere else is not held
-and its score backs off. Counts are a table grouped by hash, joined to the exploded n-grams; what is found
-is dealt by document and summed there.
+and its score backs off. The n-grams of a pack of documents are dealt by hash range as sorted differences with the
+pack's counts, counted there over all packs, and those that other packs hold go back to their pack, where a second
+scan of its documents takes off their own occurrences and sums their words' scores.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from lakejobs.llm.tables import kept, small_side, stored, with_row
+from lakejobs.llm.tables import PART_BITS, Beside, beside_scan, by_part, from_files, kept, lean, numbered, read_part, small_side, stored, with_row
 from lakejobs.llm.textbytes import grams, mix, slices, text_bytes, words
+from lakejobs.session import scratch_path
 
 ORDER = 2
 HELD_OUT_ORDER = 3
@@ -37,6 +38,8 @@ ALPHA = 0.4
 HOT_WORDS = 60_000  # single words (or n-grams) whose exact counts are handed to every task
 BUCKET_GRAMS = 2_000_000  # n-gram entries of a hash range, about
 PACK_BYTES = 4 << 20  # text whose n-grams are packed together
+HELD_PACK_BYTES = 8 << 20  # the same where documents are scored by all others
+BYTES_PER_GRAM = 4  # of text, for each distinct n-gram of a pack and size, about
 HOT_SHARE = 8  # an n-gram held by more than one in so many packed documents is added up per pack first
 MICRO = 1_000_000  # scores are summed as integers, so the order of adding does not matter
 
@@ -389,94 +392,262 @@ def score_corpus(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", te
 
 # --- documents scored by all other documents ------------------------------------------------------
 
-_SIZE_BITS = 4  # of a place: (index of the n-gram's last word, its size); -1 is the document itself
+# A row is a pack's n-grams in one hash range (first, bucket, count, block: how often the pack holds each, and
+# after counting what all other packs together hold of them), or the pack itself (first, docs, words).
+_HELD = {
+    "bucket": ("int", pa.int32()), "first": ("bigint", pa.int64()), "count": ("int", pa.int32()), "block": ("binary", pa.binary()),
+    "docs": ("bigint", pa.int64()), "words": ("bigint", pa.int64()),
+}
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Columns of equal length as one block: first all lowest bytes, then all next ones; most higher bytes are zeros."""
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).tobytes() for c in columns]
+    return _ZSTD.compress(b"".join(planes), asbytes=True)
+
+
+def _unsqueezed(block: bytes, count: int, *kinds: str) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    data = np.frombuffer(_ZSTD.decompress(block, count * sum(sizes)), np.uint8)
+    cuts = np.cumsum([0, *sizes]) * count
+    return [np.ascontiguousarray(data[a:b].reshape(-1, count).T).view(k).ravel() for a, b, k in zip(cuts, cuts[1:], kinds)]
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """The first value and the differences (modulo the type) to the next ones; ``np.cumsum`` undoes it."""
+    steps = ascending.copy()
+    steps[1:] -= ascending[:-1]
+    return steps
+
 
+def _sorted_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of non-negative ``keys``, and the keys in that order."""
+    bits = max(len(keys) - 1, 1).bit_length()
+    if len(keys) and int(keys.max()) >> (63 - bits) == 0:  # one sort of numbers, the places in their low bits
+        both = np.sort(keys << bits | np.arange(len(keys)))
+        return both & ((1 << bits) - 1), both >> bits
+    order = np.argsort(keys, kind="stable")
+    return order, keys[order]
 
-def _places(order: int, hot, id_type: pa.DataType):
-    """(_row, place, h, own, n, _id): n-grams that wait for their count, with the document's own occurrences.
 
-    Where the count of the other documents is known already, ``n`` is that count and ``own`` is null, as
-    in a document's line, whose ``n`` is its words; ``h`` then only spreads the rows.
+def _by_high_bits(hashes: np.ndarray) -> np.ndarray:
+    """An order of ``hashes`` that is ascending but for those whose high bits are equal, which stay in order of place."""
+    low = np.uint64((1 << max(len(hashes) - 1, 1).bit_length()) - 1)
+    return (np.sort((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)) & low).astype(np.int64)
+
+
+def _changes(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before; the first does."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_columns])
+    return new
+
+
+class _Pack:
+    """The n-grams of 1 to ``order`` words of a few whole documents.
+
+    ``sizes`` has per size, for each n-gram in order of place: the index of its first word, its number among
+    the pack's distinct n-grams, and how often its own document holds it; it is left empty without ``own``.
+    ``hashes`` and ``counts`` are those of the distinct n-grams of all sizes.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(row, place, h, own, n, ids) -> pa.RecordBatch:
-            count = len(row)
-            own, n = (pa.nulls(count, pa.int64()) if c is None else pa.array(c) for c in (own, n))
-            ids = pa.nulls(count, id_type) if ids is None else ids
-            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(place), pa.array(h.view(np.int64)), own, n, ids], ["_row", "place", "h", "own", "n", "_id"])
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, order: int, own: bool):
+        parts = []
+        for a, b in slices(offsets):
+            w = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            parts.append((w.hashes, w.row + a, np.diff(w.first)))
+        hashes, self.row, self.n_words = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        self.first = np.cumsum(self.n_words) - self.n_words
+        self.sizes, known, counts, base = [], [], [], 0
+        single = shorter = None
+        for size in range(1, order + 1):
+            h, at = grams(hashes, self.row, size)
+            if size == 1:
+                by = _by_high_bits(h)
+                keys = h[by]
+                if (keys[1:] < keys[:-1]).any():  # different words with equal high bits
+                    by = np.argsort(h, kind="stable")
+                    keys = h[by]
+            else:  # numbers instead of hashes: that of the first words, that of the last one
+                by, keys = _sorted_places(shorter[at] * np.int64(single.max(initial=0) + 1) + single[at + size - 1])
+            new = _changes(keys)
+            heads = np.flatnonzero(new)
+            known.append(h[by[heads]])
+            counts.append(np.diff(np.append(heads, len(by))))
+            if own or size < order:
+                shorter = np.zeros(len(hashes), np.int64)
+                shorter[at[by]] = np.cumsum(new) - 1
+                single = shorter if single is None else single
+            if own:
+                starts = np.flatnonzero(new | _changes(self.row[at[by]]))
+                times, held = np.diff(np.append(starts, len(by))), np.empty(len(by), np.int64)
+                held[by] = np.repeat(times, times)
+                self.sizes.append((at, shorter[at] + base, held))
+            base += len(heads)
+        self.hashes, self.counts = np.concatenate(known), np.concatenate(counts)
+
+    def by_range(self, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The distinct n-grams, about in order of hash, and (bucket, from, to) of each hash range that has any."""
+        by = _by_high_bits(self.hashes)
+        bucket = (self.hashes[by] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+        cuts = np.flatnonzero(_changes(bucket)).tolist()
+        return by, [(int(bucket[a]), a, b) for a, b in zip(cuts, [*cuts[1:], len(by)])]
+
+
+def _held_packs(order: int, buckets: int):
+    """Rows of :data:`_HELD` for runs of documents of one part that follow each other, of :data:`HELD_PACK_BYTES` or one longer text."""
 
-        hot_keys, hot_n = hot.value
-        for batch in batches:
-            numbers = batch.column("_row").to_numpy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            rows, data, offsets = _joined(parts)
+            pack = _Pack(data, offsets, order, own=False)
+            by, ranges = pack.by_range(buckets)
+            h, n, count = pack.hashes[by], pack.counts[by].astype("<i8"), len(ranges)
+            first, spread = int(rows[0]), int(rows[0]) % buckets
+            values = {
+                "bucket": [p for p, _, _ in ranges] + [spread], "first": [first] * (count + 1), "count": [b - a for _, a, b in ranges] + [None],
+                "block": [_squeezed(_steps(h[a:b]), n[a:b]) for _, a, b in ranges] + [None],
+                "docs": [None] * count + [len(rows)], "words": [None] * count + [len(pack.row)],
+            }
+            return _batch(_HELD, values, count + 1)
+
+        parts, size = [], 0
+        for batch in by_part(batches):
+            rows = batch.column("_row").to_numpy()
             data, offsets = text_bytes(batch.column("_text"))
-            for a, b in slices(offsets):
-                w, found = _grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
-                here = numbers[a:b]
-                spread = mix(here.view(np.uint64))
-                yield rows(here, np.full(b - a, -1), spread, None, np.diff(w.first), batch.column("_id").slice(a, b - a))
-                for size, (h, at) in enumerate(found, 1):
-                    row = w.row[at]
-                    place = ((at + size - 1 - w.first[row]) << _SIZE_BITS) | size
-                    _, same, times = np.unique(h + spread[row], return_inverse=True, return_counts=True)
-                    own = times[same]
-                    if len(hot_keys):
-                        slot = np.minimum(np.searchsorted(hot_keys, h), len(hot_keys) - 1)
-                        known = hot_keys[slot] == h
-                        others = hot_n[slot] - own
-                        ready = known & (others > 0)
-                        if ready.any():
-                            yield rows(here[row[ready]], place[ready], mix(spread[row[ready]] + place[ready].view(np.uint64)), None, others[ready], None)
-                        row, place, h, own = row[~known], place[~known], h[~known], own[~known]
-                    if len(h):
-                        yield rows(here[row], place, h, own, None, None)
+            if parts and (rows[0] < parts[-1][0][-1] or rows[0] >> PART_BITS != parts[-1][0][-1] >> PART_BITS):
+                yield packed(parts)
+                parts, size = [], 0
+            for a, b in slices(offsets, HELD_PACK_BYTES // 4):
+                if parts and size + offsets[b] - offsets[a] > HELD_PACK_BYTES:
+                    yield packed(parts)
+                    parts, size = [], 0
+                parts.append((rows[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                size += offsets[b] - offsets[a]
+        if parts:
+            yield packed(parts)
 
     return run
 
 
-def _backed_off(order: int, alpha: float, total: int):
-    """(_row, _id, n_words, micros) of each document, from its line and the counts of its n-grams that others hold."""
-
-    def documents(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        whole = pa.Table.from_batches(parts)
-        row, place, n = (whole.column(c).to_numpy() for c in ("_row", "place", "n"))
-        line = place < 0
-        n_words = n[line]
-        base = np.cumsum(n_words) - n_words
-        doc = np.repeat(np.arange(len(n_words)), n_words)
-        held = np.zeros((order + 1, len(doc)), np.int64)  # per size and last word
-        gram = ~line
-        held[place[gram] & ((1 << _SIZE_BITS) - 1), base[np.cumsum(line)[gram] - 1] + (place[gram] >> _SIZE_BITS)] = n[gram]
-        level = np.minimum(np.arange(len(doc)) - base[doc] + 1, order)
-        lost = np.zeros(len(doc))
-        score = np.zeros(len(doc))
-        for size in range(order, 1, -1):
-            here = np.flatnonzero(level == size)
-            gone = here[held[size, here] == 0]
-            level[gone] -= 1
-            lost[gone] += math.log(alpha)
-            here = here[held[size, here] > 0]
-            score[here] = np.log(held[size, here]) - np.log(held[size - 1, here - 1])
-        last = np.flatnonzero(level == 1)
-        score[last] = np.log(np.maximum(held[1, last], 1)) - np.log(np.maximum(total - n_words[doc[last]], 1))
-        micros = np.bincount(doc, weights=np.rint((score + lost) * MICRO), minlength=len(n_words)).astype(np.int64)
-        ids = whole.column("_id").filter(pa.array(line)).combine_chunks()
-        return pa.RecordBatch.from_arrays([pa.array(row[line]), ids, pa.array(n_words), pa.array(micros)], ["_row", "_id", "n_words", "micros"])
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, bytes and offsets of texts that come in parts."""
+    ends = np.cumsum([0, *[len(d) for _, d, _ in parts]])
+    offsets = np.concatenate([[0], *[o[1:] + e for (_, _, o), e in zip(parts, ends)]])
+    return np.concatenate([r for r, _, _ in parts]), np.concatenate([d for _, d, _ in parts]), offsets
+
+
+def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per pack and hash range, which of its n-grams other packs hold, and how often."""
+
+    def counted(packs: list[dict]) -> Iterator[pa.RecordBatch]:
+        blocks = [_unsqueezed(p["block"], p["count"], "<u8", "<i8") for p in packs]
+        keys, n = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in blocks]), np.concatenate([n for _, n in blocks])
+        del blocks
+        by = np.argsort(keys)
+        new = _changes(keys[by])
+        total = np.add.reduceat(n[by], np.flatnonzero(new))
+        others = np.empty(len(by), np.int64)
+        others[by] = total[np.cumsum(new) - 1]
+        others -= n
+        at = 0
+        for p in packs:
+            some = np.flatnonzero(others[at : at + p["count"]])
+            if len(some):
+                block = _squeezed(_steps(some.astype("<u4")), others[at + some])
+                yield _batch(_HELD, {"bucket": [p["bucket"]], "first": [p["first"]], "count": [len(some)], "block": [block]}, 1)
+            at += p["count"]
+
+    packs: list[dict] = []
+    for batch in batches:  # sorted by bucket
+        yield batch.filter(batch.column("block").is_null())
+        for p in batch.filter(batch.column("block").is_valid()).select(["bucket", "first", "count", "block"]).to_pylist():
+            if packs and p["bucket"] != packs[0]["bucket"]:
+                yield from counted(packs)
+                packs = []
+            packs.append(p)
+    if packs:
+        yield from counted(packs)
+
+
+def _backed_off(pack: _Pack, others: np.ndarray, order: int, alpha: float, total: int) -> np.ndarray:
+    """The score of each document in millionths; ``others`` is what other packs hold of each distinct n-gram."""
+    everywhere = pack.counts + others
+    held = np.zeros((order + 1, len(pack.row)), np.int64)  # per size and last word: how often other documents hold it
+    for size, (at, number, own) in enumerate(pack.sizes, 1):
+        held[size, at + size - 1] = everywhere[number] - own
+    level = np.minimum(np.arange(len(pack.row)) - pack.first[pack.row] + 1, order)
+    lost = np.zeros(len(pack.row))
+    score = np.zeros(len(pack.row))
+    for size in range(order, 1, -1):
+        here = np.flatnonzero(level == size)
+        gone = here[held[size, here] == 0]
+        level[gone] -= 1
+        lost[gone] += math.log(alpha)
+        here = here[held[size, here] > 0]
+        score[here] = np.log(held[size, here]) - np.log(held[size - 1, here - 1])
+    last = np.flatnonzero(level == 1)
+    score[last] = np.log(np.maximum(held[1, last], 1)) - np.log(np.maximum(total - pack.n_words[pack.row[last]], 1))
+    return np.bincount(pack.row, weights=np.rint((score + lost) * MICRO), minlength=len(pack.n_words)).astype(np.int64)
+
+
+def _scored(order: int, alpha: float, buckets: int, total: int, packs_path: str, others_path: str):
+    """(_row, _id, n_words, micros, _text) of documents in ascending runs of rows.
+
+    Where a task does not see all documents of a pack, because files were split otherwise when packs were made, it
+    gives back their texts instead of a score.
+    """
+
+    def scores(parts: list, ids: list, first: int) -> pa.RecordBatch:
+        rows, data, offsets = _joined(parts)
+        pack = _Pack(data, offsets, order, own=True)
+        by, ranges = pack.by_range(buckets)
+        starts, others = {p: a for p, a, _ in ranges}, np.zeros(len(by), np.int64)
+        found = read_part(others_path, "pack", first)
+        for p in found.select(["bucket", "count", "block"]).to_pylist() if found is not None else []:
+            at, n = _unsqueezed(p["block"], p["count"], "<u4", "<i8")
+            others[by[starts[p["bucket"]] + np.cumsum(at, dtype=np.int64)]] = n
+        micros = _backed_off(pack, others, order, alpha, total)
+        count = len(rows)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows), pa.concat_arrays(ids), pa.array(pack.n_words), pa.array(micros), pa.nulls(count, pa.string())],
+            ["_row", "_id", "n_words", "micros", "_text"],
+        )
+
+    def left(parts: list, ids: list, texts: list) -> pa.RecordBatch:
+        rows = np.concatenate([r for r, _, _ in parts])
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows), pa.concat_arrays(ids), none, none, pa.concat_arrays(texts).fill_null("")], ["_row", "_id", "n_words", "micros", "_text"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.RecordBatch] = []
-        for batch in batches:  # sorted by document, its line first
-            lines = np.flatnonzero(batch.column("place").to_numpy() < 0)
-            if len(lines):
-                end = int(lines[-1])
-                if end:
-                    parts.append(batch.slice(0, end))
-                if parts:
-                    yield documents(parts)
-                parts, batch = [], batch.slice(end)
-            parts.append(batch)
+        beside = Beside(packs_path)
+        parts, ids, texts, first, missing = [], [], [], None, 0
+
+        def done() -> pa.RecordBatch:
+            return left(parts, ids, texts) if missing else scores(parts, ids, first)
+
+        for batch in by_part(batches):
+            rows = batch.column("_row").to_numpy()
+            beside.of(rows)  # all packs of the part
+            data, offsets = text_bytes(batch.column("_text"))
+            pack = np.searchsorted(beside.rows, rows, "right") - 1
+            cuts = np.append(np.flatnonzero(_changes(pack)), len(rows)).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                here = int(beside.rows[pack[a]])
+                if parts and (here != first or rows[a] < parts[-1][0][-1]):
+                    yield done()
+                    parts, ids, texts = [], [], []
+                if not parts:
+                    first, missing = here, beside.table.column("docs")[int(pack[a])].as_py()
+                parts.append((rows[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                ids.append(batch.column("_id").slice(a, b - a))
+                texts.append(batch.column("_text").slice(a, b - a))
+                missing -= b - a
         if parts:
-            yield documents(parts)
+            yield done()
 
     return run
 
@@ -489,22 +660,27 @@ def score_held_out(
     A word no other document holds counts as held once, and all words are those of the others (at least
     1). A document with a copy is scored by its copy as well. Null texts have no words (0 words, 0
     micros); rows with equal ids stay apart and both count; other columns are not read. N-grams are told
-    apart by 64-bit hashes. The most frequent are looked up in the task, so a waiting one has at most
-    ``order`` / :data:`HOT_WORDS` of all occurrences. One scan numbers the documents.
+    apart by 64-bit hashes. A hash range has an n-gram once per pack, however frequent it is.
     """
     spark = docs.sparkSession
-    # An n-gram that stands once stands in no other document; single words also give the number of all words.
-    counts = stored(ngram_counts(docs, order, text_col).where("n > 1 or size = 1"), "counts")
-    total = counts.where("size = 1").agg(F.sum("n")).first()[0] or 0
-    hot = spark.sparkContext.broadcast(_most_frequent(counts.where("n > 1").select("h", "n"))[:2])
-    source = with_row(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
+    docs = from_files(docs)
+    source = numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).select("_row", "_id", "_text")
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("bigint"))).first()[0] or 0
+    buckets = max(spark.sparkContext.defaultParallelism, -(-size * order // (BYTES_PER_GRAM * BUCKET_GRAMS)))
+    packed = source.select("_row", "_text").mapInArrow(lean(_held_packs(order, buckets)), _ddl(_HELD))
+    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    counted = stored(dealt.mapInArrow(lean(_others), _ddl(_HELD)), "counted")
+    packs = counted.where("block is null").select(F.col("first").alias("_row"), "docs", "words")
+    total = packs.agg(F.sum("words")).first()[0] or 0
+    others_path = scratch_path(spark, "others")
+    others = counted.where("block is not null").select(F.col("first").alias("pack"), "bucket", "count", "block")
+    others.repartition("pack").sortWithinPartitions("pack").write.partitionBy("pack").parquet(others_path)
     kind = source.schema["_id"].dataType.simpleString()
-    exploded = source.select("_row", "_id", "_text").mapInArrow(
-        _places(order, hot, to_arrow_type(source.schema["_id"].dataType)), f"_row bigint, place bigint, h bigint, own bigint, n bigint, _id {kind}"
-    )
-    table = counts.where("n > 1").select(F.col("h").alias("_h"), F.col("n").alias("_n"))
-    joined = exploded.join(table, (F.col("h") == F.col("_h")) & F.col("own").isNotNull(), "left")
-    known = joined.select("_row", "place", F.coalesce("n", F.col("_n") - F.col("own")).alias("n"), "_id").where("n > 0 or place < 0")
-    dealt = known.repartition("_row").sortWithinPartitions("_row", "place")
-    scored = dealt.mapInArrow(_backed_off(order, alpha, total), f"_row bigint, _id {kind}, n_words bigint, micros bigint")
+    score = lean(_scored(order, alpha, buckets, total, beside_scan(packs, "packs"), others_path))
+    schema = f"_row bigint, _id {kind}, n_words bigint, micros bigint, _text string"
+    scanned = stored(source.mapInArrow(score, schema), "scores")
+    # Texts of packs that were cut: a part's documents meet again, in order.
+    cut = scanned.where("_text is not null").select("_row", "_id", "_text", F.shiftright("_row", PART_BITS).alias("_part"))
+    whole = cut.repartition("_part").sortWithinPartitions("_row").select("_row", "_id", "_text").mapInArrow(score, schema)
+    scored = scanned.where("_text is null").unionByName(whole)
     return scored.select("_row", F.col("_id").alias(id_col), "n_words", "micros")

@@ -8,8 +8,11 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,7 +198,7 @@ def brute_scores(texts, corpus, order, alpha=lmscore.ALPHA):
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores(spark, make_docs, odd_rows, order, monkeypatch):
     monkeypatch.setattr(lmscore, "HOT_WORDS", 20)
-    monkeypatch.setattr(lmscore, "BUCKET_GRAMS", 500)
+    monkeypatch.setattr(lmscore, "BUCKET_GRAMS", 4000)
     docs, texts = make_docs(odd_rows), [t for _, t in odd_rows]
     by_row = lambda df: sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.micros / 1e6) for r in df.collect())
 
@@ -238,6 +241,45 @@ def test_scores_by_other_documents(make_docs, odd_rows, order, hot, monkeypatch)
     assert lmscore.score_held_out(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize(("pack", "after"), [(3000, 1 << 30), (3000, 20_000), (8 << 20, 20_000)])
+def test_scores_by_other_documents_in_packs(spark, make_docs, odd_rows, pack, after, monkeypatch):
+    """Small packs and hash ranges; files that the second scan splits otherwise than the first cut packs apart."""
+    monkeypatch.setattr(lmscore, "HELD_PACK_BYTES", pack)
+    monkeypatch.setattr(lmscore, "BUCKET_GRAMS", 4000)
+    folder = scratch_path(spark, "lm-packs").removeprefix("file:")
+    Path(folder).mkdir(parents=True)
+    pq.write_table(make_docs(odd_rows).toArrow(), f"{folder}/documents.parquet", row_group_size=4)
+    before, beside = spark.conf.get("spark.sql.files.maxPartitionBytes"), lmscore.beside_scan
+
+    def then_split(*args):
+        cut.append(spark.read.parquet(f"{folder}/documents.parquet").rdd.getNumPartitions())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(after))
+        cut.append(spark.read.parquet(f"{folder}/documents.parquet").rdd.getNumPartitions())
+        return beside(*args)
+
+    cut: list[int] = []
+    monkeypatch.setattr(lmscore, "beside_scan", then_split)
+    try:
+        got = lmscore.score_held_out(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert (cut[0] != cut[1]) == (after < 1 << 30)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.micros / 1e6) for r in got)
+    expected = sorted((i if i is not None else -1, n, s) for (i, _), (n, s) in zip(odd_rows, brute_held_out([t for _, t in odd_rows], 3), strict=True))
+    for (i, n, s), (j, m, e) in zip(got, expected, strict=True):
+        assert (i, n) == (j, m) and s == pytest.approx(e, abs=1e-5 + 2e-6 * n)
+
+
+def test_packed_ngrams_take_less_than_seven_bytes():
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(400)]
+    batch = pa.RecordBatch.from_pydict({"_row": list(range(400)), "_text": texts})
+    rows = [r for b in lmscore._held_packs(3, 6)(iter([batch])) for r in b.to_pylist()]
+    distinct = len({(size, *w[i : i + size]) for w in (t.split(" ") for t in texts) for size in (1, 2, 3) for i in range(len(w) - size + 1)})
+    assert sum(r["count"] or 0 for r in rows) == distinct
+    assert sum(len(r["block"] or b"") for r in rows) < 7 * distinct
+
+
 def test_registered_scores_rank_junk_last(spark, make_docs):
     texts = [f"the common line of words number {i % 3}" for i in range(30)] + ["qzx jvk wpf bhg tty mmn"]
     folder = scratch_path(spark, "lm")
