@@ -46,8 +46,7 @@ def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With token ids (packed little-endian), their number, and a check that they decode to the text."""
     bounded_batches(spark)
     path = tokenizer_path()
-    encoded = bpe.encode(docs, path, bpe.corpus_lexicon(docs, path))
-    decoded = bpe.decode(encoded, path)
+    decoded = bpe.encode_and_decode(docs, path, bpe.corpus_lexicon(docs, path))
     return decoded.withColumns({
         "n_tokens": (F.octet_length("ids") / 4).cast("bigint"),
         "round_trip": F.col("decoded") == F.coalesce("text", F.lit("")),

@@ -25,7 +25,7 @@ from lakejobs.llm.textbytes import slices, text_bytes
 
 LEXICON_WORDS = 200_000  # words in the lexicon at most
 COUNTER_WORDS = 300_000  # distinct words a task counts before it hands them on
-MEMO_WORDS = 300_000  # words a worker remembers at most
+MEMO_WORDS = 300_000  # words a worker remembers at most, next to those of the texts at hand
 
 # The word pattern of byte-level BPE over characters up to U+00FF; others are mapped to one of the same class.
 _L, _N, _S = rb"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", rb"0-9\xb2\xb3\xb9\xbc\xbd\xbe", rb"\t-\r \x85\xa0"
@@ -56,6 +56,9 @@ class Vocabulary:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.ids = ids
         self.ranks = {(raw(a), raw(b)): rank for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        self.letters = np.array([ids[bytes([b])] for b in range(256)], np.int64)
+        known = sorted((ids[a] << 32 | ids[b], rank, ids[a + b]) for (a, b), rank in self.ranks.items())
+        self.pairs = tuple(np.array(column, np.int64) for column in zip(*known, (1 << 62, _NONE, 0)))  # the last is no pair
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = [b""] * (1 + max([*ids.values(), *self.special.values()]))
         for token, i in ids.items():
@@ -81,6 +84,59 @@ class Vocabulary:
                 order[at] = ranks.get((parts[at], parts[at + 1]), _NONE)
         return [self.ids[p] for p in parts]
 
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """The ids of many words of at most 64 bytes, each as packed little-endian integers, merged side by side as :meth:`merge` does."""
+        out: list[bytes] = [b""] * len(words)
+        by_width: dict[int, list[int]] = {8: [], 16: [], 32: [], 64: []}
+        for i, word in enumerate(words):
+            by_width[max(8, 1 << (len(word) - 1).bit_length())].append(i)
+        for width, places in by_width.items():
+            for a in range(0, len(places), _SIDE_BY_SIDE):
+                some = places[a : a + _SIDE_BY_SIDE]
+                if len(some) < width:  # not worth the rounds
+                    found = [np.array(self.merge(words[i]), "<u4").tobytes() for i in some]
+                else:
+                    found = self._merged([words[i] for i in some], width)
+                for i, ids in zip(some, found):
+                    out[i] = ids
+        return out
+
+    def _merged(self, words: list[bytes], width: int) -> list[bytes]:
+        """In each round every word that has a pair left merges its pair of lowest rank, the leftmost of equal ones."""
+        pairs, ranks, results = self.pairs
+        live = np.array([len(w) for w in words])
+        data = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(-1, width)
+        parts = np.where(np.arange(width + 1) < live[:, None], np.pad(self.letters[data], ((0, 0), (0, 1))), -1)  # -1 fills up
+
+        def look_up(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            wanted = left << 32 | right
+            at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
+            return np.where(pairs[at] == wanted, ranks[at], _NONE), results[at]
+
+        rank, result = look_up(parts[:, :-1], parts[:, 1:])
+        done, row = [b""] * len(words), np.arange(len(words))
+        while True:
+            every, best = np.arange(len(row)), rank.argmin(1)
+            more = rank[every, best] != _NONE
+            if not more.all():
+                ended = ~more
+                for i, ids, n in zip(row[ended].tolist(), parts[ended].astype("<u4"), live[ended].tolist()):
+                    done[i] = ids[:n].tobytes()
+                if not more.any():
+                    return done
+                parts, rank, result, row, live, best = (x[more] for x in (parts, rank, result, row, live, best))
+                every = np.arange(len(row))
+            merged = result[every, best]
+            # What follows the pair moves one place to the left.
+            for table, start in ((parts, best + 1), (rank, best), (result, best)):
+                after = np.arange(table.shape[1] - 1) >= start[:, None]
+                np.copyto(table[:, :-1], table[:, 1:].copy(), where=after)
+            rank[:, -1], parts[every, best] = _NONE, merged
+            live -= 1
+            parts[every, live] = -1
+            for left in (np.maximum(best - 1, 0), best):
+                rank[every, left], result[every, left] = look_up(parts[every, left], parts[every, left + 1])
+
     def _merge_long(self, parts: list[bytes]) -> list[int]:
         """The same with a heap over linked parts, for words of any length."""
         ranks, live = self.ranks, list(parts)
@@ -104,6 +160,7 @@ class Vocabulary:
 
 
 _NONE = 1 << 60
+_SIDE_BY_SIDE = 2_000  # words that are merged side by side
 
 
 @lru_cache(maxsize=1)
@@ -154,33 +211,66 @@ class Encoder:
         return ids if ids is not None else np.array(self.vocabulary.merge(word), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; words that are not remembered are looked up and merged together."""
+        split = [self._split(text) for text in texts]
+        for memo in (self.latin, self.other):
+            memo.learn(set().union(*[found for parts in split for kind, found in parts if kind is memo]))
+        ids = [b"".join([found if memo is None else b"".join(map(memo.__getitem__, found)) for memo, found in parts]) for parts in split]
+        self.latin.forget()
+        self.other.forget()
+        return ids
+
+    def _split(self, text: str) -> list[tuple["_Memo | None", list | bytes]]:
+        """Words with the memo they belong to, and ids of special tokens."""
         out, at = [], 0
         for special in self.vocabulary.split.finditer(text):
             out.append(self._plain(text[at : special.start()]))
-            out.append(self.vocabulary.special[special.group()].to_bytes(4, "little"))
+            out.append((None, self.vocabulary.special[special.group()].to_bytes(4, "little")))
             at = special.end()
         out.append(self._plain(text[at:] if at else text))
-        return b"".join(out)
+        return out
 
-    def _plain(self, text: str) -> bytes:
+    def _plain(self, text: str) -> tuple["_Memo", list]:
         found = self.splitter.latin(text)
-        if found is not None:
-            return b"".join(map(self.latin.__getitem__, found))
-        return b"".join(map(self.other.__getitem__, self.splitter.other(text)))
+        return (self.latin, found) if found is not None else (self.other, self.splitter.other(text))
 
 
 class _Memo(dict):
+    """Ids of words. When there are too many, only those of the lexicon stay."""
+
     def __init__(self, encoder: Encoder, charset: str | None):
         super().__init__()
-        self.encoder, self.charset = encoder, charset
-
-    def __missing__(self, word):
-        ids = self.encoder.word(word.decode(self.charset).encode() if self.charset else word.encode())
-        if len(self) >= MEMO_WORDS:
+        self.encoder, self.charset, self.rare, self.long = encoder, charset, [], []
+
+    def learn(self, words: set) -> None:
+        new = list(words.difference(self))
+        raw = [w.decode(self.charset).encode() if self.charset else w.encode() for w in new]
+        merge = []
+        for word, letters, ids in zip(new, raw, self.encoder.lexicon.get_all(raw) if self.encoder.lexicon else [None] * len(new)):
+            if ids is not None:
+                self[word] = ids
+            elif len(letters) > 64:
+                self[word] = self.encoder.word(letters)
+                self.long.append(word)
+            else:
+                merge.append((word, letters))
+        self.update(zip([w for w, _ in merge], self.encoder.vocabulary.merge_all([raw for _, raw in merge])))
+        self.rare += [w for w, _ in merge]
+
+    def forget(self) -> None:
+        """What is too long or too much to be remembered."""
+        for word in self.long:
+            del self[word]
+        self.long = []
+        if len(self) > MEMO_WORDS:
+            for word in self.rare:
+                del self[word]
+            self.rare = []
+        if len(self) > MEMO_WORDS:
             self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
 
 
 def word_counts(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
@@ -246,6 +336,11 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: bytes | None = None, text_c
     Whole texts; null is empty and has no ids. Special tokens' strings in a text are those tokens, none
     are added. All columns pass through; a column that is called like ``ids_col`` is replaced.
     """
+    docs = docs.drop(ids_col)
+    return docs.mapInArrow(lean(_encoding(docs, tokenizer, lexicon, text_col, ids_col)), with_field(docs, ids_col, "binary"))
+
+
+def _encoding(docs: DataFrame, tokenizer: str, lexicon: bytes | None, text_col: str, ids_col: str):
     block = docs.sparkSession.sparkContext.broadcast(lexicon) if lexicon else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,12 +354,11 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: bytes | None = None, text_c
             texts = batch.column(text_col)
             _, offsets = text_bytes(texts)
             for a, b in slices(offsets):
-                ids = [encoder.encode(t.as_py() or "") for t in texts.slice(a, b - a)]
+                ids = encoder.encode_all([t or "" for t in texts.slice(a, b - a).to_pylist()])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], [*part.schema.names, ids_col])
 
-    docs = docs.drop(ids_col)
-    return docs.mapInArrow(lean(run), with_field(docs, ids_col, "binary"))
+    return run
 
 
 def _decoded(ids: pa.Array, tokens: pa.Array) -> pa.Array:
@@ -284,7 +378,21 @@ def _decoded(ids: pa.Array, tokens: pa.Array) -> pa.Array:
 
 def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids in ``text_col``; null ids give empty text, broken UTF-8 U+FFFD."""
+    encoded = encoded.drop(text_col)
+    return encoded.mapInArrow(lean(_decoding(tokenizer, ids_col, text_col)), with_field(encoded, text_col, "string"))
+
 
+def encode_and_decode(
+    docs: DataFrame, tokenizer: str, lexicon: bytes | None = None, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded"
+) -> DataFrame:
+    """``docs`` as :func:`encode` and then :func:`decode` give them, by one worker per task instead of two."""
+    docs = docs.drop(ids_col, decoded_col)
+    encoded, decoded = _encoding(docs, tokenizer, lexicon, text_col, ids_col), _decoding(tokenizer, ids_col, decoded_col)
+    schema = with_field(docs, ids_col, "binary").add(decoded_col, "string")
+    return docs.mapInArrow(lean(lambda batches: decoded(encoded(batches))), schema)
+
+
+def _decoding(tokenizer: str, ids_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pa.array(_vocabulary(tokenizer).bytes, pa.binary())
         for batch in batches:
@@ -294,5 +402,4 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", text_col: s
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part.column(ids_col), tokens)], [*part.schema.names, text_col])
 
-    encoded = encoded.drop(text_col)
-    return encoded.mapInArrow(lean(run), with_field(encoded, text_col, "string"))
+    return run

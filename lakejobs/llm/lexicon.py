@@ -132,3 +132,27 @@ class Lexicon:
             return None
         place += skips[i]
         return bytes(self.ids[4 * self.offsets[place] : 4 * self.offsets[place + 1]])
+
+    def get_all(self, words: list[bytes]) -> list[bytes | None]:
+        """:meth:`get` of many words, whose letters are followed side by side."""
+        out: list[bytes | None] = [None] * len(words)
+        if not len(self.keys):
+            return out
+        keys, targets, skips = np.frombuffer(self.keys, np.uint64).view(np.int64), np.frombuffer(self.targets, np.uint32), np.frombuffer(self.skips, np.uint32)
+        sizes = np.array([len(w) for w in words])
+        data = np.frombuffer(b"".join(words) or b"\0", np.uint8).astype(np.int64)
+        starts, row, letter = np.cumsum(sizes) - sizes, np.arange(len(words)), 0
+        state, place = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        while len(row):
+            going = sizes > letter
+            label = np.where(going, data[np.minimum(starts + letter, len(data) - 1)], _FINAL)
+            wanted = state << 9 | label
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            known = keys[at] == wanted
+            place = place + skips[at]
+            for i, n in zip(row[known & ~going].tolist(), place[known & ~going].tolist()):
+                out[i] = bytes(self.ids[4 * self.offsets[n] : 4 * self.offsets[n + 1]])
+            on = known & going
+            sizes, starts, row, place, state = sizes[on], starts[on], row[on], place[on], targets[at[on]].astype(np.int64)
+            letter += 1
+        return out

@@ -155,6 +155,8 @@ def test_lexicon_is_minimal_and_exact():
     for i, w in enumerate(words):
         assert np.frombuffer(table.get(w), "<u4").tolist() == [i, i + 1][: 1 + i % 2]
     assert [table.get(w) for w in (b"", b"t", b"tapsy", b"b", b"sto")] == [None] * 5
+    mixed = [b"", *words, b"t", b"tapsy", b"b", b"sto", *words[::-1]]
+    assert table.get_all(mixed) == [table.get(w) for w in mixed]
     letters = sum(len(w) for w in words)
     assert table.states < letters  # shared suffixes
     assert lexicon.Lexicon(lexicon.compile_lexicon({})).get(b"a") is None
@@ -172,6 +174,26 @@ def test_memo_and_counter_bounds(spark, make_docs, odd_rows, monkeypatch):
     assert len(encoder.latin) <= 5
 
 
+def test_words_are_merged_side_by_side():
+    rng, vocabulary = random.Random(5), bpe.Vocabulary(queries.tokenizer_path())
+    words = [rng.randbytes(rng.randrange(1, 65)) for _ in range(400)] + [b"a" * n for n in range(1, 65)]
+    words += ["".join(rng.choices(" etaoinshrdlu", k=rng.randrange(1, 30))).encode() for _ in range(3000)]
+    assert vocabulary.merge_all(words) == [np.array(vocabulary.merge(w), "<u4").tobytes() for w in words]
+
+
+def test_words_of_the_lexicon_are_looked_up_once(monkeypatch):
+    path = queries.tokenizer_path()
+    vocabulary = bpe.Vocabulary(path)
+    encoder = bpe.Encoder(path, lexicon.compile_lexicon({w: vocabulary.merge(w) for w in (b"often", b" often")}))
+    asked, get = Counter(), encoder.lexicon.get_all
+    monkeypatch.setattr(encoder.lexicon, "get_all", lambda words: asked.update(words) or get(words))
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 20)
+    for i in range(50):
+        text = f"often often w{i}a x{i}b y{i}c " + "z" * 70
+        assert encoder.encode(text) == np.array(library().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert asked[b"often"] == asked[b" often"] == 1 and len(encoder.latin) <= 20
+
+
 # --- 3 language model -----------------------------------------------------------------------------
 
 
