@@ -169,7 +169,8 @@ def contamination(
         "_row", "_id", "n_words", "item_id", "at", "left", "ctx", "kind", "i_left", "i_ctx"
     )
     kind = docs.schema[id_col].dataType.simpleString()
-    ranges = joined.mapInArrow(
+    # Dealt anew (seeds only, no texts), so that a task has one Python worker: two would stay for all later tasks.
+    ranges = joined.repartition("_row").mapInArrow(
         lean(_extended(window, gram)), f"_row bigint, _id {kind}, n_words bigint, item_id string, start bigint, end bigint"
     )
     hit = F.col("start").isNotNull()

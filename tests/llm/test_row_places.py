@@ -55,6 +55,19 @@ def test_numbers_stay(spark, filed):
     assert len(seen) == 1 and len({x[0] for x in seen.pop()}) == len(given)
 
 
+def test_numbers_need_no_python_worker(spark, filed):
+    """The files' numbers come from a local relation; rows of a Python list would need workers of their own."""
+    plan = tables.numbered(filed[0].select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LocalTableScan" in plan and "ExistingRDD" not in plan
+
+
+def test_one_python_worker_a_task(spark, filed, make_docs, odd_rows):
+    items = make_docs(odd_rows[:5]).selectExpr("cast(doc_id as string) item_id", "text")
+    plan = decontaminate.contamination(filed[0], items)._jdf.queryExecution().executedPlan().toString()
+    between = plan.split("MapInArrow")[1:-1]
+    assert between and all("Exchange hashpartitioning" in part for part in between)
+
+
 def test_only_plain_tables_are_taken_as_they_are(spark, filed):
     docs, given = filed
     plain = docs.where("doc_id > 3").select("doc_id", "text")
