@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakejobs.llm import bpe, decontaminate, exact_dedup, jaccard, quality
 from lakejobs.llm.queries import tokenizer_path
-from lakejobs.llm.tables import bounded_batches, hand_back
+from lakejobs.llm.tables import bounded_batches, executors_hand_back, hand_back
 from lakejobs.plans.registry import table
 from lakejobs.session import scratch_path
 
@@ -18,35 +18,43 @@ from lakejobs.session import scratch_path
 ORACLE_SQL = None
 
 
+def _with_room(spark: SparkSession) -> None:
+    """Small Arrow batches, and executors without the heap that earlier steps took: Python workers need the room."""
+    bounded_batches(spark)
+    executors_hand_back(spark)
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents the quality classifier rejects."""
-    bounded_batches(spark)
+    _with_room(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest id."""
-    bounded_batches(spark)
+    _with_room(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of similar texts the one with the smallest id."""
-    bounded_batches(spark)
+    _with_room(spark)
     return jaccard.drop_similar(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold a window of a benchmark item."""
-    bounded_batches(spark)
+    _with_room(spark)
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With token ids (packed little-endian), their number, and a check that they decode to the text."""
-    bounded_batches(spark)
+    _with_room(spark)
     path = tokenizer_path()
-    decoded = bpe.encode_and_decode(docs, path, bpe.corpus_lexicon(docs, path))
+    lexicon = bpe.corpus_lexicon(docs, path)
+    executors_hand_back(spark)  # counting words takes the heap, encoding the workers
+    decoded = bpe.encode_and_decode(docs, path, lexicon)
     return decoded.withColumns({
         "n_tokens": (F.octet_length("ids") / 4).cast("bigint"),
         "round_trip": F.col("decoded") == F.coalesce("text", F.lit("")),

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakejobs.llm.components import components
-from lakejobs.llm.tables import Beside, beside_scan, by_part, from_files, kept, lean, numbered, stored, without_rows
+from lakejobs.llm.tables import Beside, beside_scan, by_part, executors_hand_back, from_files, kept, lean, numbered, stored, without_rows
 from lakejobs.llm.textbytes import grams, mix, slices, text_bytes, words
 
 GRAM = 5
@@ -307,4 +307,6 @@ def similar_groups(
 def drop_similar(docs: DataFrame, **options) -> DataFrame:
     """The documents with one left of each group of similar ones, with all their columns."""
     docs = from_files(docs)
-    return without_rows(docs, similar_groups(docs, **options).where("_row != keep_row"))
+    groups = similar_groups(docs, **options)
+    executors_hand_back(docs.sparkSession)  # the texts that were compared; only numbers are joined from here on
+    return without_rows(docs, groups.where("_row != keep_row"))

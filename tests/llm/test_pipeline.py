@@ -10,7 +10,7 @@ from compare import difference, oracle_connection
 from test_operators import brute_contamination, brute_exact, brute_groups, brute_repeats, library
 
 import corpus_pipeline
-from lakejobs.llm import queries
+from lakejobs.llm import queries, tables
 from lakejobs.plans.registry import table
 
 
@@ -71,3 +71,25 @@ def test_the_driver_gives_memory_back_after_every_stage(spark, sf_dir, monkeypat
     monkeypatch.setattr(corpus_pipeline, "hand_back", lambda: seen.append("back"))
     assert corpus_pipeline.run(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert seen == ["one", "back", "two", "back"]
+
+
+def test_executors_give_heap_back(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    collections = lambda: sum(b.getCollectionCount() for b in beans)
+    before = collections()
+    tables.executors_hand_back(spark)  # the executor is this process
+    assert collections() > before
+
+
+def test_executors_give_heap_back_before_every_stage(spark, sf_dir, monkeypatch):
+    seen = []
+    for module, name in (
+        (corpus_pipeline.quality, "keep_good"), (corpus_pipeline.exact_dedup, "drop_copies"), (corpus_pipeline.jaccard, "drop_similar"),
+        (corpus_pipeline.decontaminate, "remove_contaminated"), (corpus_pipeline.bpe, "corpus_lexicon"),
+    ):
+        monkeypatch.setattr(module, name, lambda docs, *_, name=name: seen.append(name) or docs)
+    monkeypatch.setattr(corpus_pipeline.bpe, "encode_and_decode", lambda docs, *_: seen.append("encode") or docs.selectExpr("*", "cast(text as binary) ids", "text decoded"))
+    monkeypatch.setattr(corpus_pipeline, "executors_hand_back", lambda spark: seen.append("back"))
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, table(spark, sf_dir, "documents"), sf_dir)
+    assert seen == ["back", "keep_good", "back", "drop_copies", "back", "drop_similar", "back", "remove_contaminated", "back", "corpus_lexicon", "back", "encode"]
