@@ -156,6 +156,53 @@ def test_state_holds_what_is_not_expired(spark):
     assert {r.key.id for r in state_rows(spark, replay.checkpoint).collect()} == {6}
 
 
+def test_jobs_share_state_and_calls(spark, monkeypatch):
+    """A batch reads and writes a value for each share of the jobs, not for each job; what it gives is as if jobs stood alone."""
+    from lakejobs.streaming import timers
+
+    monkeypatch.setattr(timers, "SHARES", 4)
+    rng, day = random.Random(5), 86_400
+    made = lambda d: str(int((BASE + timedelta(days=d)).timestamp() * 1000))
+    rows = []
+    for i in range(200):
+        kind, job = rng.choice(["JOB", None]), f"j{i}"
+        for seq in range(rng.randrange(1, 7)):
+            key = rng.choice(["created", "created", "exitValue", "owner"])
+            val = rng.choice([None, "n/a", made(rng.uniform(0, 2))]) if key == "created" else rng.choice([None, "x", "7", str(2**62 + i)])
+            rows.append((kind, job, key, val, at(rng.randrange(0, 4) * day // 2), seq))
+    number = lambda v: int(v) if v and v.lstrip("-").isdigit() else None
+    want = Counter()
+    for kind, job in {r[:2] for r in rows}:
+        mine = sorted((r[4], r[5], r[2], r[3]) for r in rows if r[:2] == (kind, job))
+        created = [number(v) for _, _, k, v in mine if k == "created" and number(v) is not None]
+        exits = [number(v) for _, _, k, v in mine if k == "exitValue" and v is not None]
+        want[kind, job, created[-1] if created else None, exits[0] if exits else None, "done" if exits else None] += 1
+    replay = Replay(spark, [WRITES.replace("id bigint", "id string")], lambda events: expiry_stream(events, "3 days"))
+    rng.shuffle(rows)
+    for part in range(2):
+        assert replay.give(rows[part::2]) == []
+    assert max(o["numRowsTotal"] for p in replay.progress for o in p["stateOperators"]) <= 8
+    assert state_rows(spark, replay.checkpoint).count() == len({r[:2] for r in rows})
+    assert Counter(replay.give([("JOB", None, "tick", None, at(13 * day), 0)])) == want
+    assert state_rows(spark, replay.checkpoint).count() == 0
+
+
+def test_writes_of_one_place_and_without_a_number():
+    """Of writes with the same (ts, seq) the creation that came last and the exit that came first count; no number is the first one."""
+    import numpy as np
+
+    from lakejobs.streaming import timers
+
+    n, none = 6, -(2**63)
+    given = {"created": [1, 2, 3, 0, 0, 0], "exit_value": [0, 0, 0, 7, 0, 9], "marks": [1, 1, 1, 6, 2, 6], "seq": [none, 4, 4, 5, 5, none], "at": [5, 5, 5, 8, 8, 9], "wake": [0] * n}
+    facts = {c: np.array(v, dtype=np.int64) for c, v in given.items()}
+    facts |= {f"{kind}_{c}": facts[c] for kind in ("created", "exit") for c in ("at", "seq")} | {"seen": facts["at"]}
+    ids, one = timers._one_per_job(np.array(["a"] * n, dtype=object), facts)
+    assert list(ids) == ["a"] and [int(one[c][0]) for c in ("created", "exit_value", "exit_at", "exit_seq", "seen", "marks")] == [3, 7, 8, 5, 5, 7]
+    back = timers._unpacked(timers._packed(ids, one))
+    assert list(back[0]) == ["a"] and all((back[1][c] == one[c]).all() for c in timers._FACTS)
+
+
 # --- status ---------------------------------------------------------------------------------------
 
 
