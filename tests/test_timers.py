@@ -288,3 +288,20 @@ def test_state_stores_grow_with_the_rows(spark):
     assert [state_stores(spark, n) for n in (0, 10_000, 1_000_000, 10**9)] == [8, 8, 20, 200]
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     assert state_stores(spark, 10**9) == 3
+
+
+def test_a_replayed_join_keeps_one_store_a_partition(spark):
+    """Each store is loaded and saved in every batch, so four for each side's keys and values take four times as long; the rows are the same."""
+    import os
+
+    from lakejobs.plans import check_jobs
+
+    jobs = spark.createDataFrame([(i, i + 1 if i % 2 else None, at(i * 60)) for i in range(20)], "id bigint, childid bigint, ts timestamp")
+    tracker = spark.createDataFrame([(i, i * 10, at(i * 60)) for i in range(20) if i % 4], "id bigint, runState int, ts timestamp")
+    ends = [spark.createDataFrame([(-n, None, None, at(n * 86_400))], "id bigint, childid bigint, runState int, ts timestamp") for n in (1, 2)]
+    sides = [(side, F.unix_seconds("ts")) for side in (jobs, tracker)]
+    got, checkpoint = check_jobs._replayed(spark, sides, ends, lambda j, t: status_stream(j, t, "10 minutes", "15 minutes"), "one_store", parts=1)
+    stores = f"{checkpoint.removeprefix('file:')}/state"
+    assert [sorted(d for d in os.listdir(f"{stores}/{op}/0") if d.startswith(("left", "right"))) for op in (0, 1)] == [[], []]
+    want = job_status(jobs, tracker.drop("ts")).select("id", "runState").collect()
+    assert Counter(map(tuple, got.where("id >= 0").select("id", "runState").collect())) == Counter(map(tuple, want))
